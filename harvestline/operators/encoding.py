@@ -139,15 +139,16 @@ def assemble_features(
     clean = SQLTransformer(statement=f"SELECT *, {', '.join(texts + numbers)} FROM __THIS__")
 
     indexed = [f"idx__{c}_{output}" for c in categorical]
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [labels[c] for c in categorical], [f"cat__{c}_{output}" for c in categorical], indexed, handleInvalid="keep"
-    )
+    indexers = [
+        StringIndexerModel.from_labels(labels[c], f"cat__{c}_{output}", index, handleInvalid="keep")
+        for c, index in zip(categorical, indexed)
+    ]
     coded = [f"hot__{c}_{output}" for c in categorical]
     # The encoder only reads the label metadata, so it is fitted on an empty table.
     empty = spark.createDataFrame([], T.StructType([T.StructField(f"cat__{c}_{output}", T.StringType()) for c in categorical]))
-    encoder = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(indexer.transform(empty))
+    encoder = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(PipelineModel(indexers).transform(empty))
 
-    stages, parts, names, sources = [clean, indexer, encoder], [], [], []
+    stages, parts, names, sources = [clean, *indexers, encoder], [], [], []
     for c, column in zip(categorical, coded):
         kept = labels[c][1:] if drop_first else labels[c]
         if not kept:

@@ -8,15 +8,19 @@ severe to the least, earlier rules first, which is the best alert of that catego
 from pyspark.sql import Column, DataFrame, functions as F
 
 from harvestline import fixed_values as fv
-from harvestline.functions.numbers import compare, fixed_text, half_even, nan_to_null, percent_of, signed_text
+from harvestline.functions.numbers import fixed_text, half_even, nan_to_null, percent_of, signed_text
 from harvestline.functions.text import lookup
 
 
-def _metric_columns(norms: Column) -> dict[str, Column]:
-    """Per metric: value, norm, deviation and message."""
-    columns = {}
+_METRICS = list(fv.METRIC_TEXT)
+_OPERATORS = ("<", ">", "<=", ">=")
+
+
+def _facts(norms: Column) -> Column:
+    """Per metric, in fixed order: value, norm, deviation and message."""
+    facts = []
     for metric, (label, unit, digits) in fv.METRIC_TEXT.items():
-        value = nan_to_null(F.col(metric))
+        value = F.col(f"_{metric}")
         norm = F.coalesce(norms.getField(metric), F.lit(fv.DEFAULT_NORMS[metric]))
         deviation = percent_of(value - norm, norm)
         message = F.concat(
@@ -28,32 +32,37 @@ def _metric_columns(norms: Column) -> dict[str, Column]:
             signed_text(deviation),
             F.lit("%)"),
         )
-        columns[f"_{metric}"] = F.when(
-            value.isNotNull(),
+        facts.append(
             F.struct(
-                value.alias("value"), norm.alias("norm"), deviation.alias("deviation"), message.alias("message")
-            ),
+                value.alias("value"),
+                norm.alias("norm"),
+                half_even(deviation, 1).alias("deviation"),
+                message.alias("message"),
+            )
         )
-    return columns
-
-
-def _alert(order: int, rule: tuple) -> Column:
-    metric, op, threshold, level, category = rule
-    facts = F.col(f"_{metric}")
-    alert = F.struct(
-        F.lit(order).alias("rule_ord"),
-        F.lit(level).alias("level"),
-        F.lit(category).alias("category"),
-        F.lit(fv.LEVEL_ICONS.get(level, fv.UNKNOWN_ICON)).alias("icon"),
-        F.lit(fv.CATEGORY_TITLES.get(category, category)).alias("title"),
-        facts["message"].alias("message"),
-        F.lit(metric).alias("metric_name"),
-        facts["value"].alias("current_value"),
-        F.lit(threshold).alias("threshold"),
-        facts["norm"].alias("norm_value"),
-        half_even(facts["deviation"], 1).alias("deviation_pct"),
-    )
-    return F.when(compare(facts["value"], op, F.lit(threshold)), alert)
+    return F.array(*facts)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _rule_table(rules) -> Column:
+    """The rules as one constant array, addressed by position."""
+    entries = [
+        f"named_struct('rule_ord', {i}, 'level', {_quoted(level)}, 'category', {_quoted(category)}, "
+        f"'icon', {_quoted(fv.LEVEL_ICONS.get(level, fv.UNKNOWN_ICON))}, "
+        f"'title', {_quoted(fv.CATEGORY_TITLES.get(category, category))}, 'metric_name', {_quoted(metric)}, "
+        f"'threshold', {float(threshold)!r}D, 'slot', {_METRICS.index(metric)})"
+        for i, (metric, _, threshold, level, category) in enumerate(rules, 1)
+    ]
+    return F.expr(f"array({', '.join(entries)})")
+
+
+def _fires(rule: tuple) -> str:
+    """Condition of one rule as SQL text. An unknown operator never fires; nor does a NULL metric."""
+    metric, op, threshold = rule[:3]
+    return f"`_{metric}` {op} {float(threshold)!r}D" if op in _OPERATORS else "false"
 
 
 def _with_metrics(weather: DataFrame, norms: DataFrame | None) -> DataFrame:
@@ -62,39 +71,63 @@ def _with_metrics(weather: DataFrame, norms: DataFrame | None) -> DataFrame:
         one_row = F.struct(*[F.lit(fv.DEFAULT_NORMS[c]).alias(c) for c in fv.WEATHER])
     else:
         one_row = norms.select(F.struct(*fv.WEATHER)).scalar()
-    return weather.withColumn("_norms", one_row).withColumns(_metric_columns(F.col("_norms")))
+    values = {f"_{m}": nan_to_null(F.col(m)) for m in _METRICS}
+    return weather.withColumns({**values, "_norms": one_row}).withColumn("_facts", _facts(F.col("_norms")))
+
+
+def _alert(rule: Column) -> Column:
+    facts = F.get(F.col("_facts"), rule["slot"])
+    return F.struct(
+        *[rule[n].alias(n) for n in ("rule_ord", "level", "category", "icon", "title")],
+        facts["message"].alias("message"),
+        rule["metric_name"].alias("metric_name"),
+        facts["value"].alias("current_value"),
+        rule["threshold"].alias("threshold"),
+        facts["norm"].alias("norm_value"),
+        facts["deviation"].alias("deviation_pct"),
+    )
 
 
 def fired_rules(weather: DataFrame, norms: DataFrame | None = None, rules=None) -> DataFrame:
     """One row per fired rule, with the identifying columns of its weather row."""
     rules = fv.RISK_RULES if rules is None else rules
     entity = [c for c in weather.columns if c not in fv.WEATHER]
-    alerts = F.filter(F.array(*[_alert(i, r) for i, r in enumerate(rules, 1)]), lambda a: a.isNotNull())
-    exploded = _with_metrics(weather, norms).select(*entity, F.explode(alerts).alias("_a"))
-    return exploded.select(*entity, "_a.*")
+    fired = ", ".join(f"CASE WHEN {_fires(r)} THEN {i} END" for i, r in enumerate(rules, 1))
+    numbers = F.filter(F.expr(f"array({fired})"), lambda n: n.isNotNull())
+    rows = _with_metrics(weather, norms).select(*entity, "_facts", F.explode(numbers).alias("_n"))
+    rows = rows.withColumn("_rule", F.get(_rule_table(rules), F.col("_n") - 1))
+    return rows.withColumn("_a", _alert(F.col("_rule"))).select(*entity, "_a.*")
+
+
+def _best_of_category(category: str, rules) -> str:
+    """`(rank, first, number)` of the best fired rule of a category, NULL when none fired.
+
+    The most severe rule wins, the earlier one on a tie; `first` is the earliest fired rule, which orders
+    categories of equal severity.
+    """
+    severity = fv.LEVEL_SEVERITY
+    own = [(i, r) for i, r in enumerate(rules, 1) if r[4] == category]
+    ranked = sorted(own, key=lambda item: (-severity.get(item[1][3], 0), item[0]))
+    first = "coalesce(" + ", ".join(f"CASE WHEN {_fires(r)} THEN {i} END" for i, r in own) + ")"
+    whens = " ".join(
+        f"WHEN {_fires(r)} THEN named_struct('rank', {-severity.get(r[3], 0)}, 'first', {first}, 'number', {i})"
+        for i, r in ranked
+    )
+    return f"CASE {whens} END"
 
 
 def assess(weather: DataFrame, norms: DataFrame | None = None, rules=None) -> DataFrame:
     """One assessment per weather row: overall level, icon, at most one alert per category by falling
     severity, the weather itself and a one-line summary."""
     rules = fv.RISK_RULES if rules is None else rules
-    numbered = list(enumerate(rules, 1))
-    severity = fv.LEVEL_SEVERITY
-    candidates = []
-    for category in dict.fromkeys(rule[4] for rule in rules):
-        own = [(i, r) for i, r in numbered if r[4] == category]
-        ranked = sorted(own, key=lambda item: (-severity.get(item[1][3], 0), item[0]))
-        best = F.coalesce(*[_alert(i, r) for i, r in ranked])
-        fired = [F.when(compare(F.col(f"_{r[0]}")["value"], r[1], F.lit(r[2])), F.lit(i)) for i, r in own]
-        rank = F.coalesce(lookup({k: -v for k, v in severity.items()}, best["level"]), F.lit(0))
-        candidates.append(
-            F.when(best.isNotNull(), F.struct(rank.alias("rank"), F.coalesce(*fired).alias("first"), best.alias("alert")))
-        )
-    fired = F.array_sort(F.filter(F.array(*candidates), lambda c: c.isNotNull()))
+    best = ", ".join(_best_of_category(c, rules) for c in dict.fromkeys(r[4] for r in rules))
+    order = F.array_sort(F.filter(F.expr(f"array({best})"), lambda b: b.isNotNull()))
+    table = _rule_table(rules)
+    chosen = F.transform(order, lambda b: F.get(table, b["number"] - 1))
     entity = [c for c in weather.columns if c not in fv.WEATHER]
-    assessed = _with_metrics(weather, norms).withColumn("alerts", F.transform(fired, lambda c: c["alert"]))
+    assessed = _with_metrics(weather, norms).withColumn("alerts", F.transform(chosen, _alert))
     state = F.col("state")
-    overall = F.coalesce(F.try_element_at("alerts", F.lit(1))["level"], F.lit("OPTIMAL"))
+    overall = F.coalesce(F.get("alerts", F.lit(0))["level"], F.lit("OPTIMAL"))
     top_two = F.transform(F.slice("alerts", 1, 2), lambda a: F.concat_ws(" ", a["icon"], a["title"]))
     summary = F.when(
         F.size("alerts") == 0, F.concat(F.lit("All indicators within normal range for "), state, F.lit("."))
@@ -103,7 +136,7 @@ def assess(weather: DataFrame, norms: DataFrame | None = None, rules=None) -> Da
         *entity,
         overall.alias("overall_risk"),
         lookup(fv.LEVEL_ICONS, overall).alias("overall_icon"),
-        lookup(severity, overall).alias("severity"),
+        lookup(fv.LEVEL_SEVERITY, overall).alias("severity"),
         "alerts",
         *fv.WEATHER,
         summary.alias("summary"),

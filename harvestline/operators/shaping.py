@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from harvestline import fixed_values as fv
 from harvestline.functions.labels import source_badge
+from harvestline.functions.numbers import compact_text
 from harvestline.functions.text import display_name
 
 
@@ -69,17 +70,23 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def complete_rows(df: DataFrame, required: Iterable[str], at_least: int = 10) -> tuple[DataFrame, dict]:
-    """Rows without NULL in the required columns, with the counts; too few rows is an error."""
-    required = [c for c in required if c in df.columns]
-    kept = df.select(*required).dropna("any")
+def completeness(df: DataFrame, required: Iterable[str]) -> DataFrame:
+    """Rows, complete rows and rows that miss a required value."""
     whole = F.lit(True)
     for c in required:
         whole = whole & F.col(c).isNotNull()
-    counts = df.select(*required).agg(F.count("*").alias("rows"), F.count_if(whole).alias("kept")).first()
+    return df.agg(
+        F.count("*").alias("n_rows"), F.count_if(whole).alias("kept"), F.count_if(~whole).alias("dropped")
+    )
+
+
+def complete_rows(df: DataFrame, required: Iterable[str], at_least: int = 10) -> tuple[DataFrame, dict]:
+    """Rows without NULL in the required columns, with the counts; too few rows is an error."""
+    required = [c for c in required if c in df.columns]
+    counts = completeness(df, required).first().asDict()
     if counts["kept"] < at_least:
         raise ValueError(f"only {counts['kept']} complete rows")
-    return kept, {"rows": counts["rows"], "kept": counts["kept"], "dropped": counts["rows"] - counts["kept"]}
+    return df.select(*required).dropna("any"), counts
 
 
 def _kind(feature) -> tuple:
@@ -115,8 +122,6 @@ def input_summary(inputs: DataFrame, key: str = "request_id") -> DataFrame:
 
     `inputs` carries the features, `irrigation_source`, `npk_source` and `weather_source`.
     """
-    from harvestline.functions.numbers import compact_text
-
     texts = [
         (F.col(c).cast("string") if c in (*fv.CATEGORICAL, "crop_year") else compact_text(F.col(c))).alias(c)
         for c in fv.FEATURES
