@@ -72,6 +72,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: half_even(F.col(c), digits) for c in columns})
 
 
+def states(spark, folder):
+    return t.table(spark, folder, "nation").select(F.col("n_name").alias("state"))
+
+
 # --- shared tables -------------------------------------------------------------------------------
 @shared
 def yearly(spark, folder):
@@ -116,10 +120,14 @@ def forecast(spark, folder):
 
 @shared
 def enriched(spark, folder):
-    rows = en.enrich_all(
-        t.production(spark, folder), snapshot(spark, folder), t.irrigation(spark, folder), t.fertilizer(spark, folder)
+    """Production rows with all features: a lazy plan whose small sides are stored."""
+    return en.enrich_all(
+        t.production(spark, folder),
+        snapshot(spark, folder),
+        t.irrigation(spark, folder),
+        t.fertilizer(spark, folder),
+        states=states(spark, folder),
     )
-    return stored(rows, "enriched")
 
 
 @shared
@@ -204,6 +212,12 @@ def risk_fired_rules(spark, folder):
     return rounded(risk.fired_rules(weather, wx.weather_norms(weather)), 6, "current_value")
 
 
+@query
+def risk_rules_from_table(spark, folder):
+    fired = risk.fired_by_table(yearly(spark, folder), risk.rule_table(spark))
+    return rounded(fired.select("state", "crop_year", "rule_ord", "metric", "value", "level", "category"), 6, "value")
+
+
 def _report(spark, folder):
     weather = yearly(spark, folder)
     return risk_report.risk_report(weather, wx.weather_norms(weather))
@@ -287,7 +301,8 @@ def centroid_lookup(spark, folder):
 
 @query
 def input_enrichment(spark, folder):
-    rows = en.enrich_inputs(t.production(spark, folder), t.irrigation(spark, folder), t.fertilizer(spark, folder))
+    dimensions = t.irrigation(spark, folder), t.fertilizer(spark, folder)
+    rows = en.enrich_inputs(t.production(spark, folder), *dimensions, states=states(spark, folder))
     return rows.select("row_key", "state", fv.IRRIGATION, fv.FERTILIZER)
 
 

@@ -35,17 +35,12 @@ def percent_of(part: Column, base: Column) -> Column:
     return F.when(base > 0, part / base * 100).otherwise(F.when(base.isNotNull(), F.lit(0.0)))
 
 
-def compare(value: Column, op: str | Column, threshold: Column) -> Column:
-    """`value op threshold` for `<`, `>`, `<=`, `>=`; any other operator is false."""
-    tests = {
-        "<": value < threshold,
-        ">": value > threshold,
-        "<=": value <= threshold,
-        ">=": value >= threshold,
-    }
-    if isinstance(op, str):
-        return F.coalesce(tests.get(op, F.lit(False)), F.lit(False))
-    chain = F.lit(False)
-    for symbol, test in tests.items():
-        chain = F.when(op == symbol, F.coalesce(test, F.lit(False))).otherwise(chain)
-    return chain
+def compare(value: Column, op: Column, threshold: Column) -> Column:
+    """`value op threshold` for `<`, `>`, `<=`, `>=`; any other operator, or a NULL value, is false."""
+    test = (
+        F.when(op == "<", value < threshold)
+        .when(op == ">", value > threshold)
+        .when(op == "<=", value <= threshold)
+        .when(op == ">=", value >= threshold)
+    )
+    return F.coalesce(test, F.lit(False))

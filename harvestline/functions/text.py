@@ -46,7 +46,9 @@ def seasons_of_month(month: Column) -> Column:
 
 
 def display_name(column: Column) -> Column:
-    return F.coalesce(lookup(fv.DISPLAY_NAMES, column), F.initcap(F.replace(column, F.lit("_"), F.lit(" "))))
+    """The fixed display name, else title case, where a letter after a digit also counts as a start."""
+    words = F.regexp_extract_all(F.replace(column, F.lit("_"), F.lit(" ")), F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    return F.coalesce(lookup(fv.DISPLAY_NAMES, column), F.array_join(F.transform(words, F.initcap), ""))
 
 
 def state_year_key(state: Column, year: Column) -> Column:

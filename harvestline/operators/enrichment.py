@@ -38,14 +38,21 @@ def match_inputs(keys: DataFrame, irrigation: DataFrame | None, fertilizer: Data
 
 
 def enrich_inputs(
-    df: DataFrame, irrigation: DataFrame | None, fertilizer: DataFrame | None, state: str = "state"
+    df: DataFrame,
+    irrigation: DataFrame | None,
+    fertilizer: DataFrame | None,
+    state: str = "state",
+    states: DataFrame | None = None,
 ) -> DataFrame:
-    """Add both input columns. A NULL state, an unknown state or no state column gives the defaults."""
+    """Add both input columns. A NULL state, an unknown state or no state column gives the defaults.
+
+    `states` may name a table that holds every state of `df`; it saves the pass that finds them.
+    """
     defaults = {fv.IRRIGATION: fv.DEFAULT_IRRIGATION, fv.FERTILIZER: fv.DEFAULT_FERTILIZER}
     wanted = [c for c in defaults if c not in df.columns]
     if state not in df.columns:
         return df.withColumns({c: F.lit(defaults[c]) for c in wanted})
-    matched = match_inputs(df, irrigation, fertilizer, state).select(state, *wanted)
+    matched = match_inputs(df if states is None else states, irrigation, fertilizer, state).select(state, *wanted)
     joined = df.join(matched, state, "left")
     return joined.select(*df.columns, *[F.coalesce(c, F.lit(defaults[c])).alias(c) for c in wanted])
 
@@ -170,6 +177,7 @@ def enrich_all(
     irrigation: DataFrame | None = None,
     fertilizer: DataFrame | None = None,
     state: str = "state",
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Add whichever of the six columns are absent. A missing snapshot gives NULL weather."""
     if any(c not in df.columns for c in fv.WEATHER):
@@ -179,7 +187,7 @@ def enrich_all(
         else:
             df = enrich_weather(bare, snapshot, state)
     if fv.IRRIGATION not in df.columns or fv.FERTILIZER not in df.columns:
-        df = enrich_inputs(df, irrigation, fertilizer, state)
+        df = enrich_inputs(df, irrigation, fertilizer, state, states)
     return df
 
 

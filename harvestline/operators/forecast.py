@@ -1,8 +1,8 @@
 """Six-hourly forecast points to seasonal features, comparison with history, snapshot validity."""
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harvestline import fixed_values as fv
 from harvestline.functions.labels import (
@@ -105,16 +105,22 @@ def forecast_delta(forecast: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def is_fresh(cached_at, as_of: str):
-    """Younger than 30 days and from the same calendar month; a missing time is not fresh."""
-    return _within_ttl(cached_at, as_of) & (
-        F.date_format(cached_at, "yyyy-MM") == F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM")
-    )
+def is_fresh(cached_at: Column, as_of: str) -> Column:
+    """Younger than 30 days and from the same calendar month; a missing time is not fresh.
+
+    Plain ranges on the stored column, so they reach the scan.
+    """
+    month = datetime.fromisoformat(as_of).date().replace(day=1)
+    following = (month + timedelta(days=31)).replace(day=1)
+    return _within_ttl(cached_at, as_of) & (cached_at >= _instant(month)) & (cached_at < _instant(following))
+
+
+def _within_ttl(cached_at: Column, as_of: str) -> Column:
+    return cached_at > _instant(datetime.fromisoformat(as_of) - timedelta(seconds=fv.FORECAST_TTL_SECONDS))
 
 
-def _within_ttl(cached_at, as_of: str):
-    age = F.timestamp_diff("SECOND", cached_at, F.lit(as_of).cast("timestamp_ntz"))
-    return F.coalesce(age < fv.FORECAST_TTL_SECONDS, F.lit(False))
+def _instant(moment: date | datetime) -> Column:
+    return F.lit(str(moment)).cast("timestamp_ntz")
 
 
 def latest_valid(snapshot: DataFrame, as_of: str, key=("state", "season"), order=("cached_at", "snap_id")) -> DataFrame:
@@ -126,7 +132,7 @@ def latest_valid(snapshot: DataFrame, as_of: str, key=("state", "season"), order
 
 
 def forecast_snapshot_stats(snapshot: DataFrame, as_of: str) -> DataFrame:
-    valid = _within_ttl(F.col("cached_at"), as_of)
+    valid = F.coalesce(_within_ttl(F.col("cached_at"), as_of), F.lit(False))
     return snapshot.agg(
         F.count("*").alias("total_entries"),
         F.count_if(valid).alias("valid_entries"),

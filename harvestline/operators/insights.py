@@ -9,6 +9,7 @@ from harvestline import fixed_values as fv
 from harvestline.functions.numbers import half_even
 from harvestline.operators.quantiles import exact_quantiles
 from harvestline.operators.shaping import numeric_columns
+from harvestline.sources.stored import stored
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -48,17 +49,24 @@ def trend(df: DataFrame, year: str = "crop_year", target: str = fv.TARGET) -> Da
 def first_value(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
     """First non-NULL value of each group, groups by value."""
     present = df.where(F.col(value).isNotNull())
-    return present.groupBy(by).agg(F.min_by(value, order).alias(value)).orderBy(value, by)
+    # Most often the value is a property of the group.  Distinct pairs are a hash aggregate; only groups
+    # with several values need the order column, whose text minimum has to sort its input.
+    pairs = stored(present.select(by, value).distinct(), "group-values")
+    several = pairs.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    single = pairs.join(several, by, "left_anti")
+    ordered = present.join(several, by, "left_semi").groupBy(by).agg(F.min_by(value, order).alias(value))
+    return single.select(by, value).unionByName(ordered).orderBy(value, by)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed on both sides."""
     present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     span = present.agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
-    present = present.withColumn("_r", span.select(F.struct("low", "high")).scalar())
+    span = span.select(F.struct("low", "high")).scalar()
+    present = present.withColumn("_r", span)
     low, high = F.col("_r.low"), F.col("_r.high")
     index = F.when(high > low, F.least(F.floor((F.col("_v") - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0)
-    counted = present.groupBy(*by, index.cast("int").alias("bin"), "_r").agg(F.count("*").alias("n"))
+    counted = present.groupBy(*by, index.cast("int").alias("bin")).agg(F.count("*").alias("n")).withColumn("_r", span)
     width = (high - low) / bins
     return counted.select(
         *by, "bin", (low + F.col("bin") * width).alias("bin_start"), (low + (F.col("bin") + 1) * width).alias("bin_end"), "n"

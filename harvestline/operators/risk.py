@@ -5,10 +5,10 @@ no shuffle, and the same code works on a stream.  Within a category the rules ar
 severe to the least, earlier rules first, which is the best alert of that category.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harvestline import fixed_values as fv
-from harvestline.functions.numbers import fixed_text, half_even, nan_to_null, percent_of, signed_text
+from harvestline.functions.numbers import compare, fixed_text, half_even, nan_to_null, percent_of, signed_text
 from harvestline.functions.text import lookup
 
 
@@ -99,6 +99,22 @@ def fired_rules(weather: DataFrame, norms: DataFrame | None = None, rules=None)
     return rows.withColumn("_a", _alert(F.col("_rule"))).select(*entity, "_a.*")
 
 
+def rule_table(spark: SparkSession, rules=None) -> DataFrame:
+    """The rules as data."""
+    rows = [(i, *r) for i, r in enumerate(fv.RISK_RULES if rules is None else rules, 1)]
+    return spark.createDataFrame(
+        rows, "rule_ord int, metric string, op string, threshold double, level string, category string"
+    )
+
+
+def fired_by_table(weather: DataFrame, rules: DataFrame) -> DataFrame:
+    """Fired rules of a rule table of any length: an equi-join on the metric, then the comparison."""
+    entity = [c for c in weather.columns if c not in fv.WEATHER]
+    values = [nan_to_null(F.col(c)).alias(c) for c in fv.WEATHER]
+    long = weather.select(*entity, *values).unpivot(entity, fv.WEATHER, "metric", "value").where("value is not null")
+    return long.join(rules, "metric").where(compare(F.col("value"), F.col("op"), F.col("threshold")))
+
+
 def _best_of_category(category: str, rules) -> str:
     """`(rank, first, number)` of the best fired rule of a category, NULL when none fired.
 

@@ -296,6 +296,8 @@ BODIES: dict[str, str] = {
     "weather_norms": f"SELECT {', '.join(W)} FROM norms",
     "risk_fired_rules": f"""SELECT state, crop_year, cast(rule_ord as int) AS rule_ord, level, category, icon, title, message, metric_name,
         {rnd('current_value', 6)} AS current_value, threshold, norm_value, {rnd('deviation', 1)} AS deviation_pct FROM fired""",
+    "risk_rules_from_table": f"""SELECT state, crop_year, cast(rule_ord as int) AS rule_ord, metric_name AS metric,
+        {rnd('current_value', 6)} AS value, level, category FROM fired""",
     "risk_best_alert": f"""SELECT state, crop_year, cast(alert_pos as int) AS alert_pos, cast(rule_ord as int) AS rule_ord, level, category,
         title, message, {rnd('deviation', 1)} AS deviation_pct FROM best""",
     "risk_assessments": f"""SELECT state, crop_year, overall_risk, overall_icon, cast(severity as int) AS severity,
