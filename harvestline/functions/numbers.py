@@ -35,6 +35,16 @@ def percent_of(part: Column, base: Column) -> Column:
     return F.when(base > 0, part / base * 100).otherwise(F.when(base.isNotNull(), F.lit(0.0)))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over the rows that have both values, NULL where one of them does not vary.
+
+    `F.corr` raises on a constant column in ANSI mode; the two regression slopes are NULL there and their
+    product is the squared correlation.
+    """
+    slope, inverse = F.regr_slope(a, b), F.regr_slope(b, a)
+    return F.signum(slope) * F.sqrt(slope * inverse)
+
+
 def compare(value: Column, op: Column, threshold: Column) -> Column:
     """`value op threshold` for `<`, `>`, `<=`, `>=`; any other operator, or a NULL value, is false."""
     test = (

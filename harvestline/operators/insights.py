@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from harvestline import fixed_values as fv
-from harvestline.functions.numbers import half_even
+from harvestline.functions.numbers import correlation, half_even
 from harvestline.operators.quantiles import exact_quantiles
 from harvestline.operators.shaping import numeric_columns
 from harvestline.sources.stored import stored
@@ -77,7 +77,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Pairwise-complete Pearson correlations of the numeric columns, one aggregate for all pairs."""
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
-    sums = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)], *[_self(c) for c in columns])
+    sums = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)], *[_self(c) for c in columns])
     cells = []
     for i, (a, b) in enumerate(pairs):
         cells += [_cell(a, b, F.col(f"`{i}`")), _cell(b, a, F.col(f"`{i}`"))]
@@ -177,7 +177,7 @@ def scatter_summary(df: DataFrame, feature: str, target: str = fv.TARGET, by: st
     """What a plot of all points would show: count, correlation and slope per group."""
     return df.groupBy(by).agg(
         F.count_if(F.col(feature).isNotNull() & F.col(target).isNotNull()).alias("n"),
-        F.corr(feature, target).alias("corr"),
+        correlation(feature, target).alias("corr"),
         F.regr_slope(target, feature).alias("slope"),
     )
 
