@@ -627,7 +627,7 @@ def impute_medians(spark, folder):
 
 @query
 def impute_modes(spark, folder):
-    return encoding.modes(labelled(spark, folder).where("split = 'train'"))
+    return encoding.modes(encoding.category_counts(labelled(spark, folder).where("split = 'train'")))
 
 
 @query
@@ -637,7 +637,7 @@ def scale_stats(spark, folder):
 
 @query
 def onehot_labels(spark, folder):
-    return encoding.categories(labelled(spark, folder).where("split = 'train'"))
+    return encoding.categories(encoding.category_counts(labelled(spark, folder).where("split = 'train'")))
 
 
 @shared

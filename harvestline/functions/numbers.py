@@ -10,8 +10,8 @@ def fixed_text(x: Column, digits: int) -> Column:
 
 def half_even(x: Column, digits: int) -> Column:
     """Correctly rounded double (`F.round` is half-up, `F.bround` rounds the decimal text)."""
-    rounded = fixed_text(x, digits).cast("double")
-    return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+    # Adding 0.0 turns -0.0 into 0.0 and changes nothing else.
+    return fixed_text(x, digits).cast("double") + F.lit(0.0)
 
 
 def nan_to_null(x: Column) -> Column:

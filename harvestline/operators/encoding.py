@@ -12,8 +12,9 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from harvestline import fixed_values as fv
-from harvestline.operators.insights import unpivoted
+from harvestline.operators.insights import per_column, unpivoted
 from harvestline.operators.quantiles import exact_quantiles
+from harvestline.sources.stored import stored
 
 
 # --- statistics ----------------------------------------------------------------------------------
@@ -22,21 +23,22 @@ def medians(df: DataFrame, columns: Sequence[str] = tuple(fv.NUMERICAL)) -> Data
     return exact_quantiles(unpivoted(df, columns), "value", {"median": 0.5}, ["feature"]).select("feature", "median")
 
 
-def modes(df: DataFrame, columns: Sequence[str] = tuple(fv.CATEGORICAL)) -> DataFrame:
-    """`(feature, mode)`: the most frequent value, the smallest on a tie."""
+def category_counts(df: DataFrame, columns: Sequence[str] = tuple(fv.CATEGORICAL)) -> DataFrame:
+    """`(feature, value, _n)`. Counting goes through the combinations, which the map side reduces."""
     columns = list(columns)
     combos = df.groupBy(*columns).agg(F.count("*").alias("_n"))
     values = combos.unpivot(["_n"], columns, "feature", "value").where(F.col("value").isNotNull())
-    counts = values.groupBy("feature", "value").agg(F.sum("_n").alias("_n"))
+    return values.groupBy("feature", "value").agg(F.sum("_n").alias("_n"))
+
+
+def modes(counts: DataFrame) -> DataFrame:
+    """`(feature, mode)` of `category_counts`: the most frequent value, the smallest on a tie."""
     return counts.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("_n"), "value")).alias("mode"))
 
 
-def categories(df: DataFrame, columns: Sequence[str] = tuple(fv.CATEGORICAL)) -> DataFrame:
-    """`(feature, value, slot)` in sort order, counted from 0."""
-    columns = list(columns)
-    combos = df.select(*columns).distinct()
-    values = combos.unpivot([], columns, "feature", "value").where(F.col("value").isNotNull())
-    labels = values.groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("v"))
+def categories(counts: DataFrame) -> DataFrame:
+    """`(feature, value, slot)` of `category_counts` in sort order, slots counted from 0."""
+    labels = counts.groupBy("feature").agg(F.sort_array(F.collect_set("value")).alias("v"))
     return labels.select("feature", F.posexplode("v").alias("slot", "value"))
 
 
@@ -51,12 +53,9 @@ def imputed(df: DataFrame, median_of: dict, mode_of: dict) -> DataFrame:
 
 def scales(df: DataFrame, columns: Sequence[str] = tuple(fv.NUMERICAL)) -> DataFrame:
     """`(feature, mean, scale)`: population deviation, 1 where a column does not vary."""
-    spread = F.stddev_pop("value")
-    return (
-        unpivoted(df, columns)
-        .groupBy("feature")
-        .agg(F.avg("value").alias("mean"), F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("scale"))
-    )
+    spread = per_column(df, list(columns), mean=F.avg, sd=F.stddev_pop)
+    scale = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
+    return spread.select("feature", "mean", scale.alias("scale"))
 
 
 # --- fitted pipeline -----------------------------------------------------------------------------
@@ -102,14 +101,14 @@ def fit_features(
     """Categories first, then numbers. An unseen category encodes as zeros."""
     categorical, numerical = list(categorical), list(numerical)
     median_of = _rows(medians(train, numerical), "feature", "median") if impute else {}
-    mode_of = _rows(modes(train, categorical), "feature", "mode") if impute else {}
+    counts = stored(category_counts(train, categorical), "category-counts")
+    mode_of = _rows(modes(counts), "feature", "mode") if impute else {}
     # A column without any value would have no median; it becomes constant.
     median_of = {c: median_of.get(c, 0.0) for c in numerical} if impute else {}
-    mode_of = {c: m for c, m in mode_of.items() if m is not None}
-    filled = imputed(train, median_of, mode_of)
-    scale_of = _rows(scales(filled, numerical), "feature", "mean", "scale")
+    # Filling in the most frequent value adds no category.
+    scale_of = _rows(scales(imputed(train, median_of, {}), numerical), "feature", "mean", "scale")
     labels = {c: [] for c in categorical}
-    for row in categories(filled, categorical).orderBy("feature", "slot").collect():
+    for row in categories(counts).orderBy("feature", "slot").collect():
         labels[row["feature"]].append(row["value"])
     return assemble_features(train.sparkSession, categorical, numerical, labels, median_of, mode_of, scale_of, drop_first, output)
 

@@ -25,7 +25,6 @@ def season_forecast(points: DataFrame, as_of: date | str, group: str = "state")
     """
     seasons = F.array_append(F.coalesce(seasons_of_month(F.month("ts")), F.array().cast("array<string>")), F.lit(_ALL_POINTS))
     by_season = points.withColumn("season", F.explode(seasons))
-    ahead = F.datediff(F.to_date("ts"), as_date(as_of))
     stats = by_season.groupBy(group, "season").agg(
         F.count("*").alias("data_points"),
         F.avg("temperature_2m").alias("_temp"),
@@ -36,12 +35,12 @@ def season_forecast(points: DataFrame, as_of: date | str, group: str = "state")
         F.stddev_pop("precipitation").alias("_rain_sd"),
         F.stddev_pop("relative_humidity_2m").alias("_hum_sd"),
         F.stddev_pop("shortwave_radiation").alias("_rad_sd"),
-        # Whole days: the exact median keeps one counter per distinct day.
-        F.median(ahead).alias("_ahead"),
     )
     all_points = F.max(F.when(F.col("season") == _ALL_POINTS, F.col("data_points"))).over(Window.partitionBy(group))
     stats = stats.withColumn("_all", all_points).where(F.col("season") != _ALL_POINTS)
 
+    stats = stats.join(_median_days_ahead(points, as_of, group), [group, "season"], "left")
+
     days = F.col("data_points") / fv.READINGS_PER_DAY
     coverage = F.col("data_points") / F.col("_all") * 100
     horizon = F.greatest(F.lit(0), F.coalesce(F.col("_ahead").cast("int"), F.lit(fv.FORECAST_DAYS)))
@@ -69,6 +68,18 @@ def season_forecast(points: DataFrame, as_of: date | str, group: str = "state")
     )
 
 
+def _median_days_ahead(points: DataFrame, as_of: date | str, group: str) -> DataFrame:
+    """Median of the whole days from `as_of` to the points of each season.
+
+    Points are counted per day first, so the exact median sees one row per day, and the counting is a hash
+    aggregate.
+    """
+    ahead = F.datediff(F.to_date("ts"), as_date(as_of))
+    daily = points.where(F.col("ts").isNotNull()).groupBy(group, ahead.alias("_day"), F.month("ts").alias("_month"))
+    days = daily.agg(F.count("*").alias("_n")).withColumn("season", F.explode(seasons_of_month(F.col("_month"))))
+    return days.groupBy(group, "season").agg(F.percentile(F.col("_day"), 0.5, F.col("_n")).alias("_ahead"))
+
+
 def forecast_rejects(asked: DataFrame, forecast: DataFrame) -> DataFrame:
     """Asked `(state, season)` pairs that got no forecast, with the reason."""
     wanted = asked.select("state", canonical_season(F.col("season")).alias("season")).distinct()

@@ -1,7 +1,7 @@
 """Report aggregates over production rows."""
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -74,24 +74,29 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations of the numeric columns, one aggregate for all pairs."""
-    columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    sums = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)], *[_self(c) for c in columns])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells += [_cell(a, b, F.col(f"`{i}`")), _cell(b, a, F.col(f"`{i}`"))]
-    cells += [_cell(c, c, F.col(f"self_{c}")) for c in columns]
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _self(c: str):
-    varies = F.count_if(F.col(c).isNotNull()) > 1
-    return F.when(varies & (F.max(c) > F.min(c)), F.lit(1.0)).alias(f"self_{c}")
+    """Pairwise-complete Pearson correlations of the numeric columns; NULL where a column does not vary.
 
-
-def _cell(a: str, b: str, value):
-    return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value.alias("corr"))
+    A row is repeated once per pair in front of the map-side aggregate.  One aggregate with all pairs side by
+    side would be too wide for generated code; this one has ten sums, whatever the number of columns.
+    """
+    columns = list(columns or numeric_columns(df))
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    numbers = [F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1)]
+    rows = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"))
+    rows = rows.select("pair", *[F.get("v", F.get(n, F.col("pair"))).alias(c) for n, c in zip(numbers, "ab")])
+    sums = rows.where("a is not null and b is not null").groupBy("pair").agg(
+        F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")
+    )
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
+    spread = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("cov") / (F.col("sa") * F.col("sb")))
+    name = F.array(*[F.lit(c) for c in columns])
+    left, right = (F.get(name, F.get(n, F.col("pair"))) for n in numbers)
+    cells = every.join(sums, "pair", "left").select(left.alias("l"), right.alias("r"), spread.alias("corr"))
+    both = F.array_distinct(
+        F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("l", "r"), ("r", "l"))])
+    )
+    return cells.select(F.explode(both).alias("p"), "corr").select("p.x", "p.y", "corr")
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -137,18 +142,23 @@ def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
 
 
+def per_column(df: DataFrame, columns: Sequence[str], **statistics) -> DataFrame:
+    """`(feature, one column per statistic)` from one aggregate over the columns side by side."""
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    wide = df.agg(
+        *[F.struct(*[f(x).alias(s) for s, f in statistics.items()]).alias(c) for c, x in numbers.items()]
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.*")) for c in columns])
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, range and quartiles, one row per numeric column."""
     columns = list(columns or numeric_columns(df))
-    long = unpivoted(df, columns)
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    moments = per_column(
+        df, columns, count=F.count, mean=F.avg, std=F.stddev_samp, min=F.min, max=F.max
     )
-    quartiles = exact_quantiles(long, "value", QUARTILES, ["feature"])
+    quartiles = exact_quantiles(unpivoted(df, columns), "value", QUARTILES, ["feature"])
     return moments.join(quartiles, "feature", "left").select(
         "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )

@@ -54,18 +54,18 @@ def exact_quantiles(
         )
     bounds = stored(bounds.select(*by, "n", F.array(*brackets).alias("_b")), "quantile-bounds")
 
-    if by:
-        same = [data[c].eqNullSafe(bounds[c]) for c in by]
-        bracketed = data.join(bounds, same).select(*[data[c] for c in by], "_v", "n", "_b")
-    else:
-        one = bounds.select(F.struct("n", "_b").alias("s")).scalar()
-        bracketed = data.withColumn("_s", one).select("_v", "_s.n", "_s._b")
-    hits = bracketed.select(*by, "n", "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
+    def with_bounds(rows: DataFrame) -> DataFrame:
+        if not by:
+            return rows.withColumn("_s", bounds.select(F.struct("n", "_b")).scalar()).select(*rows.columns, "_s.*")
+        return rows.join(bounds, [rows[c].eqNullSafe(bounds[c]) for c in by]).select(
+            *[rows[c] for c in rows.columns], "n", "_b"
+        )
+
+    hits = with_bounds(data).select(*by, "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
     inside = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))
+    counts = hits.select(*by, "_b.i", inside.alias("_v")).groupBy(*by, "i", "_v").agg(F.count("*").alias("_c"))
+    counts = with_bounds(counts).withColumn("position", F.get("_b", F.col("i"))["position"]).drop("_b")
     group = [*by, "n", "i", "position"]
-    counts = hits.select(*by, "n", "_b.i", "_b.position", inside.alias("_v")).groupBy(*group, "_v").agg(
-        F.count("*").alias("_c")
-    )
     running = F.sum("_c").over(
         Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     )
