@@ -132,7 +132,7 @@ def enriched(spark, folder):
 
 @shared
 def labelled(spark, folder):
-    return stored(splitting.split(enriched(spark, folder), "row_key", ["crop"]), "labelled")
+    return splitting.split(stored(enriched(spark, folder), "rows"), "row_key", ["crop"])
 
 
 @shared

@@ -24,7 +24,7 @@ def split_thresholds(
     strata: Sequence[str] = (),
     fraction: float = fv.TEST_FRACTION,
     seed: int = fv.SEED,
-    prefix_digits: int = 3,
+    prefix_digits: int = 4,
 ) -> DataFrame:
     """`(strata…, n, n_test, threshold)`: a row is test when its hash is at most the threshold."""
     strata = list(strata)
@@ -63,7 +63,7 @@ def split(
     strata: Sequence[str] = (),
     fraction: float = fv.TEST_FRACTION,
     seed: int = fv.SEED,
-    prefix_digits: int = 3,
+    prefix_digits: int = 4,
 ) -> DataFrame:
     """`df` with a `split` column. The key must be unique; a stratum of one row goes to train."""
     strata = list(strata)
