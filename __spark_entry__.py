@@ -31,7 +31,7 @@ from harvestline.operators import (
     splitting,
     weather as wx,
 )
-from harvestline.plans import evaluation, risk_report, schema_document, scoring, snapshot_fill, training
+from harvestline.plans import evaluation, forecast_report, insight_report, risk_report, schema_document, scoring, snapshot_fill, training
 from harvestline.session import scratch_path
 from harvestline.sources import files, payloads, snapshots, tables as t
 from harvestline.sources.stored import stored
@@ -251,6 +251,13 @@ def risk_level_counts(spark, folder):
     return _report(spark, folder).counts
 
 
+@query
+def current_risk(spark, folder):
+    """Risk table of every state over the trailing period, against the norms of the whole snapshot."""
+    observations = t.observations(spark, folder, risk_report.trailing_start(AS_OF), AS_OF)
+    return risk_report.current_risk(observations, AS_OF, wx.weather_norms(yearly(spark, folder))).table
+
+
 @query
 def risk_responses(spark, folder):
     """Assessments over the trailing period as JSON records."""
@@ -442,6 +449,15 @@ def forecast_delta(spark, folder):
     return rounded(rows, 6, *[f"hist_{c}" for c in fv.WEATHER])
 
 
+@query
+def asked_forecasts(spark, folder):
+    """The forecast report of the states and seasons that requests ask for."""
+    report, _ = forecast_report.forecast_report(
+        t.forecast_series(spark, folder), trailing(spark, folder), FORECAST_AS_OF, t.requests(spark, folder)
+    )
+    return report.select("state", "season", *fv.WEATHER, *[f"delta_{c}" for c in fv.WEATHER])
+
+
 @query
 def latest_valid_forecast(spark, folder):
     rows = fc.latest_valid(t.forecast_snapshot(spark, folder), SNAPSHOT_AS_OF)
@@ -568,6 +584,14 @@ def describe(spark, folder):
     return rounded(rows, 4, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+@query
+def insight_trend(spark, folder):
+    """Yield by year from the report set, over its default crops."""
+    dimensions = t.irrigation(spark, folder), t.fertilizer(spark, folder)
+    report = insight_report.insight_report(t.production(spark, folder), snapshot(spark, folder), *dimensions)
+    return rounded(report.by_year, 4, "mean_yield")
+
+
 @query
 def scatter_points(spark, folder):
     return rounded(ins.scatter_points(enriched(spark, folder), "mean_temperature"), 6, "mean_temperature")
@@ -613,9 +637,9 @@ def split_sizes(spark, folder):
 def split_files(spark, folder):
     """Train and test written as CSV folders and read back with a schema."""
     path = scratch_path(spark, "splits")
-    files.write_splits(labelled(spark, folder).select("crop", "state", "season", "crop_year", "area", "yield", "split"), path)
-    schema = "crop string, state string, season string, crop_year int, area double, yield double"
-    parts = [files.read_split(spark, path, s, schema).withColumn("split", F.lit(s)) for s in ("train", "test")]
+    columns = [c.split()[0] for c in files.PRODUCTION_SCHEMA.split(", ")]
+    files.write_splits(labelled(spark, folder).select(*columns, "split"), path)
+    parts = [files.read_split(spark, path, s, files.PRODUCTION_SCHEMA).withColumn("split", F.lit(s)) for s in ("train", "test")]
     both = parts[0].unionByName(parts[1])
     return rounded(both.groupBy("split", "crop").agg(F.count("*").alias("n"), F.sum("area").alias("area")), 4, "area")
 

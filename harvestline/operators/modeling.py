@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline import fixed_values as fv
 from harvestline.operators.encoding import FeatureModel
+from harvestline.session import ensure_checkpoints
 from harvestline.sources.stored import stored
 
 
@@ -45,6 +46,7 @@ def search(
     The encoded rows are stored first: every fold and tree then reads the same columns from the shared
     folder, and the seeded folds come out the same after a lost executor.
     """
+    ensure_checkpoints(prepared.sparkSession)
     matrix = stored(prepared.select(features, F.col(label).cast("double").alias(label)), "training-matrix")
     trees = GBTRegressor(featuresCol=features, labelCol=label, seed=seed)
     builder = ParamGridBuilder()

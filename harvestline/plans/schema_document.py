@@ -6,11 +6,13 @@ from harvestline import fixed_values as fv
 from harvestline.operators.encoding import FeatureModel, fit_features
 from harvestline.operators.insights import area_stats
 from harvestline.operators.shaping import complete_rows
+from harvestline.sources.stored import stored
 
 
 def fit_schema(enriched: DataFrame) -> tuple[FeatureModel, DataFrame]:
     """Fit on the complete rows, keeping every category, and document the result."""
-    rows, _ = complete_rows(enriched, [*fv.FEATURES, fv.TARGET])
+    complete, _ = complete_rows(enriched, [*fv.FEATURES, fv.TARGET])
+    rows = stored(complete, "schema-rows")
     model = fit_features(rows, drop_first=False, impute=False)
     return model, schema_document(rows, model)
 

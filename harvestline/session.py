@@ -39,6 +39,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 _local_folders: dict[str, str] = {}
 
 
@@ -46,7 +52,6 @@ def _local_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(_local_folders[app])
     return _local_folders[app]
 
 

