@@ -891,9 +891,23 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     statements = oracles.all_statements()
-    return {name: statements[name] for name in _queries if name in statements}
+    return {name: statements[name] for name in _queries if name in statements} | _corpus()[1]
+
+
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """The operators on training text and their pipeline, where that subpackage is there."""
+    try:
+        import corpus_pipeline
+        from harvestline.llm import queries as corpus
+    except ModuleNotFoundError as error:
+        if error.name and (error.name == "corpus_pipeline" or error.name.startswith("harvestline.llm")):
+            return {}, {}
+        raise
+    pipeline = {"pipeline": lambda spark, folder: corpus_pipeline.run(spark, folder)}
+    written = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return corpus.queries() | pipeline, corpus.oracle_sql() | written

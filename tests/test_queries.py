@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as registry
 from check_queries import compare, open_tables
 
-QUERIES = registry.queries()
+QUERIES = registry._queries
 STATEMENTS = registry.oracle_sql()
 
 
