@@ -215,7 +215,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BI
     # Of each component a single code is kept, the one that has its smallest doc_id, and of that code a single row.
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "code")).alias("b"))
     best = stored(best.select(F.col("b.code").alias("_code"), F.col("b.least_id").alias("_least")), "best")
-    kept = rows.join(best, "_code", "left_semi").join(best.withColumnRenamed("_code", "_c"), (F.col("_code") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_least")))
+    best = best.withColumnRenamed("_code", "_best")
+    kept = rows.join(best, (F.col("_code") == F.col("_best")) & F.col("doc_id").eqNullSafe(F.col("_least")))
     # Rows that share the smallest doc_id: the first by content. They have one code and one id, so these are repeated rows.
     order = [F.col("_code"), F.col("doc_id")]
     ranked = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*order).orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "text"])))
