@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestline.llm import mixing, packing, quality, secrets, simhash
+from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, toxicity
 from harvestline.llm.common import documents
 
 
@@ -10,14 +10,30 @@ def _labels(spark, folder):
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def op1_language(spark, folder):
+    return language.score(documents(spark, folder))
+
+
 def op2_best_fit_packing(spark, folder):
     return packing.pack(documents(spark, folder))
 
 
+def op3_top_k(spark, folder):
+    return neighbours.top_k(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op4_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder))
 
 
+def op5_toxicity(spark, folder):
+    return toxicity.classify(documents(spark, folder), _labels(spark, folder))
+
+
+def op6_fingerprints(spark, folder):
+    return sampling.neighbours(documents(spark, folder))
+
+
 def op7_secrets(spark, folder):
     return secrets.found_secrets(documents(spark, folder))
 
