@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, toxicity
+from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
 from harvestline.llm.common import documents
 
 
@@ -46,6 +46,10 @@ def op9_mixing(spark, folder):
     return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
 
 
+def op10_substrings(spark, folder):
+    return substrings.dedup(documents(spark, folder))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
