@@ -85,16 +85,24 @@ def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return earlier * WIDTH + before
 
 
+def _hashed(context: np.ndarray) -> np.ndarray:
+    earlier, before = context // WIDTH, context % WIDTH
+    row = lambda kind, value: 1 + ((value * 0x9E3779B1 + kind * 0x85EBCA6B) % 0x7FFFFFFF) % (ROWS - 1)
+    return np.stack([np.zeros_like(context), row(1, before), row(2, context), row(3, earlier)], axis=1)
+
+
+#: The hashed rows that some context names; only these are kept.
+USED = np.unique(_hashed(np.arange(WIDTH * WIDTH)))
+
+
 def features(context: np.ndarray) -> np.ndarray:
     """Weight rows of each context: a constant one, the last class, the last two, the last but one."""
-    earlier, before = context // WIDTH, context % WIDTH
-    hashed = lambda kind, value: 1 + ((value * 0x9E3779B1 + kind * 0x85EBCA6B) % 0x7FFFFFFF) % (ROWS - 1)
-    return np.stack([np.zeros_like(context), hashed(1, before), hashed(2, context), hashed(3, earlier)], axis=1)
+    return np.searchsorted(USED, _hashed(context))
 
 
 def log_classes(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of all classes in each context."""
-    scores = weights[features(context)].sum(axis=1)
+    scores = weights[features(context)].sum(axis=1, dtype=np.float64)
     scores -= scores.max(axis=1, keepdims=True)
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
@@ -150,7 +158,7 @@ def _class_trigrams(docs: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
 
 def _gradient(events: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Observed and expected counts of every weight, the two sides of the gradient: sums over partitions of contexts."""
-    spread = events.sparkSession.sparkContext.broadcast(weights)
+    spread = events.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def work(batches):
         parts = [(np.asarray(b.column("context")), np.asarray(b.column("class")), np.asarray(b.column("n"))) for b in batches]
@@ -171,25 +179,25 @@ def _gradient(events: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.nd
         yield pa.RecordBatch.from_pydict({"row": used, "observed": lists(sums(observed)), "expected": lists(sums(size * p))})
 
     found = events.mapInArrow(work, "row long, observed array<double>, expected array<double>").toArrow()
-    observed, expected = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
+    observed, expected = np.zeros((len(USED), CLASSES)), np.zeros((len(USED), CLASSES))
     if found.num_rows:
         rows = np.asarray(found.column("row"))
         for total, name in ((observed, "observed"), (expected, "expected")):
             values = np.asarray(pa.concat_arrays([c.flatten() for c in found.column(name).chunks]))
             np.add.at(total, rows, values.reshape(-1, CLASSES))
-    spread.unpersist()
+    spread.destroy()
     return observed, expected
 
 
 def train(events: DataFrame, steps: int = STEPS) -> np.ndarray:
     """Weights after `steps` gradient updates, each weight's scaled by its counts; the constant feature starts at the class shares."""
-    weights = np.zeros((ROWS, CLASSES))
+    weights = np.zeros((len(USED), CLASSES))
     shares = {r["class"]: r["n"] for r in events.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     total = sum(shares.values())
     weights[0] = np.log([(shares.get(c, 0) + 0.5) / (total + 0.5 * CLASSES) for c in range(CLASSES)])
     for _ in range(steps):
         observed, expected = _gradient(events, weights)
-        slope = observed - expected - RIDGE * np.where(np.arange(ROWS)[:, None] > 0, weights, 0.0)
+        slope = observed - expected - RIDGE * np.where(np.arange(len(USED))[:, None] > 0, weights, 0.0)
         weights += slope / (_FEATURES / 2 * np.maximum(observed, expected) + RIDGE)
     return weights
 
