@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task holds in work arrays at a time (a single longer text is taken alone).
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def fold(key: str | Column, parts: int) -> Column:

@@ -9,7 +9,7 @@ solution for token features alone is known, the smoothed share of the token's co
 Learning reads every training token: token counts and the counts of class trigrams are added up on the cluster and grow
 with the corpus; gradient steps run over partitions of the distinct contexts with their counts, and their sums (bounded by
 the number of contexts) give the next weights.  Scoring makes the log-probability rows of the contexts from the sparse features
-and gathers them in numpy.  Counts of the `LISTED` commonest tokens go with the tasks (a bounded list); those of
+and gathers them in numpy.  Counts of the commonest tokens, `LISTED` at most, go with the tasks (a bounded list); those of
 all others come by a join on the token.
 
 Defined cases: null text is empty, and an empty text is its end token; a null doc_id counts as empty text in the fold; without training
@@ -40,7 +40,7 @@ STEPS = 10
 RIDGE = 2.0
 SMOOTH = 0.1
 TASKS = 8
-_FLUSH = 400_000
+_FLUSH = 200_000
 END = b" "  # cannot be a word
 _FEATURES = 4
 
@@ -128,6 +128,20 @@ def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _common(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
+    """The tokens above a count that at most `most` of them reach: counts are binned, so that no task sends more than it must."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    found, least = 0, None
+    for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        found += r["count"]
+        if found > most:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    return {bytes(r["token"]): r["n"] for r in vocabulary.where(level >= least).collect()}
+
+
 def _class_trigrams(docs: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
     """context, class, n; there are at most WIDTH² contexts, however large the corpus."""
 
@@ -145,7 +159,7 @@ def _class_trigrams(docs: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 words.extend(tokens(text or ""))
                 ends.append(len(words))
-                if len(words) > 500_000:
+                if len(words) > 250_000:
                     add()
         if words:
             add()
@@ -254,9 +268,9 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0) -> DataFrame:
     held_out = fold("doc_id", parts) == held
     training = docs.where(~held_out)
     vocabulary = stored(_token_counts(training), "vocabulary")
-    top = vocabulary.orderBy(F.col("n").desc(), "token").limit(LISTED).collect()
-    frequent = {bytes(r["token"]): i for i, r in enumerate(top[:FREQUENT])}
-    listed = {bytes(r["token"]): r["n"] for r in top}
+    top = vocabulary.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()
+    frequent = {bytes(r["token"]): i for i, r in enumerate(top)}
+    listed = _common(vocabulary, LISTED)
 
     def named(batches):
         classes = Classes(frequent)

@@ -172,11 +172,11 @@ def _repeats(pieces: DataFrame, key_pieces: int) -> DataFrame:
     dealt = dealt.repartition("unit").sortWithinPartitions("unit")
 
     def work(batches):
-        held, size, last = [], 0, None
+        held, size, last = {}, 0, None  # a piece that several units bring is there once
 
         def solve():
-            flags = repeated_windows([d for _, _, d in held], WIDTH)
-            rows = [(k, p, _intervals(f)) for (k, p, _), f in zip(held, flags) if f.any()]
+            flags = repeated_windows(list(held.values()), WIDTH)
+            rows = [(k, p, _intervals(f)) for (k, p), f in zip(held, flags) if f.any()]
             held.clear()
             keys, names, parts = zip(*rows) if rows else ((), (), ())
             kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
@@ -187,8 +187,8 @@ def _repeats(pieces: DataFrame, key_pieces: int) -> DataFrame:
                 if held and unit != last and size > UNIT_BYTES:  # only between units
                     yield solve()
                     size = 0
-                held.append((key, piece, data))
-                size += len(data)
+                size += 0 if (key, piece) in held else len(data)
+                held[key, piece] = data
                 last = unit
         if held:
             yield solve()

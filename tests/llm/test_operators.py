@@ -1,0 +1,435 @@
+"""Each operator against a brute-force version on rows with every odd case, and on an empty table."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def same_bag(left, right):
+    return Counter(map(repr, left)) == Counter(map(repr, right))
+
+
+# --- 1 -------------------------------------------------------------------------------------------
+def test_language(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(language, "LISTED", 20)  # most counts come by the join
+    got = collected(language.score(odd))
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+    split = [(i, [*WORD.findall(lowered(t)), " "]) for i, t, *_ in odd_rows]
+    counts = Counter(w for i, ws in split if fold(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    base = lambda ws: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+    want = [(i, fold(i) == 0, len(ws), sum(counts[w] > 0 for w in ws), n, round(base(ws), 6)) for i, ws in split]
+    assert same_bag([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got], want)
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_language_probabilities_add_up(odd_rows):
+    counts = Counter(w for _, t, *_ in odd_rows for w in language.tokens(t or ""))
+    frequent = {w: i for i, (w, _) in enumerate(counts.most_common(language.FREQUENT))}
+    classes = language.Classes(frequent)
+    names = list(counts)
+    own = classes.of(names)
+    totals, types = np.zeros(language.CLASSES, np.int64), np.bincount(own, minlength=language.CLASSES)
+    np.add.at(totals, own, list(counts.values()))
+    weights = np.random.default_rng(0).normal(size=(len(language.USED), language.CLASSES))
+    model = language.Model(frequent, weights, {}, totals, types)
+    for context in (0, 77, language.START * language.WIDTH + language.START):
+        p = 10.0 ** model.table[context]
+        known = (p[own] * 10.0 ** model.within([counts[w] for w in names], own)).sum()
+        shapes = np.arange(language.FREQUENT, language.CLASSES)
+        unknown = (p[shapes] * 10.0 ** model.within(0, shapes)).sum()  # one place for what was never seen, in each class
+        empty = p[: language.FREQUENT][types[: language.FREQUENT] == 0].sum()
+        assert abs(known + unknown + empty - 1) < 1e-5
+
+
+def test_language_training_helps(spark):
+    text = "the cat sat on the mat . the dog sat on the rug . "
+    rows = [(i, text * 6) for i in range(40)]
+    got = collected(language.score(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
+
+
+# --- 2 -------------------------------------------------------------------------------------------
+def test_packing(odd, odd_rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = []
+    for i, text, *_ in odd_rows:
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want.append((i, k // 4096, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    got = collected(packing.pack(odd))
+    assert same_bag([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got], want)
+    placed = defaultdict(list)
+    for r in got:
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in placed.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len(placed) <= -(-sum(r["length"] for r in got) // 4096) + 1
+
+
+def test_tokens_of_words_are_tokens_of_texts():
+    import public_tokenizers
+    from hypothesis import given, settings, strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    whole, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aΣσ İ'st́ 　\x85\x1c<|>"))))
+    def check(text):
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+    check()
+
+
+def test_plan_uses_exact_complements():
+    patterns = packing.plan({4000: 5, 96: 5, 2048: 3, 1000: 4, 1048: 2, 500: 2, 548: 2, 1: 3, 4096: 2})
+    used = Counter()
+    for parts, times in patterns:
+        assert sum(parts) <= 4096 and times > 0
+        for p in parts:
+            used[p] += times
+    assert used == {4000: 5, 96: 5, 2048: 3, 1000: 4, 1048: 2, 500: 2, 548: 2, 1: 3, 4096: 2}
+    assert sum(t for p, t in patterns if sum(p) == 4096) >= 8
+
+
+# --- 3 -------------------------------------------------------------------------------------------
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).round(2).tolist(), i) for i in range(0, 400)]
+    rows += [(1000 + i, [0.5] * 8, 1) for i in range(60)]  # one vector many times: ties
+    rows += [(50, rows[50][1], 1), (2000, None, 1), (2050, [0.1, None], 1), (2100, [float("nan")] * 8, 1), (2150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (2200, [], 1), (2250, [3.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long").repartition(4)
+    sound = {}
+    for i, v, _ in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            sound.setdefault(i, [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (8 - len(v)))
+    want = []
+    for q in sound:
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    got = collected(neighbours.top_k(df))
+    assert same_bag([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got], want)
+    few = neighbours.top_k(df.where("vec_id in (0, 1, 2)"))
+    assert few.count() == 2
+    assert neighbours.top_k(df.where("false")).count() == 0
+
+
+# --- 4 -------------------------------------------------------------------------------------------
+def brute_fingerprint(text):
+    words = lowered(text).encode().split()
+    words = [w.encode() for w in WORD.findall(lowered(text))]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(codes, limit):
+    parent = list(range(len(codes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(codes)):
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= limit:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(codes))]
+
+
+def test_simhash(odd, odd_rows):
+    codes = [brute_fingerprint(t) for _, t, *_ in odd_rows]
+    roots = brute_components(codes, 4)
+    least = {}
+    for (i, *_), root in zip(odd_rows, roots):
+        if i is not None:
+            least[root] = min(i, least.get(root, i))
+    want = [(i, f"{c:016x}", least.get(r)) for (i, *_), c, r in zip(odd_rows, codes, roots)]
+    got = collected(simhash.near_duplicates(odd))
+    assert same_bag([(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got], want)
+    kept = simhash.deduplicated(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least.get(r) for r in set(roots))
+
+
+def test_links_of_dense_and_chained_codes(spark):
+    """A ball of near codes, a chain of links, random codes; also with groups dealt out in blocks."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(1 << 62))
+    codes = {centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for _ in range(150)}
+    chain = int(rng.integers(1 << 62))
+    for step in range(12):
+        codes.add(chain)
+        chain ^= 0b1111 << (4 * step)
+    codes = sorted(codes | {int(x) for x in rng.integers(0, 1 << 63, 100)})
+    roots = brute_components(codes, 4)
+    want = defaultdict(set)
+    for c, r in zip(codes, roots):
+        want[r].add(c)
+    signed = lambda c: c - (1 << 64) if c >= 1 << 63 else c
+    df = spark.createDataFrame([(signed(c),) for c in codes], "code long")
+    for group_rows in (50_000, 16):
+        got = defaultdict(set)
+        for r in simhash.link_codes(df, 4, group_rows).collect():
+            got[r["root"]] |= {r["code"], r["root"]}
+        assert sorted(map(sorted, got.values())) == sorted(sorted(map(signed, s)) for s in want.values() if len(s) > 1)
+
+
+def test_gray_index():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 1 << 16, 700).astype(np.uint64) * np.uint64(0x100010001))
+    index = simhash.GrayIndex(codes)
+    query, found = index.search(codes[:50], 8)
+    want = {(i, j) for i in range(50) for j in range(len(codes)) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 8}
+    assert set(zip(query.tolist(), found.tolist())) == want
+
+
+# --- 5 and 8 -------------------------------------------------------------------------------------
+@pytest.mark.parametrize("module, parts, held", [(toxicity, 5, 0), (quality, 3, 1)])
+def test_classifiers_on_odd_rows(odd, odd_rows, labels, nothing, module, parts, held):
+    got = collected(module.classify(odd, labels))
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in odd_rows)
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % parts == held)
+    again = collected(module.classify(odd, labels))
+    assert same_bag(got, again)
+    assert module.classify(nothing, labels).count() == 0
+    unlabelled = collected(module.classify(odd, labels.where("false")))
+    assert len({r["score"] for r in unlabelled}) == 1
+
+
+def test_held_out_accuracy(spark, folder):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for module, name, least in ((quality, "quality", 0.95), (toxicity, "toxic", 0.93)):
+        rows = module.classify(docs, labels).where("held_out").join(labels, "doc_id").collect()
+        assert sum(r["predicted"] == r[name] for r in rows) / len(rows) >= least
+
+
+def test_offending_sentence():
+    weights = {"": -6.0, "moron": 9.0}
+    out = toxicity._score(["A fine day. You moron! Good bye."], weights)
+    assert out["offending"] == ["11:22"] and out["score"][0] > 0.9
+
+
+def test_pool_adjacent():
+    values = quality.pool_adjacent(np.array([0.1, 0.5, 0.3, 0.9, 0.2]), np.array([1.0, 1, 1, 1, 2]))
+    assert np.allclose(values, [0.1, 0.4, 0.4, 1.3 / 3, 1.3 / 3]) and (np.diff(values) >= 0).all()
+
+
+def test_rejected_documents_go(odd, labels):
+    kept = quality.accepted(odd, labels)
+    good = quality.classify(odd, labels).where("predicted = 1")
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in good.collect())
+
+
+# --- 6 -------------------------------------------------------------------------------------------
+def test_fingerprints(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 9)
+    rows = sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for (i, text), (_, other) in zip(rows, [*rows[1:], rows[0]]):
+        new = sampling.edited(text, other)
+        want.append((i, len(text), hashlib.sha256(new.encode()).hexdigest()))
+    got = collected(sampling.neighbours(odd))
+    assert same_bag([(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got], want)
+    alone = collected(sampling.neighbours(odd.where("doc_id = 3")))
+    assert len(alone) == 1 and alone[0]["near_next"] == 1.0
+
+
+def test_likeness_is_generalised_jaccard():
+    rng = np.random.default_rng(4)
+    differences = []
+    for _ in range(60):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, int(rng.integers(20, 200)))) for _ in range(2)]
+        a, b = sampling.signatures(texts)
+        one, two = (Counter(t.split()) for t in texts)
+        differences.append((a == b).mean() - sum((one & two).values()) / sum((one | two).values()))
+    assert abs(np.mean(differences)) < 0.02 and np.std(differences) < 0.1
+
+
+# --- 7 -------------------------------------------------------------------------------------------
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+BASE = [("assign", ASSIGN, lambda m: len(m.group(2)) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m.group()) >= 32)]
+
+
+def brute_spans(text):
+    found = [(m.start(), k, kind, m.end()) for k, (kind, rule, good) in enumerate(BASE) for m in rule.finditer(text) if good(m)]
+    return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
+
+
+def test_secrets(odd, odd_rows):
+    want = []
+    for i, text, *_ in odd_rows:
+        spans = brute_spans(text or "")
+        want.append((i, *(sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    got = collected(secrets.found_secrets(odd))
+    assert same_bag([(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got], want)
+    masked = secrets.redacted(odd)
+    assert masked.columns == odd.columns and masked.count() == odd.count()
+    assert not masked.where("text like '%hunter2%' or text like '%AKIAABC%'").count()
+
+
+def test_secret_spans_of_random_texts():
+    import random
+
+    rng = random.Random(11)
+    bits = ["password", "PassWD", "token", "api_key", "apikey", "secret", "=", ":", " ", "  ", "'", '"', "AKIA", "ABCDEFGH1234", "deadbeef" * 2, "0123456789abcdef" * 2, "x", "é", "\n", "漢", "a/b+c=", "-", ".", ","]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a" * 5000 + "token=abcdefghi"]
+    for text, spans in zip(texts, secrets.secret_spans(texts)):
+        assert [f"{k}:{s}:{e}" for k, s, e in spans if k in secrets.BASE] == brute_spans(text), text
+
+
+def test_other_rules():
+    text = "é -----BEGIN RSA PRIVATE KEY----- and ghp_" + "a1" * 15
+    assert [s[0] for s in secrets.secret_spans([text])[0]] == ["private_key", "github"]
+    assert secrets.masked(text, secrets.secret_spans([text])[0]) == "é <secret> and <secret>"
+
+
+# --- 9 -------------------------------------------------------------------------------------------
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    capped, total = set(), sum(sizes.values())
+    while True:
+        rest = total - sum(3 * sizes[s] for s in capped)
+        free = [s for s in names if s not in capped]
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = {s for s in free if share[s] > 3 * sizes[s]}
+        if not above:
+            return {s: 3.0 * sizes[s] if s in capped else share[s] for s in names}
+        capped |= above
+
+
+def test_targets(spark):
+    for sizes in ({"a": 10, "b": 1000, None: 5, "c": 0, "é": 700}, {"x": 7}, {"a": 5, "b": 5, "c": 5, "d": 90000}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mixing(odd, odd_rows):
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes = Counter()
+    for _, t, _, s in odd_rows:
+        sizes[s] += size(t)
+    want = brute_targets(dict(sizes))
+    got = collected(mixing.mix(odd, 8))
+    source = {}
+    for i, t, _, s in odd_rows:
+        source[i, size(t)] = s
+    assert same_bag([(r["doc_id"], r["size"], r["source_size"]) for r in got], [(i, size(t), sizes[s]) for i, t, _, s in odd_rows])
+    taken = Counter()
+    for r in got:
+        s = source[r["doc_id"], r["size"]]
+        assert r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= max(0.05 * target, 24)
+    assert same_bag(got, collected(mixing.mix(odd.repartition(5), 8)))
+
+
+def test_mixed_documents_hold_what_the_mix_takes(odd):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    taken = Counter()
+    for r in mixing.mix(odd, 8).collect():
+        taken[r["doc_id"]] += r["taken"]
+    mixed = mixing.mixed_documents(odd.select(columns), 8)
+    assert mixed.columns == columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert words == +taken
+
+
+def test_mixing_plan_stays_in_the_engine(odd):
+    for df in (mixing.mix(odd), mixing.mixed_documents(odd.select("doc_id", "text", "source"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+# --- 10 ------------------------------------------------------------------------------------------
+def test_substrings(odd, odd_rows):
+    data = [(i, (t or "").encode()) for i, t, *_ in odd_rows]
+    counts = Counter(d[k : k + 200] for _, d in data for k in range(len(d) - 199))
+    want = []
+    for i, d in data:
+        gone = np.zeros(len(d) + 1, int)
+        for k in range(len(d) - 199):
+            if counts[d[k : k + 200]] > 1:
+                gone[k] += 1
+                gone[k + 200] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        want.append((i, len(d), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert sum(w[2] for w in want) > 3000
+    for key_pieces in (substrings.KEY_PIECES, 2):
+        got = collected(substrings.dedup(odd, key_pieces))
+        assert same_bag([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got], want)
+
+
+def test_repeated_windows_of_random_pieces():
+    from harvestline.llm.suffixes import repeated_windows
+
+    rng = np.random.default_rng(0)
+    for trial in range(200):
+        text = rng.integers(0 if trial % 3 else 97, 2 if trial % 3 else 101, int(rng.integers(9, 400))).astype(np.uint8).tobytes()
+        pieces = []
+        for _ in range(int(rng.integers(1, 7))):
+            at, size = int(rng.integers(0, len(text))), int(rng.integers(0, 60))
+            pieces.append(text[at : at + size] + bytes(rng.integers(97, 101, int(rng.integers(0, 9))).astype(np.uint8)))
+        counts = Counter(p[i : i + 12] for p in pieces for i in range(len(p) - 11))
+        want = [[counts[p[i : i + 12]] > 1 for i in range(max(0, len(p) - 11))] for p in pieces]
+        assert [f.tolist() for f in repeated_windows(pieces, 12, int(rng.choice([20, 50, 10_000])))] == want
+
+
+# --- all -----------------------------------------------------------------------------------------
+def test_empty_tables(nothing, labels):
+    for df in (
+        language.score(nothing),
+        packing.pack(nothing),
+        simhash.near_duplicates(nothing),
+        simhash.deduplicated(nothing),
+        sampling.neighbours(nothing),
+        secrets.found_secrets(nothing),
+        secrets.redacted(nothing),
+        quality.accepted(nothing, labels),
+        mixing.mix(nothing),
+        mixing.mixed_documents(nothing.select("doc_id", "text", "source")),
+        substrings.dedup(nothing),
+    ):
+        assert df.count() == 0
