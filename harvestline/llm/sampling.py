@@ -122,7 +122,7 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
 
     tops = ids.mapInArrow(ends, "range int, doc_id long").groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()
     # The row after the last of a range is the first of the next one below; below the lowest, the first of all.
-    after = {r["range"]: below["top"] for r, below in zip(tops, [tops[-1], *tops])}
+    after = {r["range"]: below["top"] for r, below in zip(tops, [*tops[-1:], *tops])}
     wanted: dict[int | None, list[int]] = {}
     for above, top in after.items():
         wanted.setdefault(top, []).append(above)
