@@ -90,7 +90,7 @@ def trailing(spark, folder):
 
 @shared
 def partial(spark, folder):
-    """Year weather with some (state, year) keys left out, so that joins and anti-joins have work to do."""
+    """Year weather with some (state, year) keys left out, for the queries that look for missing keys and values."""
     nation = t.table(spark, folder, "nation")
     rows = yearly(spark, folder)
     kept = rows.join(nation, rows.state == nation.n_name).where("(n_nationkey + crop_year) % 10 <> 0")
@@ -99,7 +99,12 @@ def partial(spark, folder):
 
 @shared
 def snapshot(spark, folder):
-    return stored(wx.weather_snapshot(partial(spark, folder), trailing(spark, folder), AS_OF), "snapshot")
+    return stored(wx.weather_snapshot(yearly(spark, folder), trailing(spark, folder), AS_OF), "snapshot")
+
+
+@shared
+def snapshot_with_gaps(spark, folder):
+    return stored(wx.weather_snapshot(partial(spark, folder), trailing(spark, folder), AS_OF), "snapshot-with-gaps")
 
 
 @shared
@@ -118,18 +123,27 @@ def forecast(spark, folder):
     return stored(fc.season_forecast(t.forecast_series(spark, folder), FORECAST_AS_OF), "forecast")
 
 
-@shared
-def enriched(spark, folder):
-    """Production rows with all features: a lazy plan whose small sides are stored."""
+def _enriched(spark, folder, weather):
     return en.enrich_all(
         t.production(spark, folder),
-        snapshot(spark, folder),
+        weather,
         t.irrigation(spark, folder),
         t.fertilizer(spark, folder),
         states=states(spark, folder),
     )
 
 
+@shared
+def enriched(spark, folder):
+    """Production rows with all features: a lazy plan whose small sides are stored."""
+    return _enriched(spark, folder, snapshot(spark, folder))
+
+
+@shared
+def enriched_with_gaps(spark, folder):
+    return _enriched(spark, folder, snapshot_with_gaps(spark, folder))
+
+
 @shared
 def labelled(spark, folder):
     return splitting.split(stored(enriched(spark, folder), "rows"), "row_key", ["crop"])
@@ -274,7 +288,7 @@ def year_weather_join(spark, folder):
 
 @query
 def incomplete_weather(spark, folder):
-    counts = en.incomplete_weather(en.enrich_weather(t.production(spark, folder), snapshot(spark, folder)))
+    counts = en.incomplete_weather(en.enrich_weather(t.production(spark, folder), snapshot_with_gaps(spark, folder)))
     return counts.withColumnRenamed("rows", "n_rows")
 
 
@@ -344,18 +358,18 @@ def needed_keys(spark, folder):
 
 @query
 def missing_keys(spark, folder):
-    return en.missing_keys(t.production(spark, folder), snapshot(spark, folder))
+    return en.missing_keys(t.production(spark, folder), snapshot_with_gaps(spark, folder))
 
 
 @query
 def used_snapshot(spark, folder):
-    rows = en.used_snapshot(t.production(spark, folder), snapshot(spark, folder))
+    rows = en.used_snapshot(t.production(spark, folder), snapshot_with_gaps(spark, folder))
     return rounded(rows.select("state", "crop_year", *fv.WEATHER), 6, *fv.WEATHER)
 
 
 @query
 def key_coverage(spark, folder):
-    return en.key_coverage(t.production(spark, folder), snapshot(spark, folder))
+    return en.key_coverage(t.production(spark, folder), snapshot_with_gaps(spark, folder))
 
 
 @query
@@ -503,7 +517,7 @@ def feature_projection(spark, folder):
 
 @query
 def completeness(spark, folder):
-    return shaping.completeness(enriched(spark, folder), [*fv.FEATURES, fv.TARGET])
+    return shaping.completeness(enriched_with_gaps(spark, folder), [*fv.FEATURES, fv.TARGET])
 
 
 @query
@@ -646,7 +660,8 @@ def split_files(spark, folder):
 
 @query
 def impute_medians(spark, folder):
-    return rounded(encoding.medians(labelled(spark, folder).where("split = 'train'")), 6, "median")
+    rows = splitting.split(stored(enriched_with_gaps(spark, folder), "rows-with-gaps"), "row_key", ["crop"])
+    return rounded(encoding.medians(rows.where("split = 'train'")), 6, "median")
 
 
 @query
@@ -885,9 +900,9 @@ def stream_scored_requests(spark, folder):
 
 
 # --- contract ------------------------------------------------------------------------------------
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """Daily observations to the ranked risk table of every state and year."""
-    return risk_report.yearly_risk(t.observations(spark, "/root/testdata/sf0.001")).table
+    return risk_report.yearly_risk(t.observations(spark, folder)).table
 
 
 def queries() -> dict[str, Query]:

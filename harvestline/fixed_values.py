@@ -213,6 +213,7 @@ IRRIGATION_RANGE = (0.0, 100.0)
 FERTILIZER_RANGE = (0.0, 500.0)
 YIELD_UNIT = "Quintal/Hectare"
 MODEL_VERSION = "3.2.0"
+TRAINED_VERSION = "1.0.0"
 
 # --- model ---------------------------------------------------------------------------------------
 SEED = 42

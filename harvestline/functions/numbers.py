@@ -9,9 +9,10 @@ def fixed_text(x: Column, digits: int) -> Column:
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """Correctly rounded double (`F.round` is half-up, `F.bround` rounds the decimal text)."""
+    """Correctly rounded double (`F.round` is half-up, `F.bround` rounds the decimal text); infinities stay."""
     # Adding 0.0 turns -0.0 into 0.0 and changes nothing else.
-    return fixed_text(x, digits).cast("double") + F.lit(0.0)
+    rounded = fixed_text(x, digits).try_cast("double") + F.lit(0.0)
+    return F.when(F.abs(x.cast("double")) == float("inf"), x.cast("double")).otherwise(rounded)
 
 
 def nan_to_null(x: Column) -> Column:
@@ -27,7 +28,7 @@ def signed_text(x: Column, digits: int = 0) -> Column:
 def compact_text(x: Column) -> Column:
     """Whole number when within 0.05 of one, else one decimal."""
     whole = F.rint(x)
-    return F.when(F.abs(x - whole) < 0.05, whole.cast("bigint").cast("string")).otherwise(fixed_text(x, 1))
+    return F.when(F.abs(x - whole) < 0.05, fixed_text(whole + F.lit(0.0), 0)).otherwise(fixed_text(x, 1))
 
 
 def percent_of(part: Column, base: Column) -> Column:

@@ -212,7 +212,7 @@ def route_weather(requests: DataFrame, snapshot: DataFrame, forecast: DataFrame)
     Both stay available: `hist_…` columns carry the year's weather for the comparison score.
     """
     hist = snapshot.where(F.col("mode") == "YEAR").select(
-        "state", "crop_year", *[F.col(c).alias(f"hist_{c}") for c in fv.WEATHER]
+        "state", "crop_year", F.lit(True).alias("_has_history"), *[F.col(c).alias(f"hist_{c}") for c in fv.WEATHER]
     )
     ahead = forecast.select(
         "state",
@@ -228,6 +228,8 @@ def route_weather(requests: DataFrame, snapshot: DataFrame, forecast: DataFrame)
         *requests.columns,
         *[F.when(use, F.col(f"fc_{c}")).otherwise(F.col(f"hist_{c}")).alias(c) for c in fv.WEATHER],
         *[f"hist_{c}" for c in fv.WEATHER],
+        # A weather row of the year exists, whatever values it has.
+        F.col("_has_history").isNotNull().alias("has_history"),
         # The label says "forecast" only when the forecast lookup succeeded.
         F.when(use & F.col("_has_forecast").isNotNull(), "forecast").otherwise("historical").alias("weather_source"),
         *extra,

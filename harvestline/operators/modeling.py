@@ -20,16 +20,17 @@ class YieldModel:
     features: FeatureModel
     trees: GBTRegressionModel
     cv_scores: list[tuple[dict, float]]
+    version: str = fv.MODEL_VERSION  # of the model record; this one without a record
 
     def save(self, path: str) -> None:
         PipelineModel(stages=[*self.features.pipeline.stages, self.trees]).write().overwrite().save(path)
 
     @staticmethod
-    def load(path: str, like: FeatureModel) -> "YieldModel":
-        """Read a saved model; `like` supplies the feature names recorded in the schema document."""
+    def load(path: str, like: FeatureModel, version: str = fv.MODEL_VERSION) -> "YieldModel":
+        """Read a saved model; `like` supplies the feature names recorded in the schema document, `version` is the record's."""
         stages = PipelineModel.load(path).stages
         features = replace(like, pipeline=PipelineModel(stages=stages[:-1]))
-        return YieldModel(features, stages[-1], [])
+        return YieldModel(features, stages[-1], [], version)
 
 
 def search(

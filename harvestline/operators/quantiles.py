@@ -3,8 +3,8 @@
 `median` and `percentile` collect every distinct value of a group into one buffer, which does not hold for
 a measure with hundreds of billions of distinct values.  Here a mergeable sketch first brackets each wanted
 rank between two values; then one aggregate counts the rows below the bracket and keeps counts per value
-only inside it.  The bracket is certain to contain the rank, so the result is exact, and what one task has
-to order is a few ten-thousandths of a group.
+only inside it.  A rank outside its bracket stops the job, so a result is exact or there is none, and what one
+task has to order is a few ten-thousandths of a group.
 """
 
 from collections.abc import Mapping, Sequence
@@ -15,8 +15,6 @@ from harvestline.functions.numbers import nan_to_null
 from harvestline.sources.stored import stored
 
 _ACCURACY = 10_000
-# Below this many rows a group is its own bracket; above it the sketch's rank error stays inside the bracket.
-_SMALL_GROUP = 10 * _ACCURACY
 
 
 def exact_quantiles(
@@ -24,7 +22,6 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
-    small_group: int = _SMALL_GROUP,
     accuracy: int = _ACCURACY,
 ) -> DataFrame:
     """`(by…, n, one column per probability)` with linear interpolation between neighbours; NULLs are left out."""
@@ -38,17 +35,18 @@ def exact_quantiles(
     bounds = data.groupBy(*by).agg(
         F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
     )
-    small = F.col("n") <= small_group
+    # The margin is less than a rank or two in a group of few rows, which then is its own bracket.
+    few = F.col("n") <= 2 * accuracy
     brackets = []
     for i, q in enumerate(probs):
-        low = F.col("_s")[wanted.index(max(0.0, q - margin))]
-        high = F.col("_s")[wanted.index(min(1.0, q + margin))]
+        low = F.col("_min") if q <= margin else F.col("_s")[wanted.index(q - margin)]
+        high = F.col("_max") if q >= 1 - margin else F.col("_s")[wanted.index(q + margin)]
         position = F.lit(float(q)) * (F.col("n") - 1)
         brackets.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(small, F.col("_min")).otherwise(low).alias("low"),
-                F.when(small, F.col("_max")).otherwise(high).alias("high"),
+                F.when(few, F.col("_min")).otherwise(low).alias("low"),
+                F.when(few, F.col("_max")).otherwise(high).alias("high"),
                 position.alias("position"),
             )
         )
@@ -74,7 +72,11 @@ def exact_quantiles(
     picked = ranked.groupBy(*group).agg(
         F.min(F.when(F.col("_upto") >= below, F.col("_v"))).alias("_lo"),
         F.min(F.when(F.col("_upto") >= above, F.col("_v"))).alias("_hi"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"),
     )
+    missed = (F.col("_below") >= below) | F.col("_lo").isNull() | F.col("_hi").isNull()
+    low = F.when(missed, F.raise_error(F.lit("a quantile's rank is outside its bracket"))).otherwise(F.col("_lo"))
+    picked = picked.withColumn("_lo", low.cast("double"))
     share = F.col("position") - F.floor("position")
     result = picked.select(*by, "n", "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("_q"))
     return result.groupBy(*by, "n").agg(

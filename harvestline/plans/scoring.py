@@ -37,12 +37,13 @@ def score_requests(
 ) -> DataFrame:
     """One response per valid request. Predictions below 0 become 0."""
     valid = accepted(validate_requests(requests, known))
-    return responses(score_both(build_features(valid, snapshot, forecast, inputs), model))
+    return responses(score_both(build_features(valid, snapshot, forecast, inputs), model), model.version)
 
 
-def responses(scored: DataFrame) -> DataFrame:
+def responses(scored: DataFrame, version: str = fv.MODEL_VERSION) -> DataFrame:
+    """The answer columns. Without a weather row of the request's year there is nothing to compare a forecast with."""
     final = F.greatest(F.lit(0.0), F.col("predicted"))
-    past = F.when(F.col("use_forecast"), F.greatest(F.lit(0.0), F.col("predicted_hist")))
+    past = F.when(F.col("use_forecast") & F.col("has_history"), F.greatest(F.lit(0.0), F.col("predicted_hist")))
     delta = half_even(final - past, 4)
     dial = gauge(F.col("crop"), final)
     optional = [c for c in ("forecast_confidence", "forecast_spread") if c in scored.columns]
@@ -64,6 +65,6 @@ def responses(scored: DataFrame) -> DataFrame:
         shown_yield_delta(delta).alias("shown_yield_delta"),
         dial["gauge_max"].alias("gauge_max"),
         dial["gauge_band"].alias("gauge_band"),
-        F.lit(fv.MODEL_VERSION).alias("model_version"),
+        F.lit(version).alias("model_version"),
         F.lit(fv.YIELD_UNIT).alias("unit"),
     )

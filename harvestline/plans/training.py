@@ -58,7 +58,7 @@ def train_job(
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     features = fit_features(train)
     trees, scores = search(features.transform(train), grid, folds, parallelism=parallelism)
-    model = YieldModel(features, trees, scores)
+    model = YieldModel(features, trees, scores, fv.TRAINED_VERSION)
     scored = score(test, model).select(key, "crop", F.col(fv.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
     scored = stored(scored, "scored-test")
     metrics = regression_metrics(scored)
@@ -77,7 +77,7 @@ def training_metadata(rows: DataFrame, model: YieldModel, metrics: DataFrame, fo
     )
     size = sizes.select(F.struct("n_train", "n_test")).scalar()
     return metrics.select(
-        F.lit("1.0.0").alias("model_version"),
+        F.lit(model.version).alias("model_version"),
         F.lit(created_at).alias("created_at"),
         F.lit("GBTRegressor").alias("model_type"),
         F.lit(f"spark {rows.sparkSession.version}").alias("framework"),

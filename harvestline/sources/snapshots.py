@@ -53,6 +53,10 @@ def upsert_snapshot(
     schema: str = WEATHER_SCHEMA,
     force: bool = False,
 ) -> DataFrame:
-    current = load_snapshot(spark, base, schema)
-    save_snapshot(merge_snapshot(current, fresh, key, force=force), base)
+    before = latest_version(spark, base)
+    merged = merge_snapshot(load_snapshot(spark, base, schema), fresh, key, force=force)
+    path = next_version(spark, base)
+    if latest_version(spark, base) != before:
+        raise RuntimeError(f"another writer saved a version of {base}; merge again")
+    merged.write.parquet(path)
     return load_snapshot(spark, base, schema)

@@ -140,18 +140,19 @@ CTES |= _match("lk", "lookup_keys", "state_key", "irrigation", [fv.IRRIGATION],
 CTES["centroids"] = _values([(n, a, b, i) for i, (n, a, b) in enumerate(fv.CENTROIDS)], "state, lat, lon, ord", "centroids")
 CTES |= _match("geo", "lookup_keys", "state_key", "centroids", ["lat", "lon"], list(fv.FALLBACK_CENTROID), {}, True)
 
-CTES["enriched"] = f"""SELECT p.*, {', '.join(f'y.{f}' for f in W)}, i.irrigation_coverage_pct, f.npk_consumption_kg_per_ha
-    FROM production p LEFT JOIN partial y ON y.state = p.state AND y.crop_year = p.crop_year
-    LEFT JOIN irr i ON i.state = p.state LEFT JOIN npk f ON f.state = p.state"""
-CTES["labelled"] = """SELECT *, case when n >= 2 AND rn <= ceil(0.2e0 * n) then 'test' else 'train' end AS split FROM (
-    SELECT *, count(*) OVER (PARTITION BY crop) AS n,
-    row_number() OVER (PARTITION BY crop ORDER BY md5('42:' || row_key)) AS rn FROM enriched)"""
+for _suffix, _weather in (("", "yearly"), ("_gaps", "partial")):
+    CTES[f"enriched{_suffix}"] = f"""SELECT p.*, {', '.join(f'y.{f}' for f in W)}, i.irrigation_coverage_pct, f.npk_consumption_kg_per_ha
+        FROM production p LEFT JOIN {_weather} y ON y.state = p.state AND y.crop_year = p.crop_year
+        LEFT JOIN irr i ON i.state = p.state LEFT JOIN npk f ON f.state = p.state"""
+    CTES[f"labelled{_suffix}"] = f"""SELECT *, case when n >= 2 AND rn <= ceil(0.2e0 * n) then 'test' else 'train' end AS split FROM (
+        SELECT *, count(*) OVER (PARTITION BY crop) AS n,
+        row_number() OVER (PARTITION BY crop ORDER BY md5('42:' || row_key)) AS rn FROM enriched{_suffix})"""
+    CTES[f"med{_suffix}"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, cast(median({c}) as double) AS median FROM labelled{_suffix} WHERE split = 'train'" for c in fv.NUMERICAL
+    )
 CTES["scored"] = f"""SELECT t.row_key, t.crop, t."yield" AS y_true, m.y_pred FROM labelled t JOIN (
     SELECT crop, {rnd('avg("yield")', 6)} AS y_pred FROM labelled WHERE split = 'train' GROUP BY 1) m ON m.crop = t.crop
     WHERE t.split = 'test'"""
-CTES["med"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, cast(median({c}) as double) AS median FROM labelled WHERE split = 'train'" for c in fv.NUMERICAL
-)
 CTES["filled"] = "SELECT row_key, crop, state, season, " + ", ".join(
     f"coalesce(cast({c} as double), (SELECT median FROM med WHERE feature = '{c}')) AS {c}" for c in fv.NUMERICAL
 ) + " FROM labelled WHERE split = 'train'"
@@ -203,7 +204,7 @@ CTES["overridden"] = """SELECT v.* EXCLUDE (errors), coalesce(v.irrigation_pct,
 CTES["routed"] = f"""SELECT o.*, {', '.join(f'case when o.use_forecast then f.{c} else y.{c} end AS {c}, y.{c} AS hist_{c}' for c in W)},
     case when o.use_forecast and f.state is not null then 'forecast' else 'historical' end AS weather_source,
     case when o.use_forecast then f.forecast_confidence end AS forecast_confidence
-    FROM overridden o LEFT JOIN partial y ON y.state = o.state AND y.crop_year = o.crop_year
+    FROM overridden o LEFT JOIN yearly y ON y.state = o.state AND y.crop_year = o.crop_year
     LEFT JOIN forecast f ON f.state = o.state AND f.season = o.season"""
 
 
@@ -336,9 +337,9 @@ BODIES: dict[str, str] = {
         count(*) FILTER (WHERE overall_risk IN ('LOW', 'OPTIMAL')) AS low_optimal, count(*) AS assessed FROM assessed""",
     # --- joins and lookups
     "year_weather_join": f"""SELECT p.row_key, p.state, p.crop_year, {', '.join(f'{rnd(f"y.{f}", 6)} AS {f}' for f in W)}
-        FROM production p LEFT JOIN partial y ON y.state = p.state AND y.crop_year = p.crop_year""",
+        FROM production p LEFT JOIN yearly y ON y.state = p.state AND y.crop_year = p.crop_year""",
     "incomplete_weather": f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE {' OR '.join(f'{f} IS NULL' for f in W)}) AS rows_without_weather
-        FROM enriched""",
+        FROM enriched_gaps""",
     "trailing_weather_join": f"""SELECT p.row_key, p.state, {', '.join(f'{rnd(f"y.{f}", 6)} AS {f}' for f in W)}
         FROM production p LEFT JOIN recent y ON y.state = p.state""",
     "tiered_match": """SELECT l.key_id, l.state_key, coalesce(lk.irrigation_coverage_pct, 40.0e0) AS irrigation_coverage_pct,
@@ -361,13 +362,13 @@ BODIES: dict[str, str] = {
         SELECT DISTINCT state, crop_year FROM production) p LEFT JOIN partial y ON y.state = p.state AND y.crop_year = p.crop_year""",
     "weather_report": f"""SELECT k.state, k.crop_year, 20.5937e0 AS latitude, 78.9629e0 AS longitude,
         'Year ' || k.crop_year AS period, {', '.join(f'{rnd(f"y.{f}", 6)} AS {f}' for f in W)}
-        FROM (SELECT DISTINCT state, crop_year FROM production) k LEFT JOIN partial y ON y.state = k.state AND y.crop_year = k.crop_year""",
+        FROM (SELECT DISTINCT state, crop_year FROM production) k LEFT JOIN yearly y ON y.state = k.state AND y.crop_year = k.crop_year""",
     "snapshot_stats": """SELECT count(*) AS total_entries, count(crop_year) AS year_specific, count(*) - count(crop_year) AS latest,
         array_to_string(list_sort(list_distinct(list(state))), ',') AS states,
         array_to_string(list_sort(list_distinct(list(crop_year))), ',') AS years
-        FROM (SELECT state, crop_year FROM partial UNION ALL SELECT state, NULL FROM recent)""",
+        FROM (SELECT state, crop_year FROM yearly UNION ALL SELECT state, NULL FROM recent)""",
     "snapshot_keys": """SELECT state || '_' || coalesce(cast(crop_year as varchar), 'LATEST') AS snapshot_key, state AS key_state,
-        crop_year AS key_year FROM (SELECT state, crop_year FROM partial UNION ALL SELECT state, NULL FROM recent)""",
+        crop_year AS key_year FROM (SELECT state, crop_year FROM yearly UNION ALL SELECT state, NULL FROM recent)""",
     "snapshot_fill_job": f"SELECT state, crop_year, {ROUNDED_WEATHER} FROM yearly",
     "snapshot_fill_coverage": """SELECT count(*) AS needed, count(y.state) AS present, count(*) - count(y.state) AS missing,
         count(*) - count(y.state) AS fetched, cast(0 as bigint) AS failed FROM (
@@ -408,7 +409,7 @@ BODIES: dict[str, str] = {
     + ", ".join(c if c in ("crop", "state", "season", "crop_year", "area") else f"cast(NULL as double) AS {c}" for c in fv.FEATURES)
     + " FROM production",
     "completeness": f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE {' AND '.join(f'{f} IS NOT NULL' for f in W)}) AS kept,
-        count(*) FILTER (WHERE {' OR '.join(f'{f} IS NULL' for f in W)}) AS dropped FROM enriched""",
+        count(*) FILTER (WHERE {' OR '.join(f'{f} IS NULL' for f in W)}) AS dropped FROM enriched_gaps""",
     "feature_catalog": f"""SELECT feature, {_DISPLAY} AS display,
         case when feature IN ('crop', 'state', 'season') then 'categorical' when feature IN ({', '.join(f"'{w}'" for w in W)}) then 'weather'
         when feature = '{fv.IRRIGATION}' then 'irrigation' when feature = '{fv.FERTILIZER}' then 'fertilizer' else 'numerical' end AS kind,
@@ -469,7 +470,7 @@ BODIES: dict[str, str] = {
         SELECT row_key, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42:' || row_key)) AS rn FROM production)""",
     "split_sizes": "SELECT split, count(*) AS n FROM labelled GROUP BY 1",
     "split_files": f"SELECT split, crop, count(*) AS n, {rnd('sum(area)', 4)} AS area FROM labelled GROUP BY 1, 2",
-    "impute_medians": f"SELECT feature, {rnd('median', 6)} AS median FROM med",
+    "impute_medians": f"SELECT feature, {rnd('median', 6)} AS median FROM med_gaps",
     "impute_modes": " UNION ALL ".join(
         f"SELECT '{c}' AS feature, (SELECT {c} FROM labelled WHERE split = 'train' GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode"
         for c in fv.CATEGORICAL

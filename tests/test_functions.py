@@ -109,3 +109,11 @@ def test_report_labels(spark):
     assert [tuple(r) for r in rice] == [(90.0, "high"), (60.0, "high"), (60.0, "middle"), (60.0, "low")]
     assert column(spark, [5.0], "double", lambda p: labels.gauge(F.lit("other"), p)["gauge_max"]) == [100.0]
     assert column(spark, ["user", "nobody"], "string", labels.source_badge)[1] == "—"
+
+
+def test_numbers_that_are_not_finite_or_huge(spark):
+    values = [float("inf"), float("-inf"), float("nan"), 1e20, -0.04, None]
+    half = column(spark, values, "double", lambda x: numbers.half_even(x, 2))
+    assert half[:2] == values[:2] and half[2] != half[2] and half[3:] == [1e20, -0.04, None]
+    shown = column(spark, values, "double", numbers.compact_text)
+    assert shown[3:] == ["1" + "0" * 20, "0", None]

@@ -199,10 +199,13 @@ def test_negative_predictions_become_zero(spark):
     columns = {
         "request_id": 1, "crop": "RICE", "state": "Goa", "season": "RABI", "crop_year": 2000, "area": 1.0, "weather_source": "forecast",
         **{c: 1.0 for c in fv.WEATHER}, fv.IRRIGATION: 1.0, "irrigation_source": "user", fv.FERTILIZER: 1.0, "npk_source": "user",
-        "use_forecast": True, "predicted": -3.0, "predicted_hist": -1.0,
+        "use_forecast": True, "has_history": True, "predicted": -3.0, "predicted_hist": -1.0,
     }
     row = scoring.responses(spark.createDataFrame([columns])).first()
     assert (row["predicted_yield"], row["historical_yield"], row["yield_delta"]) == (0.0, 0.0, 0.0)
+    assert row["model_version"] == fv.MODEL_VERSION
+    missing = scoring.responses(spark.createDataFrame([columns | {"has_history": False}]), "7.1").first()
+    assert (missing["predicted_yield"], missing["historical_yield"], missing["yield_delta"], missing["model_version"]) == (0.0, None, None, "7.1")
 
 
 def test_stream_gives_the_batch_result(spark, trained, world, fresh):

@@ -115,3 +115,18 @@ def test_forecast_payload(spark, fresh):
     ]
     with pytest.raises(Exception, match="neither"):
         payloads.forecast_points(land(spark, fresh, [("C", {"daily": {}})])).collect()
+
+
+def test_saves_go_on_after_an_interrupted_one(spark, fresh):
+    import os
+
+    base = fresh("snapshots")
+    rows = spark.createDataFrame([("a", 2000, "YEAR", 1.0)], "state string, crop_year int, mode string, mean_temperature double")
+    rows = rows.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS cached_at")
+    full = snapshots.load_snapshot(spark, base).unionByName(rows, allowMissingColumns=True)
+    os.makedirs(f"{base}/version=1")  # no _SUCCESS: a write that was cut off
+    assert snapshots.load_snapshot(spark, base).count() == 0
+    assert snapshots.save_snapshot(full, base).endswith("version=2")
+    os.makedirs(f"{base}/version=3")
+    assert snapshots.upsert_snapshot(spark, base, full).count() == 1
+    assert os.path.exists(f"{base}/version=4/_SUCCESS")
