@@ -41,10 +41,6 @@ AS_OF = date.fromisoformat(oracles.AS_OF)
 FORECAST_AS_OF = oracles.FORECAST_AS_OF
 SNAPSHOT_AS_OF = oracles.SNAPSHOT_AS_OF
 
-# A small search, so that a check of all queries stays short; `fixed_values.GRID` is the full one.
-CHECK_GRID = {"maxIter": [5], "stepSize": [0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8]}
-CHECK_FOLDS = 2
-
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _shared: dict[tuple, object] = {}
@@ -173,9 +169,6 @@ def trained(spark, folder):
         snapshot(spark, folder),
         t.irrigation(spark, folder),
         t.fertilizer(spark, folder),
-        grid=CHECK_GRID,
-        folds=CHECK_FOLDS,
-        minimum_r2=None,
         created_at=oracles.AS_OF,
     )
 

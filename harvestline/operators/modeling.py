@@ -1,12 +1,12 @@
 """Boosted-tree regressor: search, fit, apply, inspect."""
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline import fixed_values as fv
@@ -14,6 +14,8 @@ from harvestline.operators.encoding import FeatureModel
 from harvestline.session import ensure_checkpoints
 from harvestline.sources.stored import stored
 
+SEARCH_ROWS = 10_000
+
 
 @dataclass
 class YieldModel:
@@ -38,30 +40,51 @@ def search(
     grid: Mapping[str, Sequence] = fv.GRID,
     folds: int = fv.FOLDS,
     seed: int = fv.SEED,
-    parallelism: int = 4,
+    parallelism: int = 8,
     label: str = fv.TARGET,
     features: str = "features",
+    search_rows: int = SEARCH_ROWS,
 ) -> tuple[GBTRegressionModel, list[tuple[dict, float]]]:
     """Grid search by cross-validated R², best combination refitted on everything.
 
     The encoded rows are stored first: every fold and tree then reads the same columns from the shared
-    folder, and the seeded folds come out the same after a lost executor.
+    folder, and the folds come out the same after a lost executor.  The first trees of a long fit are the trees of
+    a shorter one with the same seed, so each number of trees is scored on one fit.  The search reads at most
+    about `search_rows` rows, those with the smallest hash (a bounded sample of the labelled rows); the final fit reads all.
     """
     ensure_checkpoints(prepared.sparkSession)
     matrix = stored(prepared.select(features, F.col(label).cast("double").alias(label)), "training-matrix")
     trees = GBTRegressor(featuresCol=features, labelCol=label, seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(trees.getParam(name), list(values))
-    maps = builder.build()
-    if len(maps) == 1:
-        return trees.fit(matrix, maps[0]), []
-    evaluator = RegressionEvaluator(labelCol=label, metricName="r2")
-    fitted = CrossValidator(
-        estimator=trees, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism
-    ).fit(matrix)
-    scores = [({p.name: v for p, v in m.items()}, s) for m, s in zip(maps, fitted.avgMetrics)]
-    return fitted.bestModel, scores
+    combinations = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if len(combinations) == 1:
+        return trees.copy(_settings(trees, combinations[0])).fit(matrix), []
+
+    part = F.pmod(F.xxhash64(features, label, F.lit(seed)), F.lit(1 << 20))
+    share = min(1.0, search_rows / max(1, matrix.count()))
+    sample = matrix.withColumn("_part", part).where(F.col("_part") < int(share * (1 << 20)))
+    # Small by construction, so one task per fit: the fits run side by side.
+    sample = stored(sample.withColumn("_fold", F.col("_part") % folds).drop("_part").coalesce(1), "search-sample")
+    longest = max(grid["maxIter"])
+    shapes = list({tuple((k, v) for k, v in c.items() if k != "maxIter"): None for c in combinations})
+
+    def scores(task: tuple[int, tuple]) -> dict[tuple, float]:
+        fold, shape = task
+        held = sample.where(F.col("_fold") == fold)
+        fitted = trees.copy(_settings(trees, dict(shape) | {"maxIter": longest})).fit(sample.where(F.col("_fold") != fold))
+        errors = fitted.evaluateEachIteration(held, "squared")
+        spread = held.agg(F.var_pop(label)).first()[0]
+        return {(shape, n): 1.0 - errors[n - 1] / spread for n in grid["maxIter"]}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(scores, [(fold, shape) for fold in range(folds) for shape in shapes]))
+    mean = lambda c: sum(f.get((tuple((k, v) for k, v in c.items() if k != "maxIter"), c["maxIter"]), 0.0) for f in found) / folds
+    ranked = [(c, mean(c)) for c in combinations]
+    best = max(ranked, key=lambda r: r[1])[0]
+    return trees.copy(_settings(trees, best)).fit(matrix), ranked
+
+
+def _settings(trees: GBTRegressor, values: Mapping) -> dict:
+    return {trees.getParam(name): value for name, value in values.items()}
 
 
 def cv_table(spark: SparkSession, scores: list[tuple[dict, float]]) -> DataFrame:

@@ -52,7 +52,7 @@ def train_job(
     key: str = "row_key",
     minimum_r2: float | None = fv.MIN_R2,
     created_at: str = "",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> Trained:
     rows = training_rows(production, snapshot, irrigation, fertilizer, key)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
