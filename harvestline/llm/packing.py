@@ -30,29 +30,72 @@ SALT = 1024
 _WORDS_KEPT = 300_000
 # Unicode white space, at which the tokenizer's pattern always splits and which it drops.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_HEAD_TAIL = re.compile("([A-Za-z\xc0-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
 
 class WordTokenizer:
-    """Ids of whole texts, as little-endian bytes. Each distinct word is encoded once per task.
+    """Ids of whole texts, as little-endian bytes. What a task has seen is encoded once, up to a bound.
 
     The tokenizer drops white space, and none of its tokens or special tokens holds any, so that a text's ids are those of its words.
+    A word of Latin letters followed by ASCII signs, or by nothing, is cut by the tokenizer's pattern where the signs begin.
+    Its letters, in lower case, are one unit whose last id ends a word, so that many are encoded as one text and
+    the ids told apart again. All other words are encoded one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(c.ids, "<u4") for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, words: list[str], into: dict[str, bytes]) -> None:
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            into.update(zip(part, (ids.tobytes() for ids in self._encoded(part))))
+
+    def _add_heads(self, heads: list[str]) -> None:
+        parts = [heads[i : i + 64] for i in range(0, len(heads), 64)]
+        for start in range(0, len(parts), 500):
+            some = parts[start : start + 500]
+            for part, ids in zip(some, self._encoded([" ".join(p) for p in some])):
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) != len(part):  # some head is more than one unit
+                    self._one_by_one(part, self.heads)
+                    continue
+                coded = ids.tobytes()
+                for head, low, high in zip(part, [0, *cuts], cuts):
+                    self.heads[head] = coded[low:high]
+
+    def _add(self, words: list[str]) -> None:
+        cut, whole = [], []
+        for word in words:
+            found = _HEAD_TAIL.fullmatch(word)
+            head = found[1].lower() if found else ""
+            if head.isalpha():
+                cut.append((word, head, found[2]))
+            else:
+                whole.append(word)
+        self._one_by_one(whole, self.known)
+        self._one_by_one(list({t for _, _, t in cut} - self.tails.keys()), self.tails)
+        self._add_heads(list({h for _, h, _ in cut} - self.heads.keys()))
+        for word, head, tail in cut:
+            self.known[word] = self.heads[head] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[w for w in _SPACE.split(t) if w] for t in texts]
-        if len(self.known) > _WORDS_KEPT:
-            self.known.clear()
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, "<u4").tobytes()
+        for kept in (self.known, self.heads, self.tails):
+            if len(kept) > _WORDS_KEPT:
+                kept.clear()
+        self.tails[""] = b""
+        self._add([w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known])
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
