@@ -28,9 +28,16 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 SALT = 1024
 _WORDS_KEPT = 300_000
-# Unicode white space, at which the tokenizer's pattern always splits and which it drops.
+# Unicode white space, at which the tokenizer's pattern always splits and which it drops; str.split also cuts at four separators.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _HEAD_TAIL = re.compile("([A-Za-z\xc0-\u024f]+)([!-/:-@\\[-`{-~]*)")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _words(text: str) -> list[str]:
+    if any(c in text for c in _SEPARATORS):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
 
 
 class WordTokenizer:
@@ -75,27 +82,29 @@ class WordTokenizer:
                     self.heads[head] = coded[low:high]
 
     def _add(self, words: list[str]) -> None:
-        cut, whole = [], []
+        cut, heads, tails, whole = [], [], [], []
         for word in words:
             found = _HEAD_TAIL.fullmatch(word)
             head = found[1].lower() if found else ""
             if head.isalpha():
-                cut.append((word, head, found[2]))
+                cut.append(word)
+                heads.append(head)
+                tails.append(found[2])
             else:
                 whole.append(word)
         self._one_by_one(whole, self.known)
-        self._one_by_one(list({t for _, _, t in cut} - self.tails.keys()), self.tails)
-        self._add_heads(list({h for _, h, _ in cut} - self.heads.keys()))
-        for word, head, tail in cut:
-            self.known[word] = self.heads[head] + self.tails[tail]
+        self._one_by_one(list(set(tails).difference(self.tails)), self.tails)
+        self._add_heads(list(set(heads).difference(self.heads)))
+        coded = map(bytes.__add__, map(self.heads.__getitem__, heads), map(self.tails.__getitem__, tails))
+        self.known.update(zip(cut, coded))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in _SPACE.split(t) if w] for t in texts]
+        split = [_words(t) for t in texts]
         for kept in (self.known, self.heads, self.tails):
             if len(kept) > _WORDS_KEPT:
                 kept.clear()
         self.tails[""] = b""
-        self._add([w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known])
+        self._add(list(set().union(*split).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
