@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -591,12 +592,59 @@ def describe(spark, folder):
     return rounded(rows, 4, "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+@shared
+def _insights(spark, folder) -> insight_report.InsightReport:
+    """The report set over its default crops."""
+    dimensions = t.irrigation(spark, folder), t.fertilizer(spark, folder)
+    return insight_report.insight_report(t.production(spark, folder), snapshot(spark, folder), *dimensions)
+
+
+@query
+def insight_by_crop(spark, folder):
+    return rounded(_insights(spark, folder).by_crop, 4, "mean_yield")
+
+
+@query
+def insight_top_states(spark, folder):
+    return rounded(_insights(spark, folder).top_states, 4, "mean_yield")
+
+
 @query
 def insight_trend(spark, folder):
-    """Yield by year from the report set, over its default crops."""
-    dimensions = t.irrigation(spark, folder), t.fertilizer(spark, folder)
-    report = insight_report.insight_report(t.production(spark, folder), snapshot(spark, folder), *dimensions)
-    return rounded(report.by_year, 4, "mean_yield")
+    return rounded(_insights(spark, folder).by_year, 4, "mean_yield")
+
+
+@query
+def insight_distribution(spark, folder):
+    return rounded(_insights(spark, folder).distribution, 4, "bin_start", "bin_end")
+
+
+@query
+def insight_scatter(spark, folder):
+    """Slope and correlation of yield with every weather column, by crop."""
+    parts = [rows.withColumn("feature", F.lit(name)) for name, rows in _insights(spark, folder).weather_scatter.items()]
+    return rounded(rounded(reduce(DataFrame.unionByName, parts), 6, "corr"), 4, "slope")
+
+
+@query
+def insight_irrigation(spark, folder):
+    return _insights(spark, folder).irrigation
+
+
+@query
+def insight_fertilizer(spark, folder):
+    return _insights(spark, folder).fertilizer
+
+
+@query
+def insight_correlation(spark, folder):
+    return rounded(_insights(spark, folder).correlation, 6, "corr")
+
+
+@query
+def insight_preview(spark, folder):
+    rows = _insights(spark, folder).preview
+    return rows.select("row_key", "crop", "state", "season", "crop_year", "area", "yield", "total_rows")
 
 
 @query
@@ -744,6 +792,11 @@ def validate_requests(spark, folder):
     return _flat(rq.validate_requests(t.requests(spark, folder), known(spark, folder)))
 
 
+@query
+def rejected_requests(spark, folder):
+    return rq.rejected(rq.validate_requests(t.requests(spark, folder), known(spark, folder)))
+
+
 @query
 def override_inputs(spark, folder):
     valid = rq.accepted(rq.validate_requests(t.requests(spark, folder), known(spark, folder)))
@@ -879,6 +932,13 @@ def stream_validated_requests(spark, folder):
     return _flat(_drained(jobs.validated_stream(_request_stream(spark, folder), known(spark, folder)), "validated"))
 
 
+@query
+def stream_rejected_requests(spark, folder):
+    """The other side of the validated stream, with the reasons."""
+    checked = jobs.validated_stream(_request_stream(spark, folder), known(spark, folder))
+    return _drained(rq.rejected(checked), "rejected-requests")
+
+
 @query
 def stream_scored_requests(spark, folder):
     good, _ = jobs.scored_stream(

@@ -207,6 +207,8 @@ CTES["routed"] = f"""SELECT o.*, {', '.join(f'case when o.use_forecast then f.{c
     FROM overridden o LEFT JOIN yearly y ON y.state = o.state AND y.crop_year = o.crop_year
     LEFT JOIN forecast f ON f.state = o.state AND f.season = o.season"""
 
+CTES["picked"] = "SELECT * FROM enriched WHERE crop IN (SELECT DISTINCT crop FROM production ORDER BY crop LIMIT 5)"
+
 
 def statement(body: str, extra: dict | None = None) -> str:
     """The body with the named tables it uses, directly or through each other."""
@@ -243,6 +245,15 @@ def _histogram(source: str, value: str, by: str = "") -> str:
 _QUANT = ", ".join(f"{rnd(f'quantile_cont(value, {q}e0)', 4)} AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75))
 
 
+def _correlations(source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, {rnd(f'corr(\"{a}\", \"{b}\")', 6)} AS corr FROM {source}"
+        if a != b
+        else f"SELECT '{a}' AS x, '{a}' AS y, case when count(\"{a}\") > 1 and max(\"{a}\") > min(\"{a}\") then 1.0e0 end AS corr FROM {source}"
+        for a in CORR_COLUMNS for b in CORR_COLUMNS
+    )
+
+
 def _long(columns, source: str, extra: str = "") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, cast(\"{c}\" as double) AS value{extra} FROM {source}" for c in columns)
 
@@ -428,12 +439,7 @@ BODIES: dict[str, str] = {
     "first_by_state": "SELECT state, arg_min(irrigation_coverage_pct, row_key) AS irrigation_coverage_pct FROM enriched GROUP BY 1",
     "yield_histogram": _histogram("production", '"yield"'),
     "yield_histogram_by_crop": _histogram("production", '"yield"', "crop"),
-    "corr_matrix": " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, {rnd(f'corr(\"{a}\", \"{b}\")', 6)} AS corr FROM enriched"
-        if a != b
-        else f"SELECT '{a}' AS x, '{a}' AS y, case when count(\"{a}\") > 1 and max(\"{a}\") > min(\"{a}\") then 1.0e0 end AS corr FROM enriched"
-        for a in CORR_COLUMNS for b in CORR_COLUMNS
-    ),
+    "corr_matrix": _correlations("enriched"),
     "profile": """SELECT count(*) AS n_rows, count(DISTINCT state) AS states, min(crop_year) AS first_year, max(crop_year) AS last_year,
         count(DISTINCT (state, crop_year)) AS combos FROM production""",
     "area_stats": "SELECT " + ", ".join(
@@ -450,6 +456,21 @@ BODIES: dict[str, str] = {
         FROM ({_long(CORR_COLUMNS, 'enriched')}) GROUP BY 1""",
     "insight_trend": f"""SELECT crop_year, {rnd('avg("yield")', 4)} AS mean_yield FROM production
         WHERE crop IN (SELECT DISTINCT crop FROM production ORDER BY crop LIMIT 5) GROUP BY 1""",
+    "insight_by_crop": f"""SELECT crop, {rnd('avg("yield")', 4)} AS mean_yield FROM picked GROUP BY 1""",
+    "insight_top_states": f"""SELECT state, {rnd('avg("yield")', 4)} AS mean_yield FROM picked GROUP BY 1
+        ORDER BY avg("yield") DESC, state LIMIT 15""",
+    "insight_distribution": _histogram("picked", '"yield"', "crop"),
+    "insight_scatter": " UNION ALL ".join(
+        f"""SELECT '{w}' AS feature, crop, count(*) FILTER (WHERE {w} IS NOT NULL) AS n, {rnd(f'corr({w}, "yield")', 6)} AS corr,
+        {rnd(f'regr_slope("yield", {w})', 4)} AS slope FROM picked GROUP BY 2""" for w in W
+    ),
+    "insight_irrigation": f"""SELECT state, arg_min({fv.IRRIGATION}, row_key) AS {fv.IRRIGATION} FROM picked
+        WHERE {fv.IRRIGATION} IS NOT NULL GROUP BY 1""",
+    "insight_fertilizer": f"""SELECT state, arg_min({fv.FERTILIZER}, row_key) AS {fv.FERTILIZER} FROM picked
+        WHERE {fv.FERTILIZER} IS NOT NULL GROUP BY 1""",
+    "insight_correlation": _correlations("picked"),
+    "insight_preview": """SELECT row_key, crop, state, season, crop_year, area, "yield", (SELECT count(*) FROM picked) AS total_rows
+        FROM picked ORDER BY row_key LIMIT 200""",
     "feature_counts": f"""SELECT w AS pipeline_features, w AS model_features, w AS schema_features, true AS all_match FROM (
         SELECT cast(count(DISTINCT crop) + count(DISTINCT state) + count(DISTINCT season) - 3 + {len(fv.NUMERICAL)} as int) AS w
         FROM labelled WHERE split = 'train')""",
@@ -514,6 +535,8 @@ BODIES: dict[str, str] = {
         {', '.join(f'{rnd("hist_" + f, 6)} AS hist_{f}' for f in W)}, weather_source, forecast_confidence FROM routed""",
     "input_summary": f"SELECT request_id, feature, {_DISPLAY} AS display, value, source FROM ({_summaries()})",
 }
+BODIES["rejected_requests"] = "SELECT request_id, errors FROM validated WHERE errors <> ''"
+BODIES["stream_rejected_requests"] = BODIES["rejected_requests"]
 BODIES["stream_validated_requests"] = BODIES["validate_requests"]
 
 
