@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,5 +63,20 @@ def add_columns(
     return source.mapInArrow(work, schema)
 
 
+def keeping_columns(*read: str):
+    """For operators that return the columns of `docs`: all but those they `read` get names that none of their own clashes with."""
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = docs.columns
+            inner = docs.toDF(*[c if c in read else f"_extra_{i}" for i, c in enumerate(names)])
+            return operator(inner, *args, **kwargs).toDF(*names)
+
+        return run
+
+    return wrap
+
+
 def documents(spark, folder: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*columns or ("doc_id", "text"))

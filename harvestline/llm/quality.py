@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harvestline.llm.common import add_columns, fold
+from harvestline.llm.common import add_columns, fold, keeping_columns
 from harvestline.sources.stored import stored
 
 FREQUENCIES = 160
@@ -202,6 +202,7 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@keeping_columns("doc_id", "text")
 def accepted(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
     """The rows of `docs`, with their columns, that the classifier does not reject."""
     rows = stored(with_statistics(docs, ["doc_id"]), "statistics")

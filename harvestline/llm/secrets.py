@@ -16,10 +16,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from harvestline.llm.automaton import BackwardScan, compile_automaton
-from harvestline.llm.common import add_columns
+from harvestline.llm.common import add_columns, keeping_columns
 
 # The rules as (kind, pattern, either case, group whose length counts, least length of it).
 RULES = [
@@ -105,9 +105,9 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[end:]])
 
 
+@keeping_columns("text", "n_chars")
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with its columns, all rows kept, secrets masked and n_chars (where there is one) renewed for changed texts."""
-    from pyspark.sql import functions as F
 
     def compute(texts):
         rows = [masked(t, s) if s else None for t, s in zip(texts, secret_spans(texts))]

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from harvestline.llm.common import add_columns
+from harvestline.llm.common import add_columns, keeping_columns
 from harvestline.llm.components import components
 from harvestline.sources.stored import stored
 
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(found, "code").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+@keeping_columns("doc_id", "text")
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of `docs`, with its columns, of each component: the one with the smallest doc_id."""
 

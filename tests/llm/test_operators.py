@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
 
@@ -433,3 +434,15 @@ def test_empty_tables(nothing, labels):
         substrings.dedup(nothing),
     ):
         assert df.count() == 0
+
+
+def test_stages_hand_extra_columns_on(odd, labels):
+    own = ["source_no", "block", "times", "code", "root", "least_id", "statistics", "_n", "_least", "_masked", "_begin", "_words", "a.b"]
+    docs = odd.select("*", *[F.lit(f"kept {c}").alias(c) for c in own])
+    stages = [lambda d: quality.accepted(d, labels), simhash.deduplicated, secrets.redacted, mixing.mixed_documents]
+    for stage in stages:
+        found = stage(docs)
+        assert found.columns == docs.columns
+        rows = found.toArrow().to_pydict()
+        assert rows["doc_id"] and set(rows["_code"]) == {"x"}
+        assert all(set(rows[c]) == {f"kept {c}"} for c in own)
