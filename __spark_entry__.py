@@ -214,6 +214,12 @@ def weather_norms(spark, folder):
     return wx.weather_norms(yearly(spark, folder))
 
 
+@query
+def snapshot_norms(spark, folder):
+    """Norms over the year rows and the latest rows of the snapshot together."""
+    return wx.weather_norms(snapshot(spark, folder))
+
+
 @query
 def risk_fired_rules(spark, folder):
     weather = yearly(spark, folder)
@@ -466,6 +472,17 @@ def asked_forecasts(spark, folder):
     return report.select("state", "season", *fv.WEATHER, *[f"delta_{c}" for c in fv.WEATHER])
 
 
+@query
+def cached_forecasts(spark, folder):
+    """Asked forecasts, those of every tenth request asked for first; the second run reads these and saves the others."""
+    base, asked = scratch_path(spark, "forecast-snapshot"), t.requests(spark, folder)
+    points = t.forecast_series(spark, folder)
+    forecast_report.cached_forecast(spark, base, points, f"{FORECAST_AS_OF} 00:00:00", asked.where("request_id % 10 = 1"))
+    rows = forecast_report.cached_forecast(spark, base, points, f"{FORECAST_AS_OF} 12:00:00", asked)
+    spread = [F.col(f"forecast_spread.{c}").alias(f"spread_{c}") for c in fv.WEATHER]
+    return rows.select("*", *spread, F.hour("cached_at").alias("saved_hour")).drop("forecast_spread", "cached_at")
+
+
 @query
 def latest_valid_forecast(spark, folder):
     rows = fc.latest_valid(t.forecast_snapshot(spark, folder), SNAPSHOT_AS_OF)

@@ -13,6 +13,13 @@ WEATHER_SCHEMA = (
     "mean_relative_humidity double, mean_solar_radiation double, lat double, lon double, start date, end date, "
     "cached_at timestamp_ntz"
 )
+FORECAST_SCHEMA = (
+    "state string, season string, year_month string, mean_temperature double, total_precipitation double, "
+    "mean_relative_humidity double, mean_solar_radiation double, forecast_spread struct<mean_temperature: double, "
+    "total_precipitation: double, mean_relative_humidity: double, mean_solar_radiation: double>, "
+    "forecast_confidence string, coverage_pct double, forecast_horizon_days int, data_points bigint, "
+    "season_total_precipitation_mm double, warning string, cached_at timestamp_ntz"
+)
 WEATHER_KEY = ["state", "crop_year", "mode"]
 FORECAST_KEY = ["state", "season", "year_month"]
 

@@ -326,6 +326,9 @@ BODIES: dict[str, str] = {
     "valid_observations": f"""SELECT state, param, count(*) AS n, {rnd('sum(val)', 4)} AS total, min(obs_date) AS first_day,
         max(obs_date) AS last_day FROM observations WHERE val IS NOT NULL AND val > -990 GROUP BY 1, 2""",
     "weather_norms": f"SELECT {', '.join(W)} FROM norms",
+    "snapshot_norms": "SELECT "
+    + ", ".join(f"coalesce({rnd(f'median({f}) FILTER (WHERE {f} > 0)', 1)}, {fv.DEFAULT_NORMS[f]}e0) AS {f}" for f in W)
+    + f" FROM (SELECT {', '.join(W)} FROM yearly UNION ALL SELECT {', '.join(W)} FROM recent)",
     "risk_fired_rules": f"""SELECT state, crop_year, cast(rule_ord as int) AS rule_ord, level, category, icon, title, message, metric_name,
         {rnd('current_value', 6)} AS current_value, threshold, norm_value, {rnd('deviation', 1)} AS deviation_pct FROM fired""",
     "risk_rules_from_table": f"""SELECT state, crop_year, cast(rule_ord as int) AS rule_ord, metric_name AS metric,
@@ -403,6 +406,10 @@ BODIES: dict[str, str] = {
         f"case when h.state is not null then {rnd(f'coalesce(f.{c}, 0.0e0) - coalesce(h.{c}, 0.0e0)', 2)} end AS delta_{c}" for c in W)}
         FROM forecast f LEFT JOIN recent h ON h.state = f.state
         WHERE EXISTS (SELECT 1 FROM requests r WHERE r.state = f.state AND upper(r.season) = f.season)""",
+    "cached_forecasts": f"""SELECT {FORECAST_COLUMNS}, '{FORECAST_AS_OF[:7]}' AS year_month,
+        cast(case when EXISTS (SELECT 1 FROM requests r WHERE r.state = forecast.state AND upper(r.season) = forecast.season
+        AND r.request_id % 10 = 1) then 0 else 12 end as int) AS saved_hour FROM forecast
+        WHERE EXISTS (SELECT 1 FROM requests r WHERE r.state = forecast.state AND upper(r.season) = forecast.season)""",
     "latest_valid_forecast": f"""SELECT state, season, snap_id, cast(cached_at as date) AS cached_on FROM (
         SELECT *, row_number() OVER (PARTITION BY state, season ORDER BY cached_at DESC, snap_id DESC) AS rn FROM fsnapshot
         WHERE date_diff('second', cached_at, TIMESTAMP '{SNAPSHOT_AS_OF}') < 2592000
