@@ -11,7 +11,7 @@ from functools import reduce
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import oracles
 from harvestline import fixed_values as fv
@@ -444,6 +444,35 @@ def forecast_payloads(spark, folder):
     return payloads.forecast_points(landed).drop("pos")
 
 
+@query
+def dimension_files(spark, folder):
+    """A dimension landed as several CSV files with names that occur twice, read back in file order."""
+    rows = t.irrigation(spark, folder)
+    again = rows.where("ord % 3 = 0").withColumns({fv.IRRIGATION: F.col(fv.IRRIGATION) + 1, "ord": F.col("ord") + 1000})
+    landed = scratch_path(spark, "dimension")
+    files.write_table(rows.union(again).repartitionByRange(3, "ord").sortWithinPartitions("ord").drop("ord"), landed)
+    position = F.row_number().over(Window.orderBy("ord")).alias("position")
+    return files.read_dimension(spark, landed, fv.IRRIGATION).select("state", fv.IRRIGATION, position)
+
+
+@query
+def first_usable_table(spark, folder):
+    """The first path that exists, after one that does not."""
+    landed = scratch_path(spark, "requests")
+    files.write_table(t.fertilizer(spark, folder), f"{landed}.parquet", "parquet")
+    return files.first_source(spark, [scratch_path(spark, "missing"), f"{landed}.parquet"])
+
+
+@query
+def first_suitable_table(spark, folder):
+    """The first table with all features: one path is missing, the next table lacks the weather."""
+    lacking, good = (f"{scratch_path(spark, name)}.parquet" for name in ("lacking", "good"))
+    files.write_table(t.production(spark, folder), lacking, "parquet")
+    files.write_table(enriched(spark, folder), good, "parquet")
+    found, _ = files.first_suitable_source(spark, [scratch_path(spark, "missing"), lacking, good])
+    return rounded(found.groupBy("crop").agg(F.count("*").alias("n"), F.avg(fv.TARGET).alias("mean_yield")), 4, "mean_yield")
+
+
 # --- forecast ------------------------------------------------------------------------------------
 @query
 def season_forecast(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from harvestline import fixed_values as fv
 from harvestline.operators.shaping import clean_name
 from harvestline.session import path_exists
+from harvestline.sources.stored import stored
 
 PRODUCTION_SCHEMA = (
     "crop string, state string, district string, season string, crop_year int, area double, production double, "
@@ -14,9 +15,15 @@ PRODUCTION_SCHEMA = (
 )
 
 
+def _format(path: str) -> str:
+    """By the ending of the innermost folder or file that has one."""
+    endings = (part.rsplit(".", 1)[-1] for part in reversed(path.split("/")))
+    return next((e for e in endings if e in ("csv", "parquet")), "csv")
+
+
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """CSV with a header, or parquet. Without a schema the CSV types are inferred (one more pass)."""
-    if ".parquet" in path:
+    if _format(path) == "parquet":
         return spark.read.parquet(path)
     reader = spark.read.option("header", True)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
@@ -28,28 +35,24 @@ def read_dimension(spark: SparkSession, path: str, value: str, name: str = "stat
     A missing file, a missing column or a value that is not a number gives an empty dimension.
     A name that occurs twice keeps its first position and its last value.
     """
-    empty = spark.createDataFrame([], f"{name} string, {value} double, ord bigint")
+    empty = spark.createDataFrame([], f"{name} string, {value} double, ord struct<file: string, block: bigint, row: bigint>")
     if not path_exists(spark, path):
         return empty
     raw = spark.read.option("header", True).csv(path)
-    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    if name not in raw.columns or value not in raw.columns:
+    if not {name, value} <= {c.strip().lower() for c in raw.columns}:
         return empty
+    # Splits are dealt out by size, so rows are placed by file, start of the split and only then by the running number.
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    ord_ = F.struct(*place, F.monotonically_increasing_id().alias("row"))
+    raw = raw.select("*", ord_).toDF(*[c.strip().lower() for c in raw.columns], "ord")
     rows = raw.select(
         F.trim(name).alias(name),
         F.trim(value).try_cast("double").alias(value),
         (F.col(value).isNotNull() & F.trim(value).try_cast("double").isNull()).alias("bad"),
-        F.monotonically_increasing_id().alias("ord"),
-    )
-    if not rows.where("bad").isEmpty():
-        return empty
-    return first_position_last_value(rows.drop("bad"), name, [value])
-
-
-def first_position_last_value(rows: DataFrame, name: str, values: list[str], order: str = "ord") -> DataFrame:
-    return rows.groupBy(name).agg(
-        *[F.max_by(v, order).alias(v) for v in values], F.min(order).alias(order)
+        "ord",
     )
+    found = stored(rows.groupBy(name).agg(F.max_by(value, "ord").alias(value), F.min("ord").alias("ord"), F.max("bad").alias("bad")), "dimension")
+    return empty if not found.where("bad").isEmpty() else found.drop("bad")
 
 
 def first_source(spark: SparkSession, paths: Iterable[str], schema: str | None = None) -> DataFrame:

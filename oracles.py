@@ -392,6 +392,10 @@ BODIES: dict[str, str] = {
         GROUP BY 1, 2, 3""",
     "forecast_payloads": f"""SELECT state, ts, {', '.join(f'{rnd(f"avg({v})", 6)} AS {v}' for v in fv.FORECAST_VARIABLES)}
         FROM points GROUP BY 1, 2""",
+    "dimension_files": """SELECT state, irrigation_coverage_pct + case when ord % 3 = 0 then 1 else 0 end AS irrigation_coverage_pct,
+        cast(row_number() OVER (ORDER BY ord) as int) AS position FROM irrigation""",
+    "first_usable_table": "SELECT * FROM fertilizer",
+    "first_suitable_table": f"""SELECT crop, count(*) AS n, {rnd('avg("yield")', 4)} AS mean_yield FROM enriched GROUP BY 1""",
     # --- forecast
     "season_forecast": f"SELECT {FORECAST_COLUMNS} FROM forecast",
     "forecast_rejects": """SELECT a.state, a.season, case when a.season IN (SELECT season FROM season_months)

@@ -22,6 +22,15 @@ def test_dimension_csv(spark, fresh):
     assert [(r["state"], r[fv.IRRIGATION]) for r in rows] == [("Goa", 12.0), ("Punjab", 98.5)]
 
 
+def test_dimension_of_several_files_keeps_their_order(spark, fresh):
+    folder = fresh()
+    for name, size in (("a", 1), ("b", 4000), ("c", 400)):  # larger files are read first
+        write(f"{folder}/{name}.csv", "state,irrigation_coverage_pct\n" + "".join(f"{name}{i},{i}\n" for i in range(size)) + f"Goa,{size}\n")
+    rows = files.read_dimension(spark, folder, fv.IRRIGATION).orderBy("ord").collect()
+    assert [r["state"] for r in rows] == ["a0", "Goa", *[f"b{i}" for i in range(4000)], *[f"c{i}" for i in range(400)]]
+    assert rows[1][fv.IRRIGATION] == 400
+
+
 @pytest.mark.parametrize("content", [None, "state,other\nGoa,1\n", "state,irrigation_coverage_pct\nGoa,many\n"])
 def test_unusable_dimension_is_empty(spark, fresh, content):
     path = fresh() + "/d.csv"
