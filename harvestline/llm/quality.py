@@ -29,6 +29,7 @@ FREQUENCIES = 160
 BANDWIDTH = 6.0
 RIDGE = 1e-4
 BINS = 512
+SLICE = 1024  # rows whose features a task holds at a time
 SEED = 8
 
 STATISTICS = [
@@ -106,7 +107,9 @@ class QualityModel:
         return np.concatenate([np.ones((len(x), 1)), x, waves], axis=1)
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
-        return np.full(len(rows), 0.5) if self.weights is None else self.features(rows) @ self.weights
+        if self.weights is None:
+            return np.full(len(rows), 0.5)
+        return np.concatenate([self.features(rows[i : i + SLICE]) @ self.weights for i in range(0, max(1, len(rows)), SLICE)])
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         raw = self.raw(rows)
@@ -130,9 +133,11 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
     def part(batches):
         total = None
         for batch in batches:
-            z = model.features(_matrix(batch))
-            joined = np.concatenate([z, np.asarray(batch.column("label"))[:, None]], axis=1)
-            total = z.T @ joined if total is None else total + z.T @ joined
+            rows, labels = _matrix(batch), np.asarray(batch.column("label"))
+            for i in range(0, len(rows), SLICE):
+                z = model.features(rows[i : i + SLICE])
+                joined = np.concatenate([z, labels[i : i + SLICE, None]], axis=1)
+                total = z.T @ joined if total is None else total + z.T @ joined
         if total is not None:
             yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "row": pa.array(list(total), pa.list_(pa.float64()))})
 
