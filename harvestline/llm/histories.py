@@ -1,0 +1,154 @@
+"""Token histories of the language model: skip, last-token and two-token features over actual tokens, for both factors of its softmax.
+
+Each seen pair of a history h and an outcome x has a log-linear weight log(1 + n(h, x) / (m q(x))) on top of the distribution q of
+the features before it; its exact normaliser is 1 + n(h) / m, so that the product is (n(h, x) + m q(x)) / (n(h) + m), summing to one
+over all outcomes whatever q is.  In order: the token before the last (skip), the last, the last two.  For the class, q starts as the
+gradient-trained class model, and histories that end in a frequent token, a class of its own, are left to it where it sees them
+exactly; for the token in its class, q starts as the smoothed share of its count.
+
+Counts are of training tokens and are never held whole: each token goes to the partition of the token before the last, then to that of the last
+one (of history and class, where the history is frequent), where all rows that its counts need meet.  Rows travel packed, some hundreds in a
+binary value.  Tokens and histories are named by 64 and 32 bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+BUCKETS = 4096
+SKIP, LAST, BOTH = 50.0, 20.0, 5.0  # m of each kind of history
+SEED = 42  # as in Spark's xxhash64
+TRAINS, LAST_RARE, SKIP_RARE, LISTED, IN_CLASS = 1, 2, 4, 8, 16
+
+#: p2, p1: token before the last and last token; w, c: token and class; q: probability of the class; what the flags say.
+FIRST = np.dtype([("p2", "<u4"), ("p1", "<u4"), ("w", "<u8"), ("doc", "<i8"), ("c", "u1"), ("flags", "u1"), ("q", "<f4")])
+#: The token's probability in its class is seen + rest * (share of its count).
+SECOND = np.dtype([*FIRST.descr, ("seen", "<f4"), ("rest", "<f4")])
+RESULT = "doc long, score double, key long, class int, seen double, rest double"
+
+
+def before(values: np.ndarray, ends: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of texts that stand one after the other, the values of the last token and of the one before it."""
+    last, earlier = np.roll(values, 1), np.roll(values, 2)
+    first = np.append(0, ends[:-1])
+    last[first] = earlier[first] = start
+    second = first + 1
+    earlier[second[second < ends]] = start
+    return last, earlier
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """A 64 bit hash of the parts."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def packed(rows: np.ndarray, history: str, rare: int) -> pa.RecordBatch:
+    """bucket, rows of the bucket."""
+    own = np.where(rows["flags"] & rare > 0, 255, rows["c"])
+    bucket = (_mixed(rows[history], own) % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[order], return_index=True)
+    offsets = (np.append(first, len(rows)) * rows.dtype.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(rows[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), data], names=["bucket", "rows"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    parts = []
+    for batch in batches:
+        column = batch.column("rows")
+        if not len(column):
+            continue
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        parts.append(np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].copy())
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
+
+
+def _counts(key: np.ndarray, trains: np.ndarray) -> np.ndarray:
+    """For each row, the number of training rows of its key."""
+    at = np.asarray(pa.array(key).dictionary_encode().indices)
+    return np.bincount(at, trains)[at]
+
+
+def _class_step(rows: np.ndarray, which: np.ndarray, m: float, *history: str) -> None:
+    part = rows[which]
+    if len(part):
+        trains = part["flags"] & TRAINS
+        name = _mixed(*(part[h] for h in history))
+        rows["q"][which] = (_counts(_mixed(name, part["c"]), trains) + m * part["q"].astype(float)) / (_counts(name, trains) + m)
+
+
+def _token_step(rows: np.ndarray, m: float, *history: str) -> None:
+    which = np.flatnonzero(rows["flags"] & IN_CLASS)
+    part = rows[which]
+    if len(part):
+        trains = part["flags"] & TRAINS
+        name = _mixed(*(part[h] for h in history))
+        size = _counts(_mixed(name, part["c"]), trains) + m
+        rows["seen"][which] = (_counts(_mixed(name, part["w"]), trains) + m * part["seen"]) / size
+        rows["rest"][which] = m * part["rest"] / size
+
+
+def scored(events: DataFrame, listed, share) -> DataFrame:
+    """Sums of log10 P(class) + log10 P(token | class) per document and task (`seen` is null), and the rows of tokens that are not listed.
+
+    `events` holds packed rows by the skip history; `listed()` gives ascending token hashes and their counts, `share(count, class)` the
+    smoothed share of a count in a class.
+    """
+    parts = min(BUCKETS, 4 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def by_skip(batches):
+        first = _unpacked(batches, FIRST)
+        if not len(first):
+            return
+        rows = np.zeros(len(first), SECOND)
+        for name in FIRST.names:
+            rows[name] = first[name]
+        rows["rest"] = 1
+        rare = rows["flags"] & SKIP_RARE > 0
+        _class_step(rows, np.flatnonzero(rare), SKIP, "p2")
+        _class_step(rows, np.flatnonzero(rare & (rows["flags"] & LAST_RARE == 0)), BOTH, "p2", "p1")
+        _token_step(rows, SKIP, "p2")
+        yield packed(rows, "p1", LAST_RARE)
+
+    def by_last(batches):
+        rows = _unpacked(batches, SECOND)
+        if not len(rows):
+            return
+        rare = np.flatnonzero(rows["flags"] & LAST_RARE)
+        _class_step(rows, rare, LAST, "p1")
+        _class_step(rows, rare, BOTH, "p2", "p1")
+        _token_step(rows, LAST, "p1")
+        _token_step(rows, BOTH, "p2", "p1")
+        score = np.log10(rows["q"].astype(float))
+        known = rows["flags"] & LISTED > 0
+        inside = np.flatnonzero(known & (rows["flags"] & IN_CLASS > 0))
+        if len(inside):
+            part, (keys, counts) = rows[inside], listed()
+            count = counts[np.searchsorted(keys, part["w"])]
+            score[inside] += np.log10(part["seen"].astype(float) + part["rest"].astype(float) * share(count, part["c"]))
+        docs, at = np.unique(rows["doc"][known], return_inverse=True)
+        rest, more = rows[~known], score[~known]
+        none = pa.nulls(len(docs), pa.float64())
+        yield pa.RecordBatch.from_pydict({
+            "doc": np.append(docs, rest["doc"]),
+            "score": np.append(np.bincount(at, score[known], len(docs)), more),
+            "key": np.append(docs, np.ascontiguousarray(rest["w"]).view(np.int64)),
+            "class": np.append(np.zeros(len(docs), np.int32), rest["c"].astype(np.int32)),
+            "seen": pa.concat_arrays([none, pa.array(rest["seen"].astype(float))]),
+            "rest": pa.concat_arrays([none, pa.array(rest["rest"].astype(float))]),
+        })
+
+    between = events.repartition(parts, F.col("bucket")).mapInArrow(by_skip, "bucket int, rows binary")
+    return between.repartition(parts, F.col("bucket")).mapInArrow(by_last, RESULT)

@@ -1,16 +1,16 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-log P(token | text before) = log P(class | context) + log P(token | class).  Each of the `FREQUENT` commonest tokens is
+log P(token | text before) = log P(class | history) + log P(token | class, history).  Each of the `FREQUENT` commonest tokens is
 a class of its own; all others, unknown ones too, fall into `SHAPES` classes by their spelling.  The class has a log-linear
 model over hashed features of the context, the n-grams (last class; last two) and the skip (last but one):
-each feature names a row of `ROWS` weight rows with one weight per class.  Inside a class the maximum-entropy
-solution for token features alone is known, the smoothed share of the token's count, so no gradient is needed there.
+each feature names a row of `ROWS` weight rows with one weight per class.  On top of it the class, and on top of the smoothed share of
+its count the token in its class, have n-gram and skip features over the actual tokens before it (`histories`).
 
-Learning reads every training token: token counts and the counts of class trigrams are added up on the cluster and grow
-with the corpus; gradient steps run over partitions of the distinct contexts with their counts, and their sums (bounded by
-the number of contexts) give the next weights.  Scoring makes the log-probability rows of the contexts from the sparse features
-and gathers them in numpy.  Counts of the commonest tokens, `LISTED` at most, go with the tasks (a bounded list); those of
-all others come by a join on the token.
+Learning reads every training token: token counts, counts of class trigrams and counts of the token histories are added up on the cluster;
+those of tokens and histories grow with the corpus.  Gradient steps run over partitions of the distinct class contexts with their
+counts, and their sums (bounded by the number of contexts) give the next weights; the weights of token histories follow from their counts
+in closed form, without gradient steps.  A training text is scored with counts that contain its own.  Counts of the commonest tokens,
+`LISTED` at most, go with the tasks (a bounded list); those of all others come by a join on the token.
 
 Defined cases: null text is empty, and an empty text is its end token; a null doc_id counts as empty text in the fold; without training
 text every token is unknown; repeated rows are rows of their own; empty tables give empty results; other columns are not
@@ -24,9 +24,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from harvestline.llm.common import add_columns, fold
+from harvestline.llm import histories
+from harvestline.llm.common import add_columns, fold, text_groups
 from harvestline.sources.stored import stored
 
 FREQUENT = 64
@@ -76,13 +78,8 @@ class Classes:
 
 def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each token of texts that stand one after the other, the number of its context: the two classes before it."""
-    before, earlier = np.roll(classes, 1), np.roll(classes, 2)
-    first = np.append(0, ends[:-1])
-    before[first] = earlier[first] = START
-    second = first + 1
-    second = second[second < ends]
-    earlier[second] = START
-    return earlier * WIDTH + before
+    last, earlier = histories.before(classes, ends, START)
+    return earlier * WIDTH + last
 
 
 def _hashed(context: np.ndarray) -> np.ndarray:
@@ -235,38 +232,74 @@ class Model:
         share = np.log10((np.asarray(count) + SMOOTH) / (self.totals[classes] + SMOOTH * (self.types[classes] + 1)))
         return np.where(classes < FREQUENT, 0.0, share)
 
-    def score(self, texts: list[str]) -> dict:
-        """Sums over the tokens whose counts are at hand, and the other tokens with their numbers."""
+    def _read(self, texts: list[str]) -> tuple:
+        """Sizes and ends of the texts; of each token the word, class, count (-1: not listed), context, and whether `histories` scores it."""
         split = [tokens(t) for t in texts]
         sizes = np.array([len(s) for s in split])
         ends = np.cumsum(sizes)
         words = [w for s in split for w in s]
         own = self.classes.of(words)
         count = np.fromiter((self.listed.get(w, -1) for w in words), np.int64, len(words))
-        have = count >= 0
+        context = contexts(own, ends)
+        rare = lambda c: (c >= FREQUENT) & (c < START)
+        last, skip = rare(context % WIDTH), rare(context // WIDTH)
+        flags = last * histories.LAST_RARE + skip * histories.SKIP_RARE + (count >= 0) * histories.LISTED + (own >= FREQUENT) * histories.IN_CLASS
+        return sizes, ends, words, own, count, context, flags, last | skip | (own >= FREQUENT) | (count < 0)
+
+    def score(self, texts: list[str]) -> dict:
+        """Sums over the tokens whose counts, and over those whose whole score, are at hand."""
+        sizes, ends, _, own, count, context, _, sent = self._read(texts)
         first = np.append(0, ends[:-1])
         add = lambda values: np.add.reduceat(values, first)
-        classes = self.table[contexts(own, ends), own].astype(float)
-        score = add(classes + np.where(have, self.within(np.maximum(count, 0), own), 0.0))
+        have = count >= 0
         base = add(np.where(have, self.base(np.maximum(count, 0)), 0.0))
-        rare = [[] for _ in texts]
-        at = np.flatnonzero(~have)
-        for i, d in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist()):
-            rare[d].append(i)
-        lists = []
-        for places in rare:
-            times = Counter(words[i] for i in places)
-            kinds = {words[i]: int(own[i]) for i in places}
-            lists.append([{"token": w, "class": kinds[w], "times": n} for w, n in times.items()])
-        return {"n_tokens": sizes, "_known": add(have.astype(np.int64)), "_base": base, "_score": score, "_rare": lists}
+        return {"n_tokens": sizes, "_known": add(have.astype(np.int64)), "_base": base, "_score": add(np.where(sent, 0.0, self.table[context, own]))}
+
+    def events(self, texts: list[str], ids: np.ndarray, trains: np.ndarray) -> np.ndarray:
+        """The tokens that `histories` scores."""
+        sizes, ends, words, own, _, context, flags, sent = self._read(texts)
+        hashes = {w: xxhash.xxh64_intdigest(w, histories.SEED) for w in set(words)}
+        name = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        last, earlier = histories.before(name, ends, 0)
+        rows = np.zeros(int(sent.sum()), histories.FIRST)
+        rows["p2"], rows["p1"], rows["w"], rows["c"] = earlier[sent] & 0xFFFFFFFF, last[sent] & 0xFFFFFFFF, name[sent], own[sent]
+        rows["doc"], rows["q"] = np.repeat(ids, sizes)[sent], 10.0 ** self.table[context, own][sent]
+        rows["flags"] = (flags + np.repeat(trains, sizes) * histories.TRAINS)[sent]
+        return rows
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the listed tokens, ascending, and their counts."""
+        keys = np.array([xxhash.xxh64_intdigest(w, histories.SEED) for w in self.listed], np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.array(list(self.listed.values()), np.int64)[order]
+
+    def share(self, count, classes):
+        """The share of a count in its class, as in `within`."""
+        return 10.0 ** self.within(count, classes)
+
+
+def _events(docs: DataFrame, spread) -> DataFrame:
+    """Packed rows of the tokens that `histories` scores."""
+
+    def work(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids, trains = np.asarray(batch.column("_id")), np.asarray(batch.column("_trains"))
+            for start, end in text_groups(texts):
+                rows = spread.value.events(texts[start:end], ids[start:end], trains[start:end])
+                if len(rows):
+                    yield histories.packed(rows, "p2", histories.SKIP_RARE)
+
+    return docs.select("text", "_id", "_trains").mapInArrow(work, "bucket int, rows binary")
 
 
 def score(docs: DataFrame, parts: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold `held` of `parts` teaches nothing."""
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
     held_out = fold("doc_id", parts) == held
-    training = docs.where(~held_out)
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_id"), F.when(held_out, 0).otherwise(1).alias("_trains"))
+    docs = stored(numbered, "numbered")
+    spark = docs.sparkSession
+    training = docs.where("_trains = 1")
     vocabulary = stored(_token_counts(training), "vocabulary")
     top = vocabulary.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()
     frequent = {bytes(r["token"]): i for i, r in enumerate(top)}
@@ -287,22 +320,22 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0) -> DataFrame:
     events = stored(_class_trigrams(training, frequent).repartition(TASKS, "context"), "trigrams")
     model = Model(frequent, train(events), listed, totals, types)
     spread = spark.sparkContext.broadcast(model)
-    fields = "n_tokens long, _known long, _base double, _score double, _rare array<struct<token:binary,class:long,times:long>>"
-    rows = add_columns(docs, fields, lambda texts: spread.value.score(texts), ["doc_id"])
-    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "scored")
+    fields = "n_tokens long, _known long, _base double, _score double"
+    rows = add_columns(docs, fields, lambda texts: spread.value.score(texts), ["doc_id", "_id"])
 
     # Tokens that are not on the list: their counts by a join, their shares as in `Model.base` and `Model.within`.
-    rare = rows.select("_id", F.inline("_rare")).join(vocabulary, "token", "left")
-    count = F.coalesce("n", F.lit(0)) + SMOOTH
+    found = histories.scored(_events(docs, spread), lambda: spread.value.counts(), lambda *x: spread.value.share(*x))
+    found = found.join(vocabulary.select(F.xxhash64("token").alias("key"), "n"), "key", "left")
+    count, rare = F.coalesce("n", F.lit(0)) + SMOOTH, F.col("seen").isNotNull()
     base = F.log10(count / (model.n + SMOOTH * (model.v + 1)))
-    spans = F.element_at(F.array(*[F.lit(float(t + SMOOTH * (k + 1))) for t, k in zip(totals, types)]), (F.col("class") + 1).cast("int"))
-    times = F.col("times")
-    sums = rare.groupBy("_id").agg(
-        F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0)).alias("_more_known"),
-        F.sum(base * times).alias("_more_base"),
-        F.sum(F.log10(count / spans) * times).alias("_more_score"),
+    spans = F.element_at(F.array(*[F.lit(float(t + SMOOTH * (k + 1))) for t, k in zip(totals, types)]), F.col("class") + 1)
+    inside = F.when(rare & (F.col("class") >= FREQUENT), F.log10(F.col("seen") + F.col("rest") * count / spans)).otherwise(0.0)
+    sums = found.groupBy(F.col("doc").alias("_id")).agg(
+        F.sum((rare & F.col("n").isNotNull()).cast("long")).alias("_more_known"),
+        F.sum(F.when(rare, base).otherwise(0.0)).alias("_more_base"),
+        F.sum(F.col("score") + inside).alias("_more_score"),
     )
-    whole = rows.drop("_rare").join(sums, "_id", "left")
+    whole = rows.join(sums, "_id", "left")
     added = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero)))
     return whole.select(
         "doc_id",

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
+from harvestline.llm import histories, language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +69,69 @@ def test_language_training_helps(spark):
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
 
 
+def brute_language(rows, held, table, frequent):
+    """The score of each row with a count for every history and outcome."""
+    shape = lambda w: frequent[w] if w in frequent else language.shape(w)
+    texts = [[w.encode() for w in [*WORD.findall(lowered(t)), " "]] for _, t, *_ in rows]
+    n, share, kinds = Counter(), Counter(), defaultdict(set)
+    for ws, out in zip(texts, held):
+        for k, w in enumerate(ws):
+            if not out:
+                p1, p2 = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None)
+                share[w] += 1
+                share[shape(w), ""] += 1
+                kinds[shape(w)].add(w)
+                for h in (("skip", p2), ("last", p1), ("both", p2, p1)):
+                    n.update([h, (h, shape(w)), (h, shape(w), w)])
+    rare = lambda w: w is not None and w not in frequent
+    number = lambda w: language.START if w is None else shape(w)
+    scores = []
+    for ws in texts:
+        total = 0.0
+        for k, w in enumerate(ws):
+            p1, p2, c = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None), shape(w)
+            q = 10.0 ** float(table[number(p2) * language.WIDTH + number(p1), c])
+            p = (share[w] + 0.1) / (share[c, ""] + 0.1 * (len(kinds[c]) + 1))
+            steps = [(("skip", p2), histories.SKIP, rare(p2)), (("last", p1), histories.LAST, rare(p1)), (("both", p2, p1), histories.BOTH, rare(p1) or rare(p2))]
+            for h, m, exact in steps:
+                q = (n[h, c] + m * q) / (n[h] + m) if exact else q
+                p = (n[h, c, w] + m * p) / (n[h, c] + m)
+            total += math.log10(q) + (math.log10(p) if c >= language.FREQUENT else 0.0)
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize("listed", [20, 1 << 16])
+def test_language_histories_against_counts(odd, odd_rows, monkeypatch, listed):
+    monkeypatch.setattr(language, "LISTED", listed)
+    made, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda events: made.append(train(events)) or made[-1])
+    got = collected(language.score(odd))
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, *_ in odd_rows]
+    counts = Counter(w for (_, t, *_), out in zip(odd_rows, held) if not out for w in language.tokens(t or ""))
+    frequent = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.FREQUENT])}
+    none = np.zeros(language.CLASSES, np.int64)
+    table = language.Model(frequent, made[0], {}, none, none).table
+    want = brute_language(odd_rows, held, table, frequent)
+    key = lambda i: -1 if i is None else i
+    mine = sorted((key(r["doc_id"]), r["score"]) for r in got)
+    theirs = sorted((key(r[0]), s) for r, s in zip(odd_rows, want))
+    assert [i for i, _ in mine] == [i for i, _ in theirs]
+    assert [s for _, s in mine] == pytest.approx([s for _, s in theirs], rel=1e-5)
+
+
+def test_language_choice_in_a_class_sees_the_words_before(spark):
+    """Two held-out texts with the same tokens and classes, told apart by the order of words that are not frequent."""
+    one, two = "zzab", "zzcd"
+    common = " ".join(f"c{i}" for i in range(language.FREQUENT + 6)) + " "
+    rows = [(i, common * 3 + "qxleft " + one + " qxright " + two) for i in range(1, 60)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], f"qxleft {one} qxright {two}"), (held[1], f"qxleft {two} qxright {one}")]
+    score = {r["doc_id"]: r["score"] for r in collected(language.score(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert language.shape(one.encode()) == language.shape(two.encode()) and language.shape(b"qxleft") == language.shape(b"qxright")
+    assert score[held[0]] > score[held[1]] + 1
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 def test_packing(odd, odd_rows):
     import public_tokenizers
