@@ -15,6 +15,7 @@ from harvestline.session import ensure_checkpoints
 from harvestline.sources.stored import stored
 
 SEARCH_ROWS = 10_000
+SEARCH_PARTS = 4
 
 
 @dataclass
@@ -23,6 +24,7 @@ class YieldModel:
     trees: GBTRegressionModel
     cv_scores: list[tuple[dict, float]]
     version: str = fv.MODEL_VERSION  # of the model record; this one without a record
+    search_rows: int = 0  # rows that the search read
 
     def save(self, path: str) -> None:
         PipelineModel(stages=[*self.features.pipeline.stages, self.trees]).write().overwrite().save(path)
@@ -35,6 +37,19 @@ class YieldModel:
         return YieldModel(features, stages[-1], [], version)
 
 
+def search_sample(matrix: DataFrame, folds: int, seed: int, search_rows: int, parts: int = SEARCH_PARTS) -> DataFrame:
+    """At most `search_rows` rows of `matrix`, those with the smallest hash of `_key`, with their `_fold`, in several partitions.
+
+    The hash is of the row's key, not of its values, so that copies of a row fall in or out one by one; the limit holds the bound for copies of a key.
+    """
+    part = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 20))
+    share = min(1.0, 1.1 * search_rows / max(1, matrix.count()))
+    near = matrix.withColumn("_part", part).where(F.col("_part") < int(share * (1 << 20)) + 1)
+    near = near.orderBy("_part", "_key").limit(search_rows)
+    near = near.withColumn("_fold", F.col("_part") % folds).drop("_part")
+    return stored(near.repartition(parts, "_key"), "search-sample")
+
+
 def search(
     prepared: DataFrame,
     grid: Mapping[str, Sequence] = fv.GRID,
@@ -44,26 +59,25 @@ def search(
     label: str = fv.TARGET,
     features: str = "features",
     search_rows: int = SEARCH_ROWS,
-) -> tuple[GBTRegressionModel, list[tuple[dict, float]]]:
-    """Grid search by cross-validated R², best combination refitted on everything.
+    key: str | None = None,
+) -> tuple[GBTRegressionModel, list[tuple[dict, float]], int]:
+    """Grid search by cross-validated R², best combination refitted on everything; the third value is the number of rows searched.
 
     The encoded rows are stored first: every fold and tree then reads the same columns from the shared
     folder, and the folds come out the same after a lost executor.  The first trees of a long fit are the trees of
     a shorter one with the same seed, so each number of trees is scored on one fit.  The search reads at most
-    about `search_rows` rows, those with the smallest hash (a bounded sample of the labelled rows); the final fit reads all.
+    `search_rows` rows, those with the smallest hash of `key` (a bounded sample of the labelled rows); the final fit reads all.
     """
     ensure_checkpoints(prepared.sparkSession)
-    matrix = stored(prepared.select(features, F.col(label).cast("double").alias(label)), "training-matrix")
+    name = F.monotonically_increasing_id() if key is None else F.col(key)
+    matrix = stored(prepared.select(name.alias("_key"), features, F.col(label).cast("double").alias(label)), "training-matrix")
     trees = GBTRegressor(featuresCol=features, labelCol=label, seed=seed)
     combinations = [dict(zip(grid, values)) for values in product(*grid.values())]
     if len(combinations) == 1:
-        return trees.copy(_settings(trees, combinations[0])).fit(matrix), []
+        return trees.copy(_settings(trees, combinations[0])).fit(matrix), [], 0
 
-    part = F.pmod(F.xxhash64(features, label, F.lit(seed)), F.lit(1 << 20))
-    share = min(1.0, search_rows / max(1, matrix.count()))
-    sample = matrix.withColumn("_part", part).where(F.col("_part") < int(share * (1 << 20)))
-    # Small by construction, so one task per fit: the fits run side by side.
-    sample = stored(sample.withColumn("_fold", F.col("_part") % folds).drop("_part").coalesce(1), "search-sample")
+    sample = search_sample(matrix, folds, seed, search_rows)
+    searched = sample.count()
     longest = max(grid["maxIter"])
     shapes = list({tuple((k, v) for k, v in c.items() if k != "maxIter"): None for c in combinations})
 
@@ -80,7 +94,7 @@ def search(
     mean = lambda c: sum(f.get((tuple((k, v) for k, v in c.items() if k != "maxIter"), c["maxIter"]), 0.0) for f in found) / folds
     ranked = [(c, mean(c)) for c in combinations]
     best = max(ranked, key=lambda r: r[1])[0]
-    return trees.copy(_settings(trees, best)).fit(matrix), ranked
+    return trees.copy(_settings(trees, best)).fit(matrix), ranked, searched
 
 
 def _settings(trees: GBTRegressor, values: Mapping) -> dict:

@@ -57,8 +57,8 @@ def train_job(
     rows = training_rows(production, snapshot, irrigation, fertilizer, key)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     features = fit_features(train)
-    trees, scores = search(features.transform(train), grid, folds, parallelism=parallelism)
-    model = YieldModel(features, trees, scores, fv.TRAINED_VERSION)
+    trees, scores, searched = search(features.transform(train), grid, folds, parallelism=parallelism, key=key)
+    model = YieldModel(features, trees, scores, fv.TRAINED_VERSION, searched)
     scored = score(test, model).select(key, "crop", F.col(fv.TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
     scored = stored(scored, "scored-test")
     metrics = regression_metrics(scored)
@@ -98,5 +98,6 @@ def training_metadata(rows: DataFrame, model: YieldModel, metrics: DataFrame, fo
             F.struct("rmse", "mae", "r2", "mape").alias("test_metrics"),
             F.lit(folds).alias("grid_search_cv"),
             F.lit(None if best is None else round(best, 4)).cast("double").alias("grid_search_best_score"),
+            F.lit(model.search_rows).cast("long").alias("grid_search_rows"),
         ).alias("evaluation"),
     )

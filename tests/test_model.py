@@ -87,6 +87,23 @@ def test_quality_gate(spark, production, snapshot):
         training.train_job(spark, production, snapshot, None, None, {**GRID, "maxDepth": [1]}, minimum_r2=0.99999)
 
 
+def test_search_sample_is_bounded_for_copies(spark):
+    rows = [(f"k{i}", 1.0 if i % 3 == 0 else float(i)) for i in range(3000)]  # a third of the rows are copies of one row
+    matrix = spark.createDataFrame(rows, "_key string, yield double").repartition(3)
+    sample = md.search_sample(matrix, 3, 42, 600)
+    found = sample.collect()
+    assert 560 <= len(found) <= 600 and sample.rdd.getNumPartitions() > 1
+    assert 150 < sum(r["yield"] == 1.0 for r in found) < 250
+    assert {r["_fold"] for r in found if r["yield"] == 1.0} == {0, 1, 2}
+    same = spark.createDataFrame([("k", 1.0)] * 3000, "_key string, yield double")
+    assert md.search_sample(same, 3, 42, 600).count() <= 600
+
+
+def test_record_names_the_search_rows(trained):
+    record = trained.metadata.first()
+    assert record["evaluation"]["grid_search_rows"] == trained.model.search_rows == record["training_data"]["n_train"]
+
+
 def test_search_table_and_importance(spark, trained):
     table = md.cv_table(spark, trained.model.cv_scores).orderBy("rank").collect()
     assert [r["rank"] for r in table] == [1, 2] and table[0]["mean_r2"] >= table[1]["mean_r2"]
