@@ -169,6 +169,21 @@ def test_contributions_add_up(spark, trained, production, snapshot):
     assert table.count() == 36
 
 
+def test_contributions_come_with_their_spread(spark, trained, production, snapshot):
+    rows = en.enrich_all(production, snapshot)
+    asked = rows.limit(4).withColumnRenamed("row_key", "request_id")
+    points = ctr.background(trained.model.features.transform(rows), k=2)
+    found = ctr.contributions(asked, trained.model, points).collect()
+    assert ctr.ORDERS >= 16 and all(r["spread"] is not None and r["spread"] >= 0 for r in found)
+    two = ctr.contributions(asked, trained.model, points, orders=2).collect()
+    exact = {(r["request_id"], r["feature"]): r for r in found}
+    assert any(r["spread"] > 0 for r in two)
+    far = lambda r: abs(r["contribution"] - exact[r["request_id"], r["feature"]]["contribution"])
+    assert all(far(r) < 1e-9 for r in two if r["spread"] == 0 and exact[r["request_id"], r["feature"]]["spread"] == 0)
+    report = ctr.contribution_report(ctr.contributions(asked, trained.model, points), n=3).collect()
+    assert all(r["spread"] is not None for r in report)
+
+
 REQUESTS = (
     "request_id int, crop string, state string, season string, crop_year int, area double, irrigation_pct double, "
     "npk_kg_per_ha double, use_forecast boolean"
