@@ -21,14 +21,24 @@ from pyspark.sql import DataFrame, functions as F
 from harvestline.llm.automaton import BackwardScan, compile_automaton
 from harvestline.llm.common import add_columns, keeping_columns
 
+# A private key: its header, then headers within, base64 and line ends (also written as \\n) up to the END line; without one, the lines that are wholly base64.
+_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_END_OF_LINE = r"(\r|\n|\\r|\\n)"
+_INNER = rf"({_END_OF_LINE}+[A-Za-z0-9-]+:[^\r\n\\]*)*"
+_CLOSED = rf"([A-Za-z0-9+/=\x20\t]|{_END_OF_LINE})*-----END [A-Z ]*PRIVATE KEY-----"
+_OPEN = rf"({_END_OF_LINE}+[\x20\t]*[A-Za-z0-9+/=]{{16,}})*"
+_KEY = f"{_HEADER}{_INNER}({_CLOSED}|{_OPEN})"
+
 # The rules as (kind, pattern, either case, group whose length counts, least length of it).
 RULES = [
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 8),
     ("access", r"AKIA[A-Z0-9]+", False, 0, 16),
     ("hex", r"[0-9a-f]{32,}", False, 0, 32),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 0),
+    ("private_key", _KEY, False, 0, 0),
     ("github", r"gh[oprsu]_[A-Za-z0-9]{20,}", False, 0, 0),
 ]
+#: Where a rule's matches begin, if a shorter pattern tells: every header begins a key, whatever follows.
+BEGINS = {"private_key": _HEADER}
 BASE = ("assign", "access", "hex")
 FIELDS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 MARK = "<secret>"
@@ -38,7 +48,7 @@ Span = tuple[str, int, int]
 
 @lru_cache(1)
 def _compiled():
-    scan = BackwardScan([(pattern, fold) for _, pattern, fold, _, _ in RULES])
+    scan = BackwardScan([(BEGINS.get(kind, pattern), fold) for kind, pattern, fold, _, _ in RULES])
     forward = [compile_automaton([(pattern, fold)]) for _, pattern, fold, _, _ in RULES]
     exact = [re.compile(pattern.encode(), re.IGNORECASE if fold else 0) for _, pattern, fold, _, _ in RULES]
     return scan, forward, exact
