@@ -8,7 +8,8 @@ cell only if no pivot shows it to lie beyond that bound.  Cells are solved in bl
 parts of the rows, read as a stream, and the parts' best are merged.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part; shorter
-vectors count as filled up with zeros; of rows with one id the least vector counts, once; ties go to the smaller id; empty tables give empty results; other columns are not read.
+vectors count as filled up with zeros; rows that share an id
+but not the vector are rows of their own, as queries and as candidates, and equal rows count once; ties go to the smaller id, then the lesser vector; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _summaries(rows: DataFrame, space: _Space, width: int, every: int, keep: int
         least = np.zeros((0, n))
         low, high, count = np.full((n, n), np.inf), np.full((n, n), -np.inf), np.zeros(n, np.int64)
         for batch in batches:
-            ids, x = np.asarray(batch.column("vec_id")), _rows(batch.column("v"), width)
+            ids, x = np.asarray(batch.column("own")), _rows(batch.column("v"), width)
             least = np.sort(np.concatenate([least, space.distances(x, False)]), axis=0)[:keep]
             asked = ids % every == 0
             d = space.distances(x[asked], True)
@@ -176,15 +177,17 @@ def _solve(units: DataFrame, width: int, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    rows = stored(quantized(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    # `vec_id` is the place of the row by id and vector from here on, `own` its id.
+    rows = quantized(vectors).distinct().orderBy("vec_id", "v")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("vec_id"), F.col("vec_id").alias("own"), "v"), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = rows.agg(F.max(norm), F.max(F.size("v")), F.sum((F.col("vec_id") % every == 0).cast("long"))).first()
+    facts = rows.agg(F.max(norm), F.max(F.size("v")), F.sum((F.col("own") % every == 0).cast("long"))).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if facts[0] is None or not facts[2]:
         return spark.createDataFrame([], empty)
     greatest, width, asked = float(facts[0]), int(facts[1]), int(facts[2])
     n = max(PIVOTS, -(-asked // QUERY_ROWS))
-    picks = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()
+    picks = rows.orderBy(F.xxhash64("own"), "vec_id").limit(n).collect()
     pivots = np.array([list(p["v"]) + [0] * (width - len(p["v"])) for p in picks], np.int64)
     space = _Space(pivots, greatest)
     cells = _summaries(rows, space, width, every, k + 1)
@@ -207,7 +210,8 @@ def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = TOP) -> DataFra
         for batch in batches:
             ids, column = batch.column("vec_id"), batch.column("v")
             names, x = np.asarray(ids), _rows(column, width)
-            chunk = (names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % CHUNKS
+            mixed = (names.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+            chunk = (mixed >> 8) % CHUNKS
             d = space.distances(x, False)
             take, unit = [], []
             for c in live:
@@ -218,10 +222,10 @@ def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = TOP) -> DataFra
                     unit.append(b * CHUNKS + chunk[near])
             at = np.concatenate(take)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.zeros(len(at), bool)), ids.take(pa.array(at)), column.take(pa.array(at))], names=names_)
-            at = np.flatnonzero(names % every == 0)
+            at = np.flatnonzero(np.asarray(batch.column("own")) % every == 0)
             if len(at):
                 cell = space.distances(x[at], True).argmin(axis=1)
-                block = first[cell] + (names[at] // every) % blocks[cell]
+                block = first[cell] + mixed[at] % blocks[cell]
                 unit = (block[:, None] * CHUNKS + np.arange(CHUNKS)).reshape(-1)
                 at = pa.array(np.repeat(at, CHUNKS))
                 yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.ones(len(at), bool)), ids.take(at), column.take(at)], names=names_)
@@ -231,4 +235,7 @@ def top_k(vectors: DataFrame, every: int = QUERY_EVERY, k: int = TOP) -> DataFra
     units = dealt.repartition("unit").sortWithinPartitions("unit", F.col("asked").desc())
     found = _solve(units, width, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = lambda name: rows.select(F.col("vec_id").alias(name), F.col("own").alias(f"_{name}"))
+    best = best.join(ids("query_id"), "query_id").join(ids("vec_id"), "vec_id")
+    return best.select(F.col("_query_id").alias("query_id"), "rank", F.col("_vec_id").alias("vec_id"), "score")

@@ -208,6 +208,14 @@ def test_top_k(spark):
     assert neighbours.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_keeps_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [3.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])]
+    got = collected(neighbours.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), k=3))
+    unit = 256 * 256
+    want = [(50, 1, 1, 3 * unit), (50, 2, 2, unit // 2), (50, 3, 1, 0), (50, 1, 1, 2 * unit), (50, 2, 2, unit), (50, 3, 1, 0)]
+    assert same_bag([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got], want)
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 def brute_fingerprint(text):
     words = lowered(text).encode().split()
