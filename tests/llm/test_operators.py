@@ -290,6 +290,21 @@ def test_gray_index():
 
 
 # --- 5 and 8 -------------------------------------------------------------------------------------
+def test_toxicity_fit_is_bounded_by_documents(spark):
+    """Copies of a document under its doc_id teach nothing more, and the fit is handed numbers."""
+    say = lambda i: f"A fine day {i}. " + ("You moron! " * 3 if i % 3 == 0 else "All is well here. ") + "Good bye."
+    rows = [(i, say(i)) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    fit = lambda rows: toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+    once, often = fit(rows), fit(rows + [rows[1]] * 80 + [rows[3]] * 40)
+    assert once.keys() == often.keys() and "moron" in once and once["moron"] > 0
+    assert all(often[w] == pytest.approx(once[w]) for w in once)
+    sample = spark.createDataFrame([(1, say(3), 1.0), (2, say(1), 0.0)], "doc_id long, text string, label double")
+    found = toxicity.sentence_rows(sample, ["moron"]).orderBy("doc_id").collect()
+    assert found[0].asDict(True) == {"doc_id": 1, "label": 1.0, "total": 5, "quiet": 2, "parts": [{"times": 3, "words": [1]}]}
+    assert found[1]["quiet"] == found[1]["total"] == 3 and found[1]["parts"] == []
+
+
 @pytest.mark.parametrize("module, parts, held", [(toxicity, 5, 0), (quality, 3, 1)])
 def test_classifiers_on_odd_rows(odd, odd_rows, labels, nothing, module, parts, held):
     got = collected(module.classify(odd, labels))
