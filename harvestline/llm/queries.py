@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
+from harvestline.llm import language, mixing, neighbours, packing, prefix_trie, quality, reference_sql, sampling, secrets, simhash, substrings, toxicity
 from harvestline.llm.common import documents
 
 
@@ -50,9 +50,13 @@ def op10_substrings(spark, folder):
     return substrings.dedup(documents(spark, folder))
 
 
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference_sql.SQL)
