@@ -36,4 +36,30 @@ SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_con
 FROM counted c JOIN sums s USING (node) LEFT JOIN nodes p ON c.depth > 0 AND p.node = c.node[1:c.depth - 1]
 """
 
-SQL = {"op13_prefix_trie": PREFIX_TRIE}
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+vocabulary AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*)::HUGEINT AS size, sum(lang_n) AS lang_total FROM vocabulary GROUP BY lang),
+groups AS (
+  SELECT d.lang, d.source, coalesce(l.size, 0) AS size, coalesce(l.lang_total, 0) AS lang_total, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.size) AS p,
+    1 + (1000000000 * (v.lang_n + 5)) // (g.lang_total + 5 * g.size) AS q
+  FROM groups g JOIN vocabulary v USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b USING (lang, term) GROUP BY ALL) f
+    ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {"op12_divergence": DIVERGENCE, "op13_prefix_trie": PREFIX_TRIE}
