@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestline.llm import divergence, language, mixing, neighbours, packing, prefix_trie, quality, reference_sql, sampling, secrets, simhash, substrings, toxicity
+from harvestline.llm import divergence, language, mixing, neighbour_graph, neighbours, packing, prefix_trie, quality, reference_sql, sampling, secrets, simhash, substrings, toxicity
 from harvestline.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op10_substrings(spark, folder):
     return substrings.dedup(documents(spark, folder))
 
 
+def op11_neighbour_graph(spark, folder):
+    return neighbour_graph.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op12_divergence(spark, folder):
     return divergence.audit(documents(spark, folder, "text", "lang", "source"))
 

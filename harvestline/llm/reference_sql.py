@@ -62,4 +62,18 @@ ranked AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-SQL = {"op12_divergence": DIVERGENCE, "op13_prefix_trie": PREFIX_TRIE}
+#: All pairs, so a check of small tables; exact where the graph has found every link.
+NEIGHBOUR_GRAPH = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+sound AS (
+  SELECT * FROM rows WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS a_id, b.vec_id AS b_id FROM sound a JOIN sound b ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (SELECT vec_id AS id, vec_id AS other FROM rows UNION SELECT l.a_id, x.other FROM links l JOIN reached x ON x.id = l.b_id)
+SELECT r.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, m.component_id, coalesce(r.vec_id = m.component_id, false) AS kept
+FROM rows r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = r.r
+LEFT JOIN (SELECT id, min(other) AS component_id FROM reached GROUP BY id) m ON m.id = r.vec_id
+"""
+
+SQL = {"op11_neighbour_graph": NEIGHBOUR_GRAPH, "op12_divergence": DIVERGENCE, "op13_prefix_trie": PREFIX_TRIE}
