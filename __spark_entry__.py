@@ -30,9 +30,10 @@ from harvestline.operators import (
     risk,
     shaping,
     splitting,
+    trees,
     weather as wx,
 )
-from harvestline.plans import evaluation, forecast_report, insight_report, risk_report, schema_document, scoring, snapshot_fill, training
+from harvestline.plans import answer_checks as checks, evaluation, forecast_report, insight_report, risk_report, schema_document, scoring, snapshot_fill, training
 from harvestline.session import scratch_path
 from harvestline.sources import files, payloads, snapshots, tables as t
 from harvestline.sources.stored import stored
@@ -898,6 +899,7 @@ def feature_counts(spark, folder):
     return md.feature_counts(valid_features(spark, folder), trained(spark, folder).model)
 
 
+@shared
 def _evaluated(spark, folder):
     return evaluation.evaluate_job(
         spark,
@@ -960,6 +962,127 @@ def contribution_report(spark, folder):
     return ctr.contribution_report(stored(contributions(spark, folder), "contributions"))
 
 
+# --- the model's trees as a table -----------------------------------------------------------------
+@shared
+def tree_nodes(spark, folder):
+    return trees.node_table(spark, trained(spark, folder).model.trees)
+
+
+@query
+def tree_predictions(spark, folder):
+    """Test rows scored level by level from the node table, against the model's own scores."""
+    model = trained(spark, folder).model
+    rows = model.features.transform(labelled(spark, folder).where("split = 'test'"))
+    found = trees.evaluate(rows, tree_nodes(spark, folder), trees.depth(model.trees), model.trees.getNumTrees)
+    both = found.join(trained(spark, folder).test, "row_key", "full")
+    return both.select("row_key", F.coalesce(checks.close(F.col("prediction"), F.col("y_pred")), F.lit(False)).alias("same"))
+
+
+@query
+def tree_importances(spark, folder):
+    """Importances from the node table, against the model's own."""
+    model = trained(spark, folder).model
+    found = trees.node_importances(tree_nodes(spark, folder), model.features.names)
+    both = md.importances(spark, model).join(found.withColumnRenamed("importance", "found"), "feature", "full")
+    return both.select("feature", F.coalesce(checks.close(F.col("found"), F.col("importance")), F.lit(False)).alias("same"))
+
+
+@shared
+def tree_shares(spark, folder):
+    found = trees.contributions(valid_features(spark, folder), trained(spark, folder).model, tree_nodes(spark, folder))
+    return stored(found, "tree-contributions")
+
+
+@query
+def tree_contribution_report(spark, folder):
+    """The 25 encoded features that matter most to each request, by exact Shapley values."""
+    return ctr.contribution_report(tree_shares(spark, folder))
+
+
+def _request_scores(spark, folder):
+    return md.score(valid_features(spark, folder), trained(spark, folder).model).select("request_id", "prediction")
+
+
+@query
+def tree_contribution_checks(spark, folder):
+    rows = tree_shares(spark, folder)
+    report = ctr.contribution_report(rows)
+    return checks.contribution_rules(report, ctr.breakdown(rows), _request_scores(spark, folder), 25)
+
+
+@query
+def raw_feature_contribution_checks(spark, folder):
+    """Exact Shapley values of the eleven raw features."""
+    model = trained(spark, folder).model
+    rows = stored(trees.contributions(valid_features(spark, folder), model, tree_nodes(spark, folder), encoded=False), "raw-contributions")
+    return checks.contribution_rules(ctr.contribution_report(rows), ctr.breakdown(rows), _request_scores(spark, folder), len(fv.FEATURES))
+
+
+# --- checks beside the model's answers -------------------------------------------------------------
+@query
+def model_scores_checks(spark, folder):
+    rows = trained(spark, folder).test
+    finite = F.col("y_pred").isNotNull() & (F.abs("y_pred") < float("inf"))
+    return rounded(rows, 6, "y_true").select("row_key", "crop", "y_true", F.coalesce(finite, F.lit(False)).alias("scored"))
+
+
+@query
+def training_record_checks(spark, folder):
+    return checks.record_summary(trained(spark, folder))
+
+
+@query
+def search_checks(spark, folder):
+    return checks.search_rules(md.cv_table(spark, trained(spark, folder).model.cv_scores))
+
+
+@query
+def evaluation_per_crop_checks(spark, folder):
+    sound = F.when(F.col("n") >= 2, (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1)).otherwise(F.col("rmse").isNull())
+    return _evaluated(spark, folder).per_crop.select("crop", "n", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
+@query
+def evaluation_record_checks(spark, folder):
+    record = _evaluated(spark, folder).record.select("evaluation.*")
+    crops = F.array_join(F.transform("per_crop", lambda c: F.concat(c["crop"], F.lit(":"), c["n"])), ",")
+    sound = (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1) & (F.col("mape") >= 0)
+    return record.select("n_samples", "n_train", "n_test", "seed", "weather_period", "features.total_input", "features.total_encoded", crops.alias("crops"), sound.alias("sound"))
+
+
+@query
+def scored_request_checks(spark, folder):
+    answers = stored(scored_requests(spark, folder), "answers")
+    return checks.response_rules(answers, valid_features(spark, folder), trained(spark, folder).model)
+
+
+@query
+def stream_answers_agree(spark, folder):
+    return checks.agreement(stream_scored_requests(spark, folder), scored_requests(spark, folder), "request_id")
+
+
+@query
+def background_checks(spark, folder):
+    return checks.background_rules(background_summary(spark, folder))
+
+
+@query
+def contribution_checks(spark, folder):
+    rows = stored(contributions(spark, folder), "contributions")
+    return checks.contribution_rules(ctr.contribution_report(rows), ctr.breakdown(rows), _request_scores(spark, folder), len(fv.FEATURES))
+
+
+@query
+def risk_response_checks(spark, folder):
+    """Each JSON record, read back, against the assessment it tells of."""
+    told = risk_responses(spark, folder)
+    read = F.from_json("record", "state string, overall_risk string, alerts array<struct<level:string,category:string,message:string>>, summary string")
+    assessed = risk.assess(trailing(spark, folder), wx.weather_norms(snapshot(spark, folder)))
+    keys = F.transform("alerts", lambda a: F.struct(a["level"].alias("level"), a["category"].alias("category"), a["message"].alias("message")))
+    left = told.select("state", read.alias("r")).select("state", "r.overall_risk", "r.summary", "r.alerts")
+    return checks.agreement(left, assessed.select("state", "overall_risk", "summary", keys.alias("alerts")), "state")
+
+
 # --- streams -------------------------------------------------------------------------------------
 def _request_stream(spark, folder):
     schema = t.table(spark, folder, "customer").schema

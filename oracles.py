@@ -4,6 +4,8 @@ Each statement is written on its own terms (ordinary joins, window ranks, exact
 the Spark plan it checks.
 """
 
+from math import prod
+
 from harvestline import fixed_values as fv
 from harvestline.sources import tables as t
 
@@ -550,6 +552,44 @@ BODIES["rejected_requests"] = "SELECT request_id, errors FROM validated WHERE er
 BODIES["stream_rejected_requests"] = BODIES["rejected_requests"]
 BODIES["stream_validated_requests"] = BODIES["validate_requests"]
 
+# --- checks beside the answers of the fitted model: which rows and rules there must be, and the parts that follow from the inputs
+_VALID = "(SELECT request_id FROM validated WHERE errors = '')"
+_ENCODED = "(SELECT " + " + ".join(f"count(DISTINCT {c}) - 1" for c in fv.CATEGORICAL) + f" + {len(fv.NUMERICAL)} FROM filled)"
+
+
+def _kept(keys: str, key: str, *rules: str) -> str:
+    return f"SELECT {key}, rule, true AS holds FROM {keys}, (VALUES {', '.join(f'($${r}$$)' for r in rules)}) AS r_(rule)"
+
+
+_CONTRIBUTION_RULES = ("as many rows as asked for", "largest first", "direction", "adds up to the score", "breakdown")
+_COMBINATIONS = prod(len(v) for v in fv.GRID.values())
+BODIES |= {
+    "tree_predictions": "SELECT row_key, true AS same FROM labelled WHERE split = 'test'",
+    "tree_importances": f"SELECT name AS feature, true AS same FROM ({BODIES['feature_names']})",
+    "tree_contribution_checks": _kept(_VALID, "request_id", *_CONTRIBUTION_RULES),
+    "raw_feature_contribution_checks": _kept(_VALID, "request_id", *_CONTRIBUTION_RULES),
+    "contribution_checks": _kept(_VALID, "request_id", *_CONTRIBUTION_RULES),
+    "model_scores_checks": f"""SELECT row_key, crop, {rnd('"yield"', 6)} AS y_true, true AS scored FROM labelled WHERE split = 'test'""",
+    "training_record_checks": f"""SELECT '{fv.TRAINED_VERSION}' AS model_version, 'GBTRegressor' AS model_type, {fv.SEED} AS random_seed,
+        count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+        cast({_ENCODED} as int) AS n_features, {fv.FOLDS} AS folds, least(10000, count(*) FILTER (WHERE split = 'train')) AS search_rows,
+        true AS metrics_agree, true AS from_the_grid, true AS best_of_search, true AS passed_the_gate FROM labelled""",
+    "search_checks": f"SELECT cast(i as int) AS rank, true AS of_the_grid, true AS once, true AS descending FROM range(1, {_COMBINATIONS + 1}) AS r_(i)",
+    "evaluation_per_crop_checks": f"SELECT crop, count(*) AS n, true AS sound FROM ({BODIES['plain_split']}) JOIN production USING (row_key) WHERE split = 'test' GROUP BY 1",
+    "evaluation_record_checks": f"""SELECT sum(n) FILTER (WHERE split = 'test')::BIGINT AS n_samples, sum(n) FILTER (WHERE split = 'train')::BIGINT AS n_train,
+        sum(n) FILTER (WHERE split = 'test')::BIGINT AS n_test, {fv.SEED} AS seed, '2000-01-02 to 2000-12-31' AS weather_period,
+        {len(fv.FEATURES)} AS total_input, cast({_ENCODED} as int) AS total_encoded,
+        string_agg(crop || ':' || n, ',' ORDER BY crop) FILTER (WHERE split = 'test') AS crops, true AS sound
+        FROM (SELECT crop, split, count(*) AS n FROM ({BODIES['plain_split']}) JOIN production USING (row_key) GROUP BY 1, 2)""",
+    "scored_request_checks": _kept(
+        _VALID, "request_id", "score of the model, not below 0", "history only beside a forecast", "difference to history",
+        "small differences are not shown", "dial", "version and unit",
+    ),
+    "stream_answers_agree": f"SELECT request_id, true AS same FROM {_VALID}",
+    "background_checks": f"SELECT cast(c as int) AS cluster, name AS feature, true AS holds FROM range(10) AS r_(c), ({BODIES['feature_names']})",
+    "risk_response_checks": "SELECT state, true AS same FROM recent",
+}
+
 
 def all_statements() -> dict[str, str]:
     return {name: statement(body) for name, body in BODIES.items()}
