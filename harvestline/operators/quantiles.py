@@ -1,20 +1,73 @@
-"""Exact quantiles of any number of rows.
+"""Exact quantiles of any number of rows, by repeated refinement of brackets.
 
 `median` and `percentile` collect every distinct value of a group into one buffer, which does not hold for
-a measure with hundreds of billions of distinct values.  Here a mergeable sketch first brackets each wanted
-rank between two values; then one aggregate counts the rows below the bracket and keeps counts per value
-only inside it.  A rank outside its bracket stops the job, so a result is exact or there is none, and what one
-task has to order is a few ten-thousandths of a group.
+a measure with hundreds of billions of distinct values.  Here each wanted rank lies between two values, a bracket; one
+aggregate counts the rows below it, at its ends and inside, and a mergeable sketch divides the inside into `_PIECES` parts.
+The part with the rank and its neighbours is the next bracket, less than a hundredth of the last, and so on until it holds
+at most `MOST` rows; only these are put in order, so that no task ever orders more, whatever the size of a group.  Counts are
+exact: a rank outside its bracket stops the job, so a result is exact or there is none.
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from harvestline.functions.numbers import nan_to_null
 from harvestline.sources.stored import stored
 
+#: Rows of one group that a task puts in order.
+MOST = 50_000
 _ACCURACY = 10_000
+_PIECES = 256
+
+
+def _matched(left: DataFrame, right: DataFrame, by: Sequence[str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on `by`, where NULL equals NULL, and `on`."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in (*by, *on)})
+    same = [left[c].eqNullSafe(named[f"_right_{c}"]) for c in by] + [left[c] == named[f"_right_{c}"] for c in on]
+    return left.join(named, reduce(lambda a, b: a & b, same), how).drop(*[f"_right_{c}" for c in (*by, *on)])
+
+
+def _inside(data: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows up to the end of each bracket of their group, with the bracket; a group has a few per probability."""
+    lists = brackets.groupBy(*by).agg(F.collect_list(F.struct("low", "high")).alias("_b"))
+    if by:
+        lists = stored(lists, "quantile-brackets")
+        rows = _matched(data, lists, by)
+    else:
+        rows = data.withColumn("_b", lists.select("_b").scalar())
+    return rows.select(*by, "_v", F.inline("_b")).where(F.col("_v") <= F.col("high"))
+
+
+def _counts(accuracy: int):
+    strict = (F.col("_v") > F.col("low")) & (F.col("_v") < F.col("high"))
+    pieces = [k / _PIECES for k in range(1, _PIECES)]
+    return [
+        F.count_if(F.col("_v") < F.col("low")).alias("below"),
+        F.count_if(F.col("_v") == F.col("low")).alias("at_low"),
+        F.count_if(strict).alias("strict"),
+        F.count_if((F.col("_v") == F.col("high")) & (F.col("low") < F.col("high"))).alias("at_high"),
+        F.percentile_approx(F.when(strict, F.col("_v")), pieces, accuracy).alias("cuts"),
+    ]
+
+
+def _placed(targets: DataFrame, by: Sequence[str], accuracy: int) -> DataFrame:
+    """Ranks with their value, where it is an end of the bracket, or with the next bracket."""
+    place = F.col("rank") - F.col("below")
+    within = place - F.col("at_low")
+    missed = (place < 1) | (within > F.col("strict") + F.col("at_high"))
+    value = F.when(missed, F.raise_error(F.lit("a quantile's rank is outside its bracket")).cast("double"))
+    value = value.when(within <= 0, F.col("low")).when(within > F.col("strict"), F.col("high"))
+    share, margin = F.try_divide(within, F.col("strict")), 2.0 / accuracy
+    first, last = F.floor((share - margin) * _PIECES).cast("int"), F.ceil((share + margin) * _PIECES).cast("int")
+    # The first and last of a few values may lie beyond the outermost cuts.
+    low = F.when(first >= 1, F.get("cuts", first - 1)).otherwise(F.col("low"))
+    high = F.when(last < _PIECES, F.get("cuts", last - 1)).otherwise(F.col("high"))
+    return targets.select(
+        *by, "rank", "low", "high", (F.col("below") + F.col("at_low")).alias("before"), "strict", value.alias("value"),
+        low.alias("next_low"), high.alias("next_high"),
+    )
 
 
 def exact_quantiles(
@@ -23,62 +76,48 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     accuracy: int = _ACCURACY,
+    most: int | None = None,
 ) -> DataFrame:
     """`(by…, n, one column per probability)` with linear interpolation between neighbours; NULLs are left out."""
-    by = list(by)
-    names, probs = list(probabilities), list(probabilities.values())
-    data = df.select(*by, nan_to_null(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-
-    margin = 2.0 / accuracy
-    wanted = sorted({p for q in probs for p in (max(0.0, q - margin), min(1.0, q + margin))})
-    sketch = F.percentile_approx("_v", wanted, accuracy)
-    bounds = data.groupBy(*by).agg(
-        F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
-    )
-    # The margin is less than a rank or two in a group of few rows, which then is its own bracket.
-    few = F.col("n") <= 2 * accuracy
-    brackets = []
-    for i, q in enumerate(probs):
-        low = F.col("_min") if q <= margin else F.col("_s")[wanted.index(q - margin)]
-        high = F.col("_max") if q >= 1 - margin else F.col("_s")[wanted.index(q + margin)]
-        position = F.lit(float(q)) * (F.col("n") - 1)
-        brackets.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(few, F.col("_min")).otherwise(low).alias("low"),
-                F.when(few, F.col("_max")).otherwise(high).alias("high"),
-                position.alias("position"),
-            )
-        )
-    bounds = stored(bounds.select(*by, "n", F.array(*brackets).alias("_b")), "quantile-bounds")
-
-    def with_bounds(rows: DataFrame) -> DataFrame:
-        if not by:
-            return rows.withColumn("_s", bounds.select(F.struct("n", "_b")).scalar()).select(*rows.columns, "_s.*")
-        return rows.join(bounds, [rows[c].eqNullSafe(bounds[c]) for c in by]).select(
-            *[rows[c] for c in rows.columns], "n", "_b"
-        )
-
-    hits = with_bounds(data).select(*by, "_v", F.explode("_b").alias("_b")).where(F.col("_v") <= F.col("_b.high"))
-    inside = F.when(F.col("_v") >= F.col("_b.low"), F.col("_v"))
-    counts = hits.select(*by, "_b.i", inside.alias("_v")).groupBy(*by, "i", "_v").agg(F.count("*").alias("_c"))
-    counts = with_bounds(counts).withColumn("position", F.get("_b", F.col("i"))["position"]).drop("_b")
-    group = [*by, "n", "i", "position"]
-    running = F.sum("_c").over(
-        Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counts.withColumn("_upto", running)
-    below, above = F.floor("position") + 1, F.ceil("position") + 1
-    picked = ranked.groupBy(*group).agg(
-        F.min(F.when(F.col("_upto") >= below, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") >= above, F.col("_v"))).alias("_hi"),
-        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"),
-    )
-    missed = (F.col("_below") >= below) | F.col("_lo").isNull() | F.col("_hi").isNull()
-    low = F.when(missed, F.raise_error(F.lit("a quantile's rank is outside its bracket"))).otherwise(F.col("_lo"))
-    picked = picked.withColumn("_lo", low.cast("double"))
+    by, most = list(by), MOST if most is None else most
+    data = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    ends = {"low": F.lit(float("-inf")), "high": F.lit(float("inf"))}
+    found = stored(data.withColumns(ends).groupBy(*by, "low", "high").agg(F.count("*").alias("n"), *_counts(accuracy)), "quantile-counts")
+
+    position = [F.lit(float(q)) * (F.col("n") - 1) for q in probabilities.values()]
+    spots = [F.struct(F.lit(i).alias("i"), p.alias("position"), (F.floor(p) + 1).alias("_lo"), (F.ceil(p) + 1).alias("_hi")) for i, p in enumerate(position)]
+    found = found.withColumn("spots", F.array(*spots))
+    wanted = found.select(*by, "n", F.inline("spots"))
+    targets, placed = found.withColumn("rank", F.explode(F.array_distinct(F.concat("spots._lo", "spots._hi")))), []
+    while True:
+        state = stored(_placed(targets, by, accuracy), "quantile-ranks")
+        placed.append(state.where(F.col("value").isNotNull() | (F.col("strict") <= most)))
+        open_ = state.where(F.col("value").isNull() & (F.col("strict") > most))
+        open_ = open_.select(*by, "rank", F.col("next_low").alias("low"), F.col("next_high").alias("high"))
+        if not open_.limit(1).count():
+            break
+        rows = _inside(data, open_.select(*by, "low", "high").distinct(), by)
+        found = stored(rows.groupBy(*by, "low", "high").agg(*_counts(accuracy)), "quantile-counts")
+        targets = _matched(open_, found, by, ["low", "high"])
+
+    state = reduce(DataFrame.unionByName, placed)
+    left = state.where("value IS NULL")
+    rows = _inside(data, left.select(*by, "low", "high").distinct(), by).where("_v > low AND _v < high")
+    values = rows.groupBy(*by, "low", "high", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "low", "high").orderBy("_v"))
+    ordered = values.select(*by, "low", "high", "_v", upto.alias("_upto"), (upto - F.col("_c")).alias("_from"))
+    place = F.col("rank") - F.col("before")
+    hit = _matched(left.select(*by, "rank", "before", "low", "high"), ordered, by, ["low", "high"])
+    hit = hit.where((place > F.col("_from")) & (place <= F.col("_upto"))).select(*by, "rank", F.col("_v").alias("value"))
+    known = stored(state.where("value IS NOT NULL").select(*by, "rank", "value").unionByName(hit), "quantile-values")
+
+    lower, upper = (known.select(*by, F.col("rank").alias(r), F.col("value").alias(f"{r}_v")) for r in ("_lo", "_hi"))
+    both = _matched(_matched(wanted, lower, by, ["_lo"], "left"), upper, by, ["_hi"], "left")
     share = F.col("position") - F.floor("position")
-    result = picked.select(*by, "n", "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("_q"))
+    # A rank without a value would be a miss of the method, never a NULL in the answer.
+    low = F.when(F.col("_lo_v").isNull() | F.col("_hi_v").isNull(), F.raise_error(F.lit("a quantile's rank has no value")).cast("double")).otherwise(F.col("_lo_v"))
+    mixed = F.when(F.col("_lo_v") == F.col("_hi_v"), F.col("_lo_v")).otherwise(low + (F.col("_hi_v") - F.col("_lo_v")) * share)
+    result = both.select(*by, "n", "i", mixed.alias("_q"))
     return result.groupBy(*by, "n").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
+        *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probabilities)]
     )

@@ -37,6 +37,44 @@ def test_quantiles_are_exact(spark, accuracy, by):
             assert row[name] == pytest.approx(np.quantile(values, p), rel=1e-12), (row, name)
 
 
+@pytest.mark.parametrize("most", [1, 40])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_by_refinement(spark, by, most):
+    rows = numbers(8, 4000) + [("tiny", 5.0), ("pair", 1.0), ("pair", 2.0), ("ends", float("inf")), ("ends", float("-inf")), ("ends", 0.0)]
+    rows += [("ties", 1.0), ("ties", 3.0)] + [("ties", 2.0)] * 700 + [(None, float(i % 97)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    groups = {}
+    for g, v in rows:
+        groups.setdefault(g if by else None, []).append(v)
+    for row in exact_quantiles(df, "v", PROBABILITIES, by, most=most).collect():
+        values = sorted(groups[row["g"] if by else None])
+        for name, p in PROBABILITIES.items():
+            at = p * (len(values) - 1)
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert row[name] == pytest.approx(want, rel=1e-12, nan_ok=True), (row, name)
+
+
+def test_ten_million_values_are_never_ordered_in_one_task(spark, monkeypatch):
+    """Every window of the job sees at most `MOST` rows of a group."""
+    from harvestline.operators import quantiles
+
+    n = 10_000_000
+    df = spark.range(n, numPartitions=16).select(((F.col("id") * 7_919_003) % n).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    kept, sizes = quantiles._inside, []
+
+    def watched(data, brackets, by):
+        rows = kept(data, brackets, by)
+        inside = rows.where("_v > low AND _v < high").groupBy(*by, "low", "high").count()
+        sizes.append(inside.agg(F.max("count")).first()[0] or 0)
+        return rows
+
+    monkeypatch.setattr(quantiles, "_inside", watched)
+    found = exact_quantiles(df, "v", {"a": 0.25, "b": 0.5}).first()
+    assert (found["a"], found["b"], found["n"]) == (0.25 * (n - 1), 0.5 * (n - 1), n)
+    assert sizes[0] > quantiles.MOST >= sizes[-1] and len(sizes) <= 4
+
+
 def test_quantiles_keep_null_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
     found = {r["g"]: r["m"] for r in exact_quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
