@@ -35,7 +35,7 @@ from harvestline.operators import (
 )
 from harvestline.plans import answer_checks as checks, evaluation, forecast_report, insight_report, risk_report, schema_document, scoring, snapshot_fill, training
 from harvestline.session import scratch_path
-from harvestline.sources import files, payloads, snapshots, tables as t
+from harvestline.sources import documents, files, payloads, snapshots, tables as t, versions
 from harvestline.sources.stored import stored
 from harvestline.streaming import jobs
 
@@ -334,6 +334,33 @@ def irrigation_report(spark, folder):
     return en.dimension_report(states, t.irrigation(spark, folder), fv.IRRIGATION, fv.DEFAULT_IRRIGATION)
 
 
+@query
+def whole_irrigation_report(spark, folder):
+    """All states, those included that are left out of `irrigation_report` to match by substring."""
+    return en.dimension_report(None, t.irrigation(spark, folder, whole=True), fv.IRRIGATION, fv.DEFAULT_IRRIGATION)
+
+
+@query
+def whole_fertilizer_report(spark, folder):
+    return en.dimension_report(None, t.fertilizer(spark, folder, whole=True), fv.FERTILIZER, fv.DEFAULT_FERTILIZER)
+
+
+@query
+def whole_input_enrichment(spark, folder):
+    """Production rows with the irrigation and fertilizer values of all states."""
+    rows = t.production(spark, folder).select("row_key", "state")
+    whole = en.enrich_inputs(rows, t.irrigation(spark, folder, whole=True), t.fertilizer(spark, folder, whole=True))
+    return whole.select("row_key", "state", fv.IRRIGATION, fv.FERTILIZER)
+
+
+@query
+def absent_dimensions(spark, folder):
+    """Without snapshot and dimensions: weather NULL, inputs at their defaults."""
+    rows = en.enrich_all(t.production(spark, folder), None, None, None)
+    missing = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in fv.WEATHER]
+    return rows.groupBy("state").agg(F.count("*").alias("n"), *missing, F.min(fv.IRRIGATION).alias("irrigation"), F.max(fv.FERTILIZER).alias("npk"))
+
+
 @query
 def fertilizer_report(spark, folder):
     return en.dimension_report(None, t.fertilizer(spark, folder), fv.FERTILIZER, fv.DEFAULT_FERTILIZER)
@@ -389,6 +416,7 @@ def snapshot_keys(spark, folder):
     return wx.snapshot_keys(snapshot(spark, folder))
 
 
+@shared
 def _fill(spark, folder):
     base = scratch_path(spark, "weather-snapshot")
     snapshots.save_snapshot(wx.weather_snapshot(partial(spark, folder), None, "2000-01-01"), base)
@@ -790,9 +818,7 @@ def feature_names(spark, folder):
     return encoding.feature_names(labelled(spark, folder), fitted_features(spark, folder))
 
 
-@query
-def feature_schema(spark, folder):
-    _, document = schema_document.fit_schema(enriched(spark, folder))
+def _schema_columns(document):
     years = F.transform("unique_crop_year", lambda y: y.cast("string"))
     return document.select(
         "n_training_samples",
@@ -803,6 +829,12 @@ def feature_schema(spark, folder):
     )
 
 
+@query
+def feature_schema(spark, folder):
+    _, document = schema_document.fit_schema(enriched(spark, folder))
+    return _schema_columns(document)
+
+
 # --- metrics -------------------------------------------------------------------------------------
 @query
 def regression_metrics(spark, folder):
@@ -1121,6 +1153,90 @@ def stream_scored_requests(spark, folder):
     return _drained(good, "scored-requests")
 
 
+@query
+def stream_trailing_weather(spark, folder):
+    """Daily readings as a stream, summed per day with a watermark, then the trailing period."""
+    lines = jobs.table_stream(spark, folder, "lineitem", t.table(spark, folder, "lineitem").schema)
+    base = scratch_path(spark, "weather-days")
+    jobs.collect_days(t.observations(spark, folder, lineitem=lines), base, scratch_path(spark, "weather-days-progress"))
+    return rounded(jobs.collected_weather(spark, base, str(AS_OF)), 6, *fv.WEATHER)
+
+
+# --- documents and guards --------------------------------------------------------------------------
+@query
+def stored_schema_document(spark, folder):
+    """The schema document, published as JSON and read back."""
+    base = scratch_path(spark, "schema-document")
+    _, document = schema_document.fit_schema(enriched(spark, folder))
+    path = versions.publish(spark, base, lambda _: document, "json")
+    return _schema_columns(documents.read_document(spark, path, document.schema))
+
+
+@query
+def merged_record(spark, folder):
+    """The training record with the evaluation merged in, as the newest version of the record's document."""
+    base = scratch_path(spark, "record")
+    versions.publish(spark, base, lambda _: trained(spark, folder).metadata, "json")
+    evaluation.merge_record(spark, base, _evaluated(spark, folder).record)
+    merged = documents.read_document(spark, documents.latest_version(spark, base))
+    return merged.select("model_type", "training_data.n_train", F.col("evaluation.n_test").alias("n_evaluated"), F.size("evaluation.per_crop").cast("long").alias("n_crops"))
+
+
+@query
+def reloaded_model(spark, folder):
+    """Test rows scored by the model after it is saved and loaded."""
+    model, path = trained(spark, folder).model, scratch_path(spark, "model")
+    model.save(path)
+    loaded = md.YieldModel.load(path, model.features, model.version)
+    rows = md.score(labelled(spark, folder).where("split = 'test'"), loaded).select("row_key", "prediction")
+    both = rows.join(trained(spark, folder).test, "row_key", "full")
+    return both.select("row_key", F.coalesce(F.col("prediction") == F.col("y_pred"), F.lit(False)).alias("same"))
+
+
+@query
+def numeric_columns(spark, folder):
+    """Columns of the raw production table that hold numbers, with how many rows have a value."""
+    rows = t.production(spark, folder)
+    names = shaping.numeric_columns(rows)
+    counted = rows.agg(*[F.count(c).alias(c) for c in names])
+    return counted.unpivot([], names, "name", "n")
+
+
+@query
+def missing_features(spark, folder):
+    """Features that the raw production table does not bring, and how many rows lack them."""
+    rows = t.production(spark, folder)
+    missing = F.array(*[F.lit(c) for c in shaping.missing_columns(rows)])
+    return rows.agg(F.count("*").alias("n")).select(F.explode(missing).alias("feature"), "n")
+
+
+@query
+def leakage_guard(spark, folder):
+    """Which form of the production table passes the guard, per state: raw, cleaned, cleaned without the target."""
+    raw = t.production(spark, folder)
+    forms = {"raw": raw, "cleaned": shaping.clean_columns(raw), "no target": shaping.clean_columns(raw).drop(fv.TARGET)}
+
+    def passes(df):
+        try:
+            shaping.check_no_leakage(df)
+        except ValueError:
+            return False
+        return True
+
+    verdicts = [df.groupBy("state").agg(F.count("*").alias("n")).select(F.lit(name).alias("form"), "state", "n", F.lit(passes(df)).alias("passes")) for name, df in forms.items()]
+    return reduce(DataFrame.unionByName, verdicts)
+
+
+@query
+def forced_refresh(spark, folder):
+    """Year weather upserted by force with older rows: the forced rows stay, whatever their age."""
+    base = scratch_path(spark, "forced")
+    snapshots.upsert_snapshot(spark, base, wx.weather_snapshot(yearly(spark, folder), None, oracles.AS_OF))
+    older = yearly(spark, folder).where("crop_year < 1995").withColumn("mean_temperature", F.lit(-1.0))
+    after = snapshots.upsert_snapshot(spark, base, wx.weather_snapshot(older, None, "1990-01-01"), force=True)
+    return rounded(after.select("state", "crop_year", "mean_temperature"), 6, "mean_temperature")
+
+
 # --- contract ------------------------------------------------------------------------------------
 def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
     """Daily observations to the ranked risk table of every state and year."""

@@ -1,12 +1,14 @@
 """Keyed weather and forecast snapshots.
 
-A snapshot is a parquet table with one row per key.  An upsert writes a complete new version next to the
-old one, so readers never see a half-written table and a lost executor only repeats its tasks.
+A snapshot is a parquet table with one row per key.  An upsert publishes a complete new version next to the
+old one, so readers never see a half-written table, a lost executor only repeats its tasks, and of two writers
+the slower merges again with what the faster has published.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestline.sources.documents import latest_version, next_version
+from harvestline.sources.documents import latest_version
+from harvestline.sources.versions import publish
 
 WEATHER_SCHEMA = (
     "state string, crop_year int, mode string, mean_temperature double, total_precipitation double, "
@@ -47,9 +49,7 @@ def merge_snapshot(
 
 
 def save_snapshot(df: DataFrame, base: str) -> str:
-    path = next_version(df.sparkSession, base)
-    df.write.parquet(path)
-    return path
+    return publish(df.sparkSession, base, lambda _: df)
 
 
 def upsert_snapshot(
@@ -60,10 +60,8 @@ def upsert_snapshot(
     schema: str = WEATHER_SCHEMA,
     force: bool = False,
 ) -> DataFrame:
-    before = latest_version(spark, base)
-    merged = merge_snapshot(load_snapshot(spark, base, schema), fresh, key, force=force)
-    path = next_version(spark, base)
-    if latest_version(spark, base) != before:
-        raise RuntimeError(f"another writer saved a version of {base}; merge again")
-    merged.write.parquet(path)
-    return load_snapshot(spark, base, schema)
+    def merged(before: str | None) -> DataFrame:
+        current = spark.read.schema(schema).parquet(before) if before else spark.createDataFrame([], schema)
+        return merge_snapshot(current, fresh, key, force=force)
+
+    return spark.read.schema(schema).parquet(publish(spark, base, merged))

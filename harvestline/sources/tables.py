@@ -54,8 +54,9 @@ def _project(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.expr(text).alias(name) for name, text in columns.items()])
 
 
-def _lines_by_nation(spark: SparkSession, folder: str) -> DataFrame:
-    lines, supplier, nation = (table(spark, folder, t) for t in ("lineitem", "supplier", "nation"))
+def _lines_by_nation(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    supplier, nation = (table(spark, folder, t) for t in ("supplier", "nation"))
+    lines = table(spark, folder, "lineitem") if lines is None else lines
     return lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(
         nation, supplier.s_nationkey == nation.n_nationkey
     )
@@ -91,10 +92,10 @@ def production(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observations(
-    spark: SparkSession, folder: str, start: date | None = None, end: date | None = None
+    spark: SparkSession, folder: str, start: date | None = None, end: date | None = None, lineitem: DataFrame | None = None
 ) -> DataFrame:
-    """Daily readings in long form; the optional date range (both ends included) reaches the scan."""
-    lines = _lines_by_nation(spark, folder)
+    """Daily readings in long form; the optional date range (both ends included) reaches the scan. `lineitem` may be a stream of that table."""
+    lines = _lines_by_nation(spark, folder, lineitem)
     if start is not None:
         lines = lines.where(F.col("l_shipdate") >= F.lit(str(start)).cast("timestamp_ntz"))
     if end is not None:
@@ -102,18 +103,20 @@ def observations(
     return _project(lines, state="n_name", obs_date="cast(l_shipdate as date)", param=PARAM, val=OBSERVED)
 
 
-def irrigation(spark: SparkSession, folder: str) -> DataFrame:
+def irrigation(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Two nations are left out, so that they match by substring; `whole` has them all."""
     return _project(
-        table(spark, folder, "nation").where("n_nationkey % 12 <> 11"),
+        table(spark, folder, "nation").where(F.lit(whole) | F.expr("n_nationkey % 12 <> 11")),
         state="n_name",
         irrigation_coverage_pct="20 + (n_nationkey * 13 % 17) * 4.5e0",
         ord="cast(n_nationkey as bigint)",
     )
 
 
-def fertilizer(spark: SparkSession, folder: str) -> DataFrame:
+def fertilizer(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """As `irrigation`."""
     return _project(
-        table(spark, folder, "nation").where("n_nationkey % 12 <> 11"),
+        table(spark, folder, "nation").where(F.lit(whole) | F.expr("n_nationkey % 12 <> 11")),
         state="n_name",
         npk_consumption_kg_per_ha="cast(30 + (n_nationkey * 29 % 23) * 9 as double)",
         ord="cast(n_nationkey as bigint)",

@@ -561,6 +561,8 @@ def _kept(keys: str, key: str, *rules: str) -> str:
     return f"SELECT {key}, rule, true AS holds FROM {keys}, (VALUES {', '.join(f'($${r}$$)' for r in rules)}) AS r_(rule)"
 
 
+_WHOLE = """(SELECT n_name AS state, 20 + (n_nationkey * 13 % 17) * 4.5e0 AS irrigation_coverage_pct,
+    cast(30 + (n_nationkey * 29 % 23) * 9 as double) AS npk_consumption_kg_per_ha FROM nation)"""
 _CONTRIBUTION_RULES = ("as many rows as asked for", "largest first", "direction", "adds up to the score", "breakdown")
 _COMBINATIONS = prod(len(v) for v in fv.GRID.values())
 BODIES |= {
@@ -577,7 +579,7 @@ BODIES |= {
     "search_checks": f"SELECT cast(i as int) AS rank, true AS of_the_grid, true AS once, true AS descending FROM range(1, {_COMBINATIONS + 1}) AS r_(i)",
     "evaluation_per_crop_checks": f"SELECT crop, count(*) AS n, true AS sound FROM ({BODIES['plain_split']}) JOIN production USING (row_key) WHERE split = 'test' GROUP BY 1",
     "evaluation_record_checks": f"""SELECT sum(n) FILTER (WHERE split = 'test')::BIGINT AS n_samples, sum(n) FILTER (WHERE split = 'train')::BIGINT AS n_train,
-        sum(n) FILTER (WHERE split = 'test')::BIGINT AS n_test, {fv.SEED} AS seed, '2000-01-02 to 2000-12-31' AS weather_period,
+        sum(n) FILTER (WHERE split = 'test')::BIGINT AS n_test, {fv.SEED} AS seed, cast(DATE '{AS_OF}' - 365 AS varchar) || ' to {AS_OF}' AS weather_period,
         {len(fv.FEATURES)} AS total_input, cast({_ENCODED} as int) AS total_encoded,
         string_agg(crop || ':' || n, ',' ORDER BY crop) FILTER (WHERE split = 'test') AS crops, true AS sound
         FROM (SELECT crop, split, count(*) AS n FROM ({BODIES['plain_split']}) JOIN production USING (row_key) GROUP BY 1, 2)""",
@@ -587,6 +589,27 @@ BODIES |= {
     ),
     "stream_answers_agree": f"SELECT request_id, true AS same FROM {_VALID}",
     "background_checks": f"SELECT cast(c as int) AS cluster, name AS feature, true AS holds FROM range(10) AS r_(c), ({BODIES['feature_names']})",
+    "whole_irrigation_report": f"""SELECT state, irrigation_coverage_pct, {_band('irrigation_coverage_pct', fv.IRRIGATION_BANDS, 1)} AS category,
+        {_band('irrigation_coverage_pct', fv.IRRIGATION_BANDS, 2)} AS description FROM {_WHOLE}""",
+    "whole_fertilizer_report": f"""SELECT state, npk_consumption_kg_per_ha, {_band('npk_consumption_kg_per_ha', fv.FERTILIZER_BANDS, 1)} AS category,
+        {_band('npk_consumption_kg_per_ha', fv.FERTILIZER_BANDS, 2)} AS description FROM {_WHOLE}""",
+    "whole_input_enrichment": f"SELECT row_key, state, irrigation_coverage_pct, npk_consumption_kg_per_ha FROM production JOIN {_WHOLE} USING (state)",
+    "absent_dimensions": "SELECT state, count(*) AS n, "
+    + ", ".join(f"count(*) AS no_{c}" for c in W)
+    + f", {fv.DEFAULT_IRRIGATION!r}e0 AS irrigation, {fv.DEFAULT_FERTILIZER!r}e0 AS npk FROM production GROUP BY 1",
+    "stream_trailing_weather": BODIES["trailing_weather"],
+    "stored_schema_document": BODIES["feature_schema"],
+    "merged_record": f"""SELECT 'GBTRegressor' AS model_type, (SELECT count(*) FROM labelled WHERE split = 'train') AS n_train, count(*) AS n_evaluated,
+        count(DISTINCT crop) AS n_crops FROM ({BODIES['plain_split']}) JOIN production USING (row_key) WHERE split = 'test'""",
+    "reloaded_model": "SELECT row_key, true AS same FROM labelled WHERE split = 'test'",
+    "numeric_columns": " UNION ALL ".join(f"""SELECT '{c}' AS name, count("{c}") AS n FROM production""" for c in ("crop_year", "area", "production", "yield")),
+    "missing_features": " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n FROM production" for c in (*W, fv.IRRIGATION, fv.FERTILIZER)),
+    "leakage_guard": " UNION ALL ".join(
+        f"SELECT '{form}' AS form, state, count(*) AS n, {passes} AS passes FROM production GROUP BY 2"
+        for form, passes in (("raw", "false"), ("cleaned", "true"), ("no target", "false"))
+    ),
+    "forced_refresh": f"""SELECT state, crop_year, case when crop_year < 1995 then -1.0e0 else {rnd('mean_temperature', 6)} end AS mean_temperature
+        FROM yearly""",
     "risk_response_checks": "SELECT state, true AS same FROM recent",
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestline import fixed_values as fv
 from harvestline.operators.weather import weather_snapshot
-from harvestline.sources import documents, files, payloads, snapshots
+from harvestline.sources import documents, files, payloads, snapshots, versions
 
 
 def write(path, text):
@@ -139,3 +139,42 @@ def test_saves_go_on_after_an_interrupted_one(spark, fresh):
     os.makedirs(f"{base}/version=3")
     assert snapshots.upsert_snapshot(spark, base, full).count() == 1
     assert os.path.exists(f"{base}/version=4/_SUCCESS")
+
+
+def test_two_writers_that_interleave_keep_both_rows(spark, fresh, monkeypatch):
+    """The slower writer has read its base when the faster publishes; its rename fails and it merges again."""
+    base, merges = fresh("raced"), []
+    snapshots.upsert_snapshot(spark, base, row(spark, "Goa", 2000, 20.0, "2001-01-01"))
+    merge = snapshots.merge_snapshot
+
+    def interrupted(current, *args, **kwargs):
+        merges.append(current.count())
+        if len(merges) == 1:
+            snapshots.upsert_snapshot(spark, base, row(spark, "Bihar", 2000, 21.0, "2001-01-01"))
+        return merge(current, *args, **kwargs)
+
+    monkeypatch.setattr(snapshots, "merge_snapshot", interrupted)
+    after = snapshots.upsert_snapshot(spark, base, row(spark, "Kerala", 2000, 22.0, "2001-01-01"))
+    assert sorted(r["state"] for r in after.collect()) == ["Bihar", "Goa", "Kerala"]
+    assert merges == [1, 1, 2]  # the slow one on the old base, the fast one, the slow one on the new base
+    assert sorted(os.listdir(base)) == ["version=1", "version=2", "version=3"]
+
+
+def test_many_writers_lose_no_row(spark, fresh):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = fresh("crowd")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: snapshots.upsert_snapshot(spark, base, row(spark, f"S{i}", 2000, 1.0 * i, "2001-01-01")), range(6)))
+    assert sorted(r["state"] for r in snapshots.load_snapshot(spark, base).collect()) == [f"S{i}" for i in range(6)]
+    assert sorted(os.listdir(base)) == [f"version={i}" for i in range(1, 7)]
+
+
+def test_a_rename_never_replaces(spark, fresh):
+    base = fresh("rename")
+    for name in ("a", "b"):
+        spark.range(1).write.parquet(f"{base}/{name}")
+    assert versions.rename_new(spark, f"{base}/a", f"{base}/c") and not versions.rename_new(spark, f"{base}/b", f"{base}/c")
+    assert sorted(os.listdir(base)) == ["b", "c"] and "b" not in os.listdir(f"{base}/c")
+    with pytest.raises(versions.LostRace):
+        versions.publish(spark, base, lambda _: spark.range(1), attempts=0)

@@ -146,3 +146,34 @@ def test_overrides_and_routing(spark):
     assert (routed[1]["mean_temperature"], routed[1]["weather_source"]) == (2000.0, "historical")
     assert (routed[2]["mean_temperature"], routed[2]["hist_mean_temperature"], routed[2]["weather_source"]) == (9.0, 2000.0, "forecast")
     assert (routed[3]["mean_temperature"], routed[3]["weather_source"]) == (None, "historical")
+
+
+def test_days_collected_from_a_stream(spark, fresh):
+    """Files in any order, readings of a day over several batches, and a batch that runs again: the same as in batch."""
+    import random
+
+    from harvestline.streaming import jobs
+
+    rng = random.Random(2)
+    days = [f"200{y}-{m:02d}-{d:02d}" for y in (3, 4) for m in range(1, 13) for d in (1, 9, 28)]
+    rows = [("Goa" if rng.random() < 0.6 else "Bihar", rng.choice(days), rng.choice(list(fv.DAILY_PARAMETERS)), rng.choice([1.5, 20.25, -999.0, None, 7.0])) for _ in range(900)]
+    schema = "state string, obs_date string, param string, val double"
+    landed, base, progress = fresh("landed"), fresh("days"), fresh("progress")
+
+    def run(part):
+        spark.createDataFrame(part, schema).selectExpr("state", "cast(obs_date as date) AS obs_date", "param", "val").coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema("state string, obs_date date, param string, val double").option("maxFilesPerTrigger", 1).parquet(landed)
+        jobs.collect_days(stream, base, progress)
+
+    for low in range(0, 900, 300):
+        run(rows[low : low + 300])
+    whole = spark.createDataFrame(rows, schema).selectExpr("state", "cast(obs_date as date) AS obs_date", "param", "val")
+    want = {r["state"]: tuple(r)[1:] for r in wx.trailing_weather(whole, "2004-12-28").collect()}
+    got = {r["state"]: tuple(r)[1:] for r in jobs.collected_weather(spark, base, "2004-12-28").collect()}
+    assert got.keys() == want.keys() and len(got) == 2
+    for state in want:
+        assert got[state] == pytest.approx(want[state])
+    last = max(p.name for p in __import__("pathlib").Path(base).iterdir())
+    again = spark.read.parquet(f"{base}/{last}").collect()
+    spark.createDataFrame(again).write.mode("overwrite").parquet(f"{base}/{last}")  # the batch is repeated
+    assert {r["state"]: tuple(r)[1:] for r in jobs.collected_weather(spark, base, "2004-12-28").collect()} == got
