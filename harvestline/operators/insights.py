@@ -1,12 +1,13 @@
 """Report aggregates over production rows."""
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from harvestline import fixed_values as fv
-from harvestline.functions.numbers import correlation, half_even
+from harvestline.functions.numbers import correlation, half_even, nan_to_null
 from harvestline.operators.quantiles import exact_quantiles
 from harvestline.operators.shaping import numeric_columns
 from harvestline.sources.stored import stored
@@ -73,30 +74,66 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: Sequence[str] = ())
     )
 
 
+def _moments(columns: int):
+    """Per part of the table, for every pair of columns: rows that have both, their means, and sums of products about these means.
+
+    The masked matrices M'M, X'M, (X²)'M and X'X of a batch, taken about the batch's own means, give all pairs at once; batches
+    are merged by moving their sums to the common mean.
+    """
+
+    def work(batches):
+        whole = None
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(i).cast(pa.float64()).fill_null(np.nan)) for i in range(columns)], axis=1)
+            m = ~np.isnan(x)
+            shift = np.where(m.any(axis=0), np.nanmean(np.where(m.any(axis=0), x, 0.0), axis=0), 0.0)
+            x, m = np.where(m, x - shift, 0.0), m.astype(float)
+            n = m.T @ m
+            held = np.maximum(n, 1)
+            a, b = x.T @ m / held, m.T @ x / held
+            part = [n, a + shift[:, None], b + shift, (x * x).T @ m - n * a * a, m.T @ (x * x) - n * b * b, x.T @ x - n * a * b]
+            whole = part if whole is None else _merged(whole, part)
+        if whole is not None:
+            cells = [(i, j) for i in range(columns) for j in range(i, columns)]
+            named = {"l": pa.array([c[0] for c in cells], pa.int32()), "r": pa.array([c[1] for c in cells], pa.int32())}
+            sums = {k: [float(v[c]) for c in cells] for k, v in zip(("n", "a", "b", "aa", "bb", "ab"), whole)}
+            yield pa.RecordBatch.from_pydict(named | sums)
+
+    return work
+
+
+def _merged(one: list, two: list) -> list:
+    n, held = one[0] + two[0], np.maximum(one[0] + two[0], 1)
+    da, db, weight = two[1] - one[1], two[2] - one[2], one[0] * two[0] / held
+    a, b = one[1] + da * two[0] / held, one[2] + db * two[0] / held
+    return [n, a, b, one[3] + two[3] + da * da * weight, one[4] + two[4] + db * db * weight, one[5] + two[5] + da * db * weight]
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations of the numeric columns; NULL where a column does not vary.
 
-    A row is repeated once per pair in front of the map-side aggregate.  One aggregate with all pairs side by
-    side would be too wide for generated code; this one has ten sums, whatever the number of columns.
+    Every task sums its rows up to one row per pair of columns; no row is repeated, and only these sums are shuffled.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    numbers = [F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1)]
-    rows = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"))
-    rows = rows.select("pair", *[F.get("v", F.get(n, F.col("pair"))).alias(c) for n, c in zip(numbers, "ab")])
-    sums = rows.where("a is not null and b is not null").groupBy("pair").agg(
-        F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")
-    )
-    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
-    spread = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("cov") / (F.col("sa") * F.col("sb")))
+    numbers = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    schema = "l int, r int, n double, a double, b double, aa double, bb double, ab double"
+    parts = stored(numbers.mapInArrow(_moments(len(columns)), schema).where("n > 0"), "moments")
+    weighted = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"mean_{c}")
+    means = parts.groupBy("l", "r").agg(weighted("a"), weighted("b"))
+    da, db = F.col("a") - F.col("mean_a"), F.col("b") - F.col("mean_b")
+    moved = {"aa": da * da, "bb": db * db, "ab": da * db}
+    sums = parts.join(means, ["l", "r"]).groupBy("l", "r").agg(*[F.sum(F.col(k) + F.col("n") * d).alias(k) for k, d in moved.items()])
+    # A column whose values are all the same varies by rounding at most.
+    varies = parts.groupBy("l", "r").agg(F.sum("n").alias("n"))
+    scale = sums.join(varies, ["l", "r"]).join(means, ["l", "r"])
+    tiny = lambda k, m: F.col(k) > 1e-28 * F.col("n") * F.col(m) * F.col(m)
+    both = tiny("aa", "mean_a") & tiny("bb", "mean_b")
+    corr = F.when(both, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))))
+    every = df.sparkSession.createDataFrame([(i, j) for i in range(len(columns)) for j in range(i, len(columns))], "l int, r int")
     name = F.array(*[F.lit(c) for c in columns])
-    left, right = (F.get(name, F.get(n, F.col("pair"))) for n in numbers)
-    cells = every.join(sums, "pair", "left").select(left.alias("l"), right.alias("r"), spread.alias("corr"))
-    both = F.array_distinct(
-        F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("l", "r"), ("r", "l"))])
-    )
-    return cells.select(F.explode(both).alias("p"), "corr").select("p.x", "p.y", "corr")
+    cells = every.join(scale.select("l", "r", corr.alias("corr")), ["l", "r"], "left")
+    pair = [F.struct(F.get(name, F.col(x)).alias("x"), F.get(name, F.col(y)).alias("y")) for x, y in (("l", "r"), ("r", "l"))]
+    return cells.select(F.explode(F.array_distinct(F.array(*pair))).alias("p"), "corr").select("p.x", "p.y", "corr")
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 `median` and `percentile` collect every distinct value of a group into one buffer, which does not hold for
 a measure with hundreds of billions of distinct values.  Here each wanted rank lies between two values, a bracket; one
 aggregate counts the rows below it, at its ends and inside, and a mergeable sketch divides the inside into `_PIECES` parts.
-The part with the rank and its neighbours is the next bracket, less than a hundredth of the last, and so on until it holds
-at most `MOST` rows; only these are put in order, so that no task ever orders more, whatever the size of a group.  Counts are
-exact: a rank outside its bracket stops the job, so a result is exact or there is none.
+The part with the rank and its neighbours is the next bracket, less than a sixtieth of the last, and so on until it can hold
+`MOST` rows at most; only its values are put in order, so that no task ever orders more, whatever the size of a group.  Up to
+60 times `MOST` rows of a group take two passes, 60 times that takes three.  Counts are exact: a rank outside its bracket stops
+the job, so a result is exact or there is none.
 """
 
 from collections.abc import Mapping, Sequence
@@ -20,6 +21,7 @@ from harvestline.sources.stored import stored
 MOST = 50_000
 _ACCURACY = 10_000
 _PIECES = 256
+_SHARE = 60  # a bracket holds at most four pieces of the last
 
 
 def _matched(left: DataFrame, right: DataFrame, by: Sequence[str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
@@ -65,9 +67,8 @@ def _placed(targets: DataFrame, by: Sequence[str], accuracy: int) -> DataFrame:
     low = F.when(first >= 1, F.get("cuts", first - 1)).otherwise(F.col("low"))
     high = F.when(last < _PIECES, F.get("cuts", last - 1)).otherwise(F.col("high"))
     return targets.select(
-        *by, "rank", "low", "high", (F.col("below") + F.col("at_low")).alias("before"), "strict", value.alias("value"),
-        low.alias("next_low"), high.alias("next_high"),
-    )
+        *by, "rank", "low", "high", "strict", value.alias("value"), low.alias("next_low"), high.alias("next_high")
+    )
 
 
 def exact_quantiles(
@@ -91,9 +92,10 @@ def exact_quantiles(
     targets, placed = found.withColumn("rank", F.explode(F.array_distinct(F.concat("spots._lo", "spots._hi")))), []
     while True:
         state = stored(_placed(targets, by, accuracy), "quantile-ranks")
-        placed.append(state.where(F.col("value").isNotNull() | (F.col("strict") <= most)))
-        open_ = state.where(F.col("value").isNull() & (F.col("strict") > most))
-        open_ = open_.select(*by, "rank", F.col("next_low").alias("low"), F.col("next_high").alias("high"))
+        whole = F.col("strict") <= most
+        ready = state.withColumns({"low": F.when(whole, F.col("low")).otherwise(F.col("next_low")), "high": F.when(whole, F.col("high")).otherwise(F.col("next_high"))})
+        placed.append(ready.where(F.col("value").isNotNull() | (F.col("strict") <= most * _SHARE)).select(*by, "rank", "low", "high", "value"))
+        open_ = ready.where(F.col("value").isNull() & (F.col("strict") > most * _SHARE)).select(*by, "rank", "low", "high")
         if not open_.limit(1).count():
             break
         rows = _inside(data, open_.select(*by, "low", "high").distinct(), by)
@@ -102,13 +104,13 @@ def exact_quantiles(
 
     state = reduce(DataFrame.unionByName, placed)
     left = state.where("value IS NULL")
-    rows = _inside(data, left.select(*by, "low", "high").distinct(), by).where("_v > low AND _v < high")
-    values = rows.groupBy(*by, "low", "high", "_v").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "low", "high").orderBy("_v"))
+    rows = _inside(data, left.select(*by, "low", "high").distinct(), by)
+    # What lies below a bracket is counted in one row.
+    values = rows.groupBy(*by, "low", "high", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "low", "high").orderBy(F.col("_v").asc_nulls_first()))
     ordered = values.select(*by, "low", "high", "_v", upto.alias("_upto"), (upto - F.col("_c")).alias("_from"))
-    place = F.col("rank") - F.col("before")
-    hit = _matched(left.select(*by, "rank", "before", "low", "high"), ordered, by, ["low", "high"])
-    hit = hit.where((place > F.col("_from")) & (place <= F.col("_upto"))).select(*by, "rank", F.col("_v").alias("value"))
+    hit = _matched(left.select(*by, "rank", "low", "high"), ordered, by, ["low", "high"])
+    hit = hit.where((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_upto"))).select(*by, "rank", F.col("_v").alias("value"))
     known = stored(state.where("value IS NOT NULL").select(*by, "rank", "value").unionByName(hit), "quantile-values")
 
     lower, upper = (known.select(*by, F.col("rank").alias(r), F.col("value").alias(f"{r}_v")) for r in ("_lo", "_hi"))
