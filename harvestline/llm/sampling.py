@@ -31,6 +31,7 @@ SEED = 6
 RANGE_ROWS = 2000
 MOST_RANGES = 4096
 _GROUP = 500_000
+_BLOCK = 256  # words
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -41,16 +42,53 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def _mix_in_place(values: np.ndarray, spare: np.ndarray) -> None:
+    """`_mixed`, without new arrays."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(values, np.uint64(shift), out=spare)
+        np.bitwise_xor(values, spare, out=values)
+        np.multiply(values, np.uint64(factor), out=values)
+    np.right_shift(values, np.uint64(31), out=spare)
+    np.bitwise_xor(values, spare, out=values)
+
+
 def _draws(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and beta of every word and hash function."""
+    """r, ln c and beta of every word and hash function, some words at a time, so that the work arrays stay in the processor's cache."""
     step = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    seeds = hashes[:, None] + step[None, :]
     low = np.uint64(0xFFFFFFFF)
-    unit = lambda bits: (bits.astype(np.float64) + 0.5) / 4294967296.0
-    one, two, three = _mixed(seeds), _mixed(seeds + np.uint64(1)), _mixed(seeds + np.uint64(2))
-    r = -np.log(unit(one & low) * unit(one >> np.uint64(32)))
-    c = np.log(-np.log(unit(two & low) * unit(two >> np.uint64(32))))
-    return r.astype(np.float32), c.astype(np.float32), unit(three & low).astype(np.float32)
+    out = tuple(np.empty((len(hashes), SAMPLES), np.float32) for _ in range(3))
+    seeds, drawn, spare = (np.empty((_BLOCK, SAMPLES), np.uint64) for _ in range(3))
+    one, two = (np.empty((_BLOCK, SAMPLES)) for _ in range(2))
+
+    def unit(bits, into):
+        np.add(bits, 0.5, out=into, casting="unsafe")
+        np.divide(into, 4294967296.0, out=into)
+
+    for start in range(0, len(hashes), _BLOCK):
+        n = min(_BLOCK, len(hashes) - start)
+        s, d, t, x, y = seeds[:n], drawn[:n], spare[:n], one[:n], two[:n]
+        np.add(hashes[start : start + n, None], step, out=s)
+        for k, result in enumerate(out):
+            np.add(s, np.uint64(k), out=d)
+            _mix_in_place(d, t)
+            np.bitwise_and(d, low, out=t)
+            unit(t, x)
+            if k < 2:
+                np.right_shift(d, np.uint64(32), out=t)
+                unit(t, y)
+                np.multiply(x, y, out=x)
+                np.log(x, out=x)
+                np.negative(x, out=x)
+            if k == 1:
+                np.log(x, out=x)
+            result[start : start + n] = x
+    return out
+
+
+def _placed(weight, r: np.ndarray, c: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level and rank of words with the logarithms of their weights."""
+    level = np.floor(weight / r + beta)
+    return level, c - r * (level - beta) - r
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -62,16 +100,23 @@ def signatures(texts: list[str]) -> np.ndarray:
         return out
     hashes = np.array([xxhash.xxh64_intdigest(w.encode(), SEED) for w in number], np.uint64)
     r, c, beta = _draws(hashes)
+    # Most words occur once in a text: their level and rank hang on the word alone.
+    once_level, once_rank = _placed(np.float32(0), r, c, beta)
+    columns = np.arange(SAMPLES)
     for i, count in enumerate(counts):
         if not count:
             continue
         word = np.fromiter(map(number.__getitem__, count), np.int64, len(count))
-        weight = np.log(np.fromiter(count.values(), np.float32, len(count)))[:, None]
-        rate, shift = r[word], beta[word]
-        level = np.floor(weight / rate + shift)
-        rank = c[word] - rate * (level - shift) - rate
+        times = np.fromiter(count.values(), np.float32, len(count))
+        rank = once_rank.take(word, axis=0)
+        again = np.flatnonzero(times > 1)
+        some = word[again]
+        level, rank[again] = _placed(np.log(times[again])[:, None], r[some], c[some], beta[some])
         best = rank.argmin(axis=0)
-        chosen = hashes[word[best]] + level[best, np.arange(SAMPLES)].astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        chosen_level = once_level[word[best], columns]
+        repeated = times[best] > 1
+        chosen_level[repeated] = level[np.searchsorted(again, best[repeated]), columns[repeated]]
+        chosen = hashes[word[best]] + chosen_level.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         samples = _mixed(chosen) & np.uint64(0xFFFF)
         out[i] = np.maximum(samples, np.uint64(1))
     return out
