@@ -18,16 +18,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from harvestline.llm.common import add_columns
+from harvestline.llm.common import BATCH_BYTES
 from harvestline.sources.stored import stored
 
 LIMIT = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 SALT = 1024
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 # Unicode white space, at which the tokenizer's pattern always splits and which it drops; str.split also cuts at four separators.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _HEAD_TAIL = re.compile("([A-Za-z\xc0-\u024f]+)([!-/:-@\\[-`{-~]*)")
@@ -107,6 +108,10 @@ class WordTokenizer:
         self._add(list(set().union(*split).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def forget(self) -> None:
+        for kept in (self.known, self.heads, self.tails):
+            kept.clear()
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -121,19 +126,46 @@ def tokenizer(path: str | None) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
-    end = np.array([END], "<u4").tobytes()
+    """doc_id, piece, start, length, ids_crc32 of every piece.
 
-    def compute(texts):
-        out = []
-        for ids in tokenizer(path).encode(texts):
-            ids += end
-            cuts = range(0, len(ids) // 4, limit)
-            out.append([{"piece": k, "start": s, "length": min(limit, len(ids) // 4 - s), "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + limit)])} for k, s in enumerate(cuts)])
-        return {"_pieces": out}
-
-    kind = "_pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
-    return add_columns(docs, kind, compute, ["doc_id"]).select("doc_id", F.inline("_pieces"))
+    Texts leave Arrow in groups of about `BATCH_BYTES` bytes, and what the tokenizer has seen is dropped when a task ends.
+    """
+    end = np.array([END], "<u4").tobytes()
+    kind = docs.schema["doc_id"].dataType
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def rows(ids: list, coded: list[bytes]):
+        for doc, code in zip(ids, coded):
+            code += end
+            for k, start in enumerate(range(0, len(code) // 4, limit)):
+                yield doc, k, start, min(limit, len(code) // 4 - start), zlib.crc32(code[4 * start : 4 * (start + limit)])
+
+    def work(batches):
+        coder = tokenizer(path)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        try:
+            for batch in batches:
+                ids, column = batch.column("doc_id"), batch.column("text")
+                sizes = np.asarray(pc.binary_length(column))
+                for low, high in _ranges(sizes, BATCH_BYTES):
+                    made = list(rows(range(low, high), coder.encode(column.slice(low, high - low).to_pylist())))
+                    at, piece, start, length, crc = (np.array(c) for c in zip(*made))
+                    arrays = [ids.take(pa.array(at)), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            coder.forget()
+
+    fields = T.StructType().add("doc_id", kind).add("piece", T.IntegerType())
+    for name in ("start", "length", "ids_crc32"):
+        fields.add(name, T.LongType())
+    return source.mapInArrow(work, fields)
+
+
+def _ranges(sizes: np.ndarray, limit: int):
+    """Ranges of consecutive texts with about `limit` bytes each."""
+    part = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 # --- plan over counts ------------------------------------------------------------------------------
