@@ -28,7 +28,7 @@ LIMIT = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 SALT = 1024
-_WORDS_KEPT = 150_000
+_WORDS_KEPT = 300_000
 # Unicode white space, at which the tokenizer's pattern always splits and which it drops; str.split also cuts at four separators.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _HEAD_TAIL = re.compile("([A-Za-z\xc0-\u024f]+)([!-/:-@\\[-`{-~]*)")
@@ -85,6 +85,11 @@ class WordTokenizer:
     def _add(self, words: list[str]) -> None:
         cut, heads, tails, whole = [], [], [], []
         for word in words:
+            if word.isascii() and word.isalpha():
+                cut.append(word)
+                heads.append(word.lower())
+                tails.append("")
+                continue
             found = _HEAD_TAIL.fullmatch(word)
             head = found[1].lower() if found else ""
             if head.isalpha():
