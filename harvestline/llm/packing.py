@@ -13,6 +13,7 @@ their own; empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -51,6 +52,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library would start a thread for each core of the machine, with memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
