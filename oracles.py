@@ -597,7 +597,17 @@ BODIES |= {
     "absent_dimensions": "SELECT state, count(*) AS n, "
     + ", ".join(f"count(*) AS no_{c}" for c in W)
     + f", {fv.DEFAULT_IRRIGATION!r}e0 AS irrigation, {fv.DEFAULT_FERTILIZER!r}e0 AS npk FROM production GROUP BY 1",
-    "stream_trailing_weather": BODIES["trailing_weather"],
+    # Exact sums: at six digits a few means lie between two results, and sums of doubles in any order fall on either side.
+    "stream_trailing_weather": "SELECT state, " + ", ".join(
+        rnd(f"CAST(s_{p}{' * 365.25::DECIMAL(6, 2)' if p == 'PRECTOTCORR' else ''} AS DOUBLE) / n_{p}", 6) + f" AS {f}" for p, f in fv.DAILY_PARAMETERS.items()
+    )
+    + " FROM (SELECT state, "
+    + ", ".join(
+        f"CAST(sum(CAST(val AS DECIMAL(28, 10))) FILTER ({w}) AS DECIMAL(28, 10)) AS s_{p}, count(val) FILTER ({w}) AS n_{p}"
+        for p in fv.DAILY_PARAMETERS
+        for w in [f"WHERE param = '{p}' AND val > -990"]
+    )
+    + f" FROM observations WHERE obs_date BETWEEN DATE '{AS_OF}' - 365 AND DATE '{AS_OF}' GROUP BY 1)",
     "stored_schema_document": BODIES["feature_schema"],
     "merged_record": f"""SELECT 'GBTRegressor' AS model_type, (SELECT count(*) FROM labelled WHERE split = 'train') AS n_train, count(*) AS n_evaluated,
         count(DISTINCT crop) AS n_crops FROM ({BODIES['plain_split']}) JOIN production USING (row_key) WHERE split = 'test'""",

@@ -174,6 +174,6 @@ def test_days_collected_from_a_stream(spark, fresh):
     for state in want:
         assert got[state] == pytest.approx(want[state])
     last = max(p.name for p in __import__("pathlib").Path(base).iterdir())
-    again = spark.read.parquet(f"{base}/{last}").collect()
-    spark.createDataFrame(again).write.mode("overwrite").parquet(f"{base}/{last}")  # the batch is repeated
+    days = spark.read.parquet(f"{base}/{last}")
+    spark.createDataFrame(days.collect(), days.schema).write.mode("overwrite").parquet(f"{base}/{last}")  # the batch is repeated
     assert {r["state"]: tuple(r)[1:] for r in jobs.collected_weather(spark, base, "2004-12-28").collect()} == got
