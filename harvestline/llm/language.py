@@ -1,16 +1,16 @@
-"""Hashed maximum-entropy language model with a class-factored softmax.
+"""Hashed maximum-entropy language model with a softmax factored by classes.
 
-log P(token | text before) = log P(class | history) + log P(token | class, history).  Each of the `FREQUENT` commonest tokens is
-a class of its own; all others, unknown ones too, fall into `SHAPES` classes by their spelling.  The class has a log-linear
-model over hashed features of the context, the n-grams (last class; last two) and the skip (last but one):
-each feature names a row of `ROWS` weight rows with one weight per class.  On top of it the class, and on top of the smoothed share of
-its count the token in its class, have n-gram and skip features over the actual tokens before it (`histories`).
+Outcomes are the training tokens that occur `LEAST` times or more, the commonest `LISTED` at most, and `SHAPES` groups of all other tokens by
+their spelling.  They stand in nested classes, a code of base `WIDTH` by their counts: log P(token | text before) is the sum, along
+the token's path, of log P(choice | class, history), each a softmax over at most `WIDTH` choices; within a spelling group a token
+has the smoothed share of its count.  Every softmax starts from the shares of counts below its choices and has on top a log-linear model over the
+actual tokens before: the last one, the last two (n-grams) and the last but one (skip).  (kind, history, class) is
+hashed to one of `ROWS` weight rows with one weight per choice.
 
-Learning reads every training token: token counts, counts of class trigrams and counts of the token histories are added up on the cluster;
-those of tokens and histories grow with the corpus.  Gradient steps run over partitions of the distinct class contexts with their
-counts, and their sums (bounded by the number of contexts) give the next weights; the weights of token histories follow from their counts
-in closed form, without gradient steps.  A training text is scored with counts that contain its own.  Counts of the commonest tokens,
-`LISTED` at most, go with the tasks (a bounded list); those of all others come by a join on the token.
+Training reads every training token `PASSES` times and shuffles none.  Each task takes gradient steps (scaled by the row's sum of
+squared gradients) over groups of `STEP` tokens on its own copy of the weights; the movements of a row, weighted by how often tasks
+met it, are summed over partitions by row block and give the next weights.  Token counts grow with the corpus and stay
+distributed; the weights, the tree and the listed tokens are bounded.  Counts of tokens that are not listed come by a join.
 
 Defined cases: null text is empty, and an empty text is its end token; a null doc_id counts as empty text in the fold; without training
 text every token is unknown; repeated rows are rows of their own; empty tables give empty results; other columns are not
@@ -19,6 +19,7 @@ read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 
@@ -27,24 +28,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from harvestline.llm import histories
-from harvestline.llm.common import add_columns, fold, text_groups
+from harvestline.llm.common import fold, text_groups
 from harvestline.sources.stored import stored
 
-FREQUENT = 64
-SHAPES = 32
-CLASSES = FREQUENT + SHAPES
-START = CLASSES  # before the first token
-WIDTH = CLASSES + 1
-ROWS = 1 << 15
+WIDTH = 16
+SHAPES = 64
 LISTED = 1 << 16
-STEPS = 10
-RIDGE = 2.0
+LEAST = 5
+ROW_BITS = 18
+ROWS = 1 << ROW_BITS
+BLOCK_ROWS = 1 << 12
+PASSES = 1
+STEP = 4096
+RATE = 1.0
 SMOOTH = 0.1
-TASKS = 8
+SEED = 42  # as in Spark's xxhash64
+TINY = 1e-30  # no choice has less
 _FLUSH = 200_000
 END = b" "  # cannot be a word
-_FEATURES = 4
+NEVER = np.float32(-1e4)  # start of a choice that stands for nothing
+MOST = np.float32(80)  # of the score of a choice, whose exponent must fit
+
+#: What a task hands on of a weight row: how many decisions met it and, times that number, how far it moved.
+MOVED = np.dtype([("row", "<i4"), ("n", "<f4"), ("moved", "<f4", WIDTH)])
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -53,55 +60,210 @@ def tokens(text: str) -> list[bytes]:
 
 
 def shape(token: bytes) -> int:
-    """The class of a token that has none of its own, by its first two bytes and its last one."""
+    """The spelling group of a token: its first two bytes and its last one."""
     last = token[-1:]
     kind = 0 if last.isalnum() or last >= b"\x80" else 1 if last in b".,;:" else 2 if last in b"!?" else 3
-    return FREQUENT + (zlib.crc32(token[:2]) % (SHAPES // 4)) * 4 + kind
-
-
-class Classes:
-    """Class of each token; what it has seen is kept up to a bound."""
-
-    def __init__(self, frequent: dict[bytes, int]):
-        self.frequent, self.known = frequent, {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _FLUSH:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.frequent.get(w, -1)
-            if known[w] < 0:
-                known[w] = shape(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each token of texts that stand one after the other, the number of its context: the two classes before it."""
-    last, earlier = histories.before(classes, ends, START)
-    return earlier * WIDTH + last
-
-
-def _hashed(context: np.ndarray) -> np.ndarray:
-    earlier, before = context // WIDTH, context % WIDTH
-    row = lambda kind, value: 1 + ((value * 0x9E3779B1 + kind * 0x85EBCA6B) % 0x7FFFFFFF) % (ROWS - 1)
-    return np.stack([np.zeros_like(context), row(1, before), row(2, context), row(3, earlier)], axis=1)
+    return (zlib.crc32(token[:2]) % (SHAPES // 4)) * 4 + kind
+
+
+class Tree:
+    """Nested classes over outcomes with counts: `first[i]` to `first[i + 1]` are the decisions (`node`, `choice`) of outcome i."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(float(n), i) for i, n in enumerate(counts)]
+        heapq.heapify(heap)
+        size, made, parent = len(counts), [], {}
+        take = (size - 2) % (WIDTH - 1) + 2  # fewer at the bottom, so that all classes above are full
+        while len(heap) > 1:
+            below = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+            take, name = WIDTH, size + len(made)
+            for choice, (_, child) in enumerate(below):
+                parent[child] = (len(made), choice)
+            made.append([n for n, _ in below])
+            heapq.heappush(heap, (sum(made[-1]), name))
+        self.start = np.full((len(made), WIDTH), NEVER, np.float32)
+        for node, weights in enumerate(made):
+            self.start[node, : len(weights)] = np.log(np.array(weights) / sum(weights))
+        first, nodes, choices = [0], [], []
+        for i in range(size):
+            at = i
+            while at in parent:
+                node, choice = parent[at]
+                nodes.append(node)
+                choices.append(choice)
+                at = size + node
+            first.append(len(nodes))
+        self.first, self.node, self.choice = np.array(first), np.array(nodes, np.int32), np.array(choices, np.int32)
+
+    def decisions(self, outcomes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position in `outcomes`, class and choice of every decision on their paths."""
+        depth = self.first[outcomes + 1] - self.first[outcomes]
+        ends = np.cumsum(depth)
+        at = np.repeat(np.arange(len(outcomes)), depth)
+        place = np.arange(len(at)) + np.repeat(self.first[outcomes] - ends + depth, depth)
+        return at, self.node[place], self.choice[place]
+
+
+def histories(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes, a row per kind of feature, of what stands before each token of texts that stand one after the other."""
+    index = np.arange(len(names)) - np.repeat(np.append(0, ends[:-1]), np.diff(ends, prepend=0))
+    before = []
+    for back in (1, 2):
+        value = np.roll(names, back)
+        value[index < back] = 0
+        before.append(value)
+    last, earlier = before
+    mixed = lambda kind, value: (value ^ np.uint64(kind)) * _MIX
+    return np.stack([mixed(1, last), mixed(2, last * _MIX2 + earlier), mixed(3, earlier)])
+
+
+def weight_rows(history: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The weight row of each kind of feature for decisions in these classes."""
+    value = history + node.astype(np.uint64) * _MIX2
+    value ^= value >> np.uint64(31)
+    return ((value * _MIX) >> np.uint64(64 - ROW_BITS)).astype(np.int32)
+
+
+def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """`table[rows]`, several times faster."""
+    return np.take(table, rows, axis=0, mode="clip")
+
+
+def put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """`table[rows] = values`, several times faster: each row is moved as one piece."""
+    whole = np.dtype((np.void, table.dtype.itemsize * table.shape[1]))
+    np.put(table.view(whole).ravel(), rows, np.ascontiguousarray(values).view(whole).ravel())
+
+
+def choices(start: np.ndarray, weights: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Probabilities of all choices of each decision."""
+    scores = taken(start, node)
+    for kind in rows:
+        scores += taken(weights, kind)
+    p = np.exp(np.minimum(scores, MOST, out=scores), out=scores)
+    p /= (p @ np.ones(WIDTH, np.float32))[:, None]
+    return p
+
+
+def gradient(start: np.ndarray, weights: np.ndarray, node: np.ndarray, choice: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows met, how often, and the gradient of the log-likelihood by their weights: observed less expected choices."""
+    slope = np.negative(choices(start, weights, node, rows))
+    slope.ravel()[np.arange(len(node)) * WIDTH + choice] += 1
+    key = np.sort((rows.astype(np.int64) << 32 | np.arange(len(node))).ravel())
+    row, at = key >> 32, key & 0xFFFFFFFF
+    cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    n = np.diff(np.append(cut, len(row)))
+    sums, many = taken(slope, at[cut]), n > 1
+    if many.any():
+        several = np.flatnonzero(np.repeat(many, n))
+        put(sums, np.flatnonzero(many), np.add.reduceat(taken(slope, at[several]), np.cumsum(n[many]) - n[many], axis=0))
+    return row[cut], n, sums
+
+
+class Learner:
+    """Gradient steps of one task on its own copy of the weights."""
+
+    def __init__(self, start: np.ndarray, weights: np.ndarray):
+        self.start, self.given, self.weights = start, weights, weights.copy()
+        self.squares, self.met = np.ones(len(weights), np.float32), np.zeros(len(weights), np.float32)
+
+    def step(self, node: np.ndarray, choice: np.ndarray, rows: np.ndarray) -> None:
+        row, n, slope = gradient(self.start, self.weights, node, choice, rows)
+        self.squares[row] += np.einsum("ij,ij->i", slope, slope)
+        self.met[row] += n
+        slope *= (RATE / np.sqrt(self.squares[row]))[:, None]
+        slope += taken(self.weights, row)
+        put(self.weights, row, slope)
+
+    def moved(self):
+        """block, rows of the block as `MOVED`."""
+        for block in range(0, len(self.weights), BLOCK_ROWS):
+            seen = block + np.flatnonzero(self.met[block : block + BLOCK_ROWS])
+            if len(seen):
+                out = np.zeros(len(seen), MOVED)
+                out["row"], out["n"] = seen, self.met[seen]
+                out["moved"] = (self.weights[seen] - self.given[seen]) * self.met[seen, None]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block // BLOCK_ROWS], pa.int32()), "rows": pa.array([out.tobytes()], pa.binary())})
+
+
+class Names(dict):
+    """Tokens numbered as they come, with the outcome and the name (64 bit hash) of each number."""
+
+    def __init__(self, outcome: dict[bytes, int]):
+        self.listed, self.outcomes, self.hashes = outcome, [], []
+
+    def __missing__(self, token: bytes) -> int:
+        at = self.listed.get(token)
+        self.outcomes.append(len(self.listed) + shape(token) if at is None else at)
+        self.hashes.append(xxhash.xxh64_intdigest(token, SEED))
+        self[token] = number = len(self)
+        return number
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > _FLUSH:
+            self.__init__(self.listed)
+            self.clear()
+            self.arrays = None
+        known = len(self)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) > known or known == 0:
+            self.arrays = np.array(self.outcomes, np.int64), np.array(self.hashes, np.uint64)
+        return self.arrays[0][at], self.arrays[1][at]
 
 
-#: The hashed rows that some context names; only these are kept.
-USED = np.unique(_hashed(np.arange(WIDTH * WIDTH)))
-
+class Model:
+    """Everything that tasks need beside the weights; its size does not depend on the corpus."""
 
-def features(context: np.ndarray) -> np.ndarray:
-    """Weight rows of each context: a constant one, the last class, the last two, the last but one."""
-    return np.searchsorted(USED, _hashed(context))
+    def __init__(self, listed: dict[bytes, int], totals: np.ndarray, types: np.ndarray, n: int, v: int):
+        """`totals`, `types`: counts and numbers of the tokens in each spelling group that are not listed."""
+        ordered = sorted(listed, key=lambda w: (-listed[w], w))
+        self.outcome = {w: i for i, w in enumerate(ordered)}
+        self.counts = np.array([listed[w] for w in ordered] + [0] * SHAPES, np.int64)
+        self.listed, self.totals, self.types, self.n, self.v = len(ordered), totals, types, n, v
+        self.tree = Tree(np.append(self.counts[: self.listed], totals + 0.5))
+        self.names = None
 
+    def base(self, count):
+        """log10 of the add-0.1 share of a token with this count."""
+        return np.log10((np.asarray(count) + SMOOTH) / (self.n + SMOOTH * (self.v + 1)))
 
-def log_classes(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of all classes in each context."""
-    scores = weights[features(context)].sum(axis=1, dtype=np.float64)
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    def group_size(self) -> np.ndarray:
+        return self.totals + SMOOTH * (self.types + 1)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends of the texts; outcome and name (64 bit hash) of each of their tokens."""
+        words, ends = [], []
+        for t in texts:
+            words += tokens(t)
+            ends.append(len(words))
+        if self.names is None:  # made in the task
+            self.names = Names(self.outcome)
+        return np.array(ends), *self.names.of(words)
+
+    def steps(self, texts: list[str]):
+        """Decisions of the texts in groups of `STEP` tokens: position of the token, class, choice, weight rows."""
+        ends, outcomes, names = self.read(texts)
+        history = histories(names, ends)
+        for at in range(0, len(outcomes), STEP):
+            of, node, choice = self.tree.decisions(outcomes[at : at + STEP])
+            yield at + of, node, choice, weight_rows(history[:, at : at + STEP][:, of], node)
+
+    def score(self, texts: list[str], weights: np.ndarray) -> tuple:
+        """Per text: tokens, listed tokens, sums of both scores over what is at hand; names and groups of the others, with their ends."""
+        ends, outcomes, names = self.read(texts)
+        history = histories(names, ends)
+        score = np.zeros(len(outcomes))
+        for at in range(0, len(outcomes), STEP):
+            of, node, choice = self.tree.decisions(outcomes[at : at + STEP])
+            p = choices(self.tree.start, weights, node, weight_rows(history[:, at : at + STEP][:, of], node))
+            chosen = np.log10(p.ravel()[np.arange(len(of)) * WIDTH + choice].astype(float) + TINY)
+            score[at : at + STEP] = np.bincount(of, chosen, min(STEP, len(outcomes) - at))
+        rare = outcomes >= self.listed
+        first = np.append(0, ends[:-1])
+        base = np.where(rare, 0.0, self.base(self.counts[outcomes]))
+        add = lambda values: np.add.reduceat(values, first)
+        rest = np.append(0, np.cumsum(add(rare.astype(np.int64))))
+        return ends - first, add((~rare).astype(np.int64)), add(base), add(score), rest, names[rare].view(np.int64), (outcomes[rare] - self.listed).astype(np.int8)
 
 
 def _token_counts(docs: DataFrame) -> DataFrame:
@@ -139,210 +301,118 @@ def _common(vocabulary: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in vocabulary.where(level >= least).collect()}
 
 
-def _class_trigrams(docs: DataFrame, frequent: dict[bytes, int]) -> DataFrame:
-    """context, class, n; there are at most WIDTH² contexts, however large the corpus."""
+def _groups(vocabulary: DataFrame, listed: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of the tokens in each spelling group that are not listed."""
+    spread = vocabulary.sparkSession.sparkContext.broadcast(frozenset(listed))
 
     def work(batches):
-        total = np.zeros(WIDTH * WIDTH * CLASSES, np.int64)
-        classes, words, ends = Classes(frequent), [], []
-
-        def add():
-            own = classes.of(words)
-            total[:] += np.bincount(contexts(own, np.array(ends)) * CLASSES + own, minlength=len(total))
-            words.clear()
-            ends.clear()
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.extend(tokens(text or ""))
-                ends.append(len(words))
-                if len(words) > 250_000:
-                    add()
-        if words:
-            add()
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"context": seen // CLASSES, "class": seen % CLASSES, "n": total[seen]})
-
-    rows = docs.select("text").mapInArrow(work, "context long, class long, n long")
-    return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
-
-
-def _gradient(events: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected counts of every weight, the two sides of the gradient: sums over partitions of contexts."""
-    spread = events.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-
-    def work(batches):
-        parts = [(np.asarray(b.column("context")), np.asarray(b.column("class")), np.asarray(b.column("n"))) for b in batches]
-        if not parts:
-            return
-        context, own, n = (np.concatenate(x) for x in zip(*parts))
-        names, at = np.unique(context, return_inverse=True)
-        observed = np.zeros((len(names), CLASSES))
-        np.add.at(observed, (at, own), n)
-        size = observed.sum(axis=1, keepdims=True)
-        p = np.exp(log_classes(spread.value, names))
-        rows = features(names).reshape(-1)
-        used, place = np.unique(rows, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        cut = np.searchsorted(place[order], np.arange(len(used)))
-        sums = lambda values: np.add.reduceat(np.repeat(values, _FEATURES, axis=0)[order], cut, axis=0)
-        lists = lambda m: pa.array(list(m), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_pydict({"row": used, "observed": lists(sums(observed)), "expected": lists(sums(size * p))})
-
-    found = events.mapInArrow(work, "row long, observed array<double>, expected array<double>").toArrow()
-    observed, expected = np.zeros((len(USED), CLASSES)), np.zeros((len(USED), CLASSES))
-    if found.num_rows:
-        rows = np.asarray(found.column("row"))
-        for total, name in ((observed, "observed"), (expected, "expected")):
-            values = np.asarray(pa.concat_arrays([c.flatten() for c in found.column(name).chunks]))
-            np.add.at(total, rows, values.reshape(-1, CLASSES))
-    spread.destroy()
-    return observed, expected
-
-
-def train(events: DataFrame, steps: int = STEPS) -> np.ndarray:
-    """Weights after `steps` gradient updates, each weight's scaled by its counts; the constant feature starts at the class shares."""
-    weights = np.zeros((len(USED), CLASSES))
-    shares = {r["class"]: r["n"] for r in events.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    total = sum(shares.values())
-    weights[0] = np.log([(shares.get(c, 0) + 0.5) / (total + 0.5 * CLASSES) for c in range(CLASSES)])
-    for _ in range(steps):
-        observed, expected = _gradient(events, weights)
-        slope = observed - expected - RIDGE * np.where(np.arange(len(USED))[:, None] > 0, weights, 0.0)
-        weights += slope / (_FEATURES / 2 * np.maximum(observed, expected) + RIDGE)
+            words, n = batch.column("token").to_pylist(), np.asarray(batch.column("n"))
+            own = np.array([SHAPES if w in spread.value else shape(w) for w in words], np.int64)
+            kinds = np.bincount(own, minlength=SHAPES + 1)[:SHAPES]
+            sums = np.bincount(own, n, SHAPES + 1)[:SHAPES].astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"shape": np.arange(SHAPES), "n": sums, "types": kinds})
+
+    totals, types = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+    rows = vocabulary.mapInArrow(work, "shape long, n long, types long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    for r in rows.collect():
+        totals[r["shape"]], types[r["shape"]] = r["n"], r["types"]
+    return totals, types
+
+
+def _texts(batch: pa.RecordBatch):
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    for start, end in text_groups(texts):
+        yield start, texts[start:end]
+
+
+def train(docs: DataFrame, model, passes: int = PASSES) -> np.ndarray:
+    """Weights after gradient steps over all texts of `docs`; `model` is a broadcast `Model`."""
+    context = docs.sparkSession.sparkContext
+    weights = np.zeros((ROWS, WIDTH), np.float32)
+    blocks = ROWS // BLOCK_ROWS
+    for _ in range(passes):
+        spread = context.broadcast(weights)
+
+        def work(batches, spread=spread):
+            learner = None
+            for batch in batches:
+                learner = learner or Learner(model.value.tree.start, spread.value)
+                for _, texts in _texts(batch):
+                    for _, node, choice, rows in model.value.steps(texts):
+                        learner.step(node, choice, rows)
+            if learner:
+                yield from learner.moved()
+
+        def merged(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("rows")):
+                    part = np.frombuffer(data.as_buffer(), MOVED)
+                    total = sums.setdefault(block, np.zeros((BLOCK_ROWS, WIDTH + 1)))
+                    at = part["row"] - block * BLOCK_ROWS  # a task names a row once
+                    total[at, 0] += part["n"]
+                    total[at, 1:] += part["moved"]
+            for block, total in sums.items():
+                mean = (total[:, 1:] / np.maximum(total[:, :1], 1)).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "rows": pa.array([mean.tobytes()], pa.binary())})
+
+        moved = docs.select("text").mapInArrow(work, "block int, rows binary")
+        weights = weights.copy()
+        for r in moved.repartition(blocks, F.col("block")).mapInArrow(merged, "block int, rows binary").collect():
+            weights[r["block"] * BLOCK_ROWS :][:BLOCK_ROWS] += np.frombuffer(r["rows"], np.float32).reshape(-1, WIDTH)
+        spread.destroy()
     return weights
 
 
-class Model:
-    """Everything that scoring needs at hand; its size does not depend on the corpus."""
-
-    def __init__(self, frequent: dict[bytes, int], weights: np.ndarray, listed: dict[bytes, int], totals: np.ndarray, types: np.ndarray):
-        self.classes, self.listed, self.totals, self.types = Classes(frequent), listed, totals, types
-        self.n, self.v = int(totals.sum()), int(types.sum())
-        every = np.arange(WIDTH * WIDTH)
-        self.table = (np.concatenate([log_classes(weights, part) for part in np.array_split(every, 16)]) / np.log(10)).astype(np.float32)
-
-    def base(self, count):
-        """log10 of the add-0.1 share of a token with this count."""
-        return np.log10((np.asarray(count) + SMOOTH) / (self.n + SMOOTH * (self.v + 1)))
-
-    def within(self, count, classes):
-        """log10 P(token | class); a class of a single frequent token gives it all."""
-        classes = np.asarray(classes)
-        share = np.log10((np.asarray(count) + SMOOTH) / (self.totals[classes] + SMOOTH * (self.types[classes] + 1)))
-        return np.where(classes < FREQUENT, 0.0, share)
-
-    def _read(self, texts: list[str]) -> tuple:
-        """Sizes and ends of the texts; of each token the word, class, count (-1: not listed), context, and whether `histories` scores it."""
-        split = [tokens(t) for t in texts]
-        sizes = np.array([len(s) for s in split])
-        ends = np.cumsum(sizes)
-        words = [w for s in split for w in s]
-        own = self.classes.of(words)
-        count = np.fromiter((self.listed.get(w, -1) for w in words), np.int64, len(words))
-        context = contexts(own, ends)
-        rare = lambda c: (c >= FREQUENT) & (c < START)
-        last, skip = rare(context % WIDTH), rare(context // WIDTH)
-        flags = last * histories.LAST_RARE + skip * histories.SKIP_RARE + (count >= 0) * histories.LISTED + (own >= FREQUENT) * histories.IN_CLASS
-        return sizes, ends, words, own, count, context, flags, last | skip | (own >= FREQUENT) | (count < 0)
-
-    def score(self, texts: list[str]) -> dict:
-        """Sums over the tokens whose counts, and over those whose whole score, are at hand."""
-        sizes, ends, _, own, count, context, _, sent = self._read(texts)
-        first = np.append(0, ends[:-1])
-        add = lambda values: np.add.reduceat(values, first)
-        have = count >= 0
-        base = add(np.where(have, self.base(np.maximum(count, 0)), 0.0))
-        return {"n_tokens": sizes, "_known": add(have.astype(np.int64)), "_base": base, "_score": add(np.where(sent, 0.0, self.table[context, own]))}
-
-    def events(self, texts: list[str], ids: np.ndarray, trains: np.ndarray) -> np.ndarray:
-        """The tokens that `histories` scores."""
-        sizes, ends, words, own, _, context, flags, sent = self._read(texts)
-        hashes = {w: xxhash.xxh64_intdigest(w, histories.SEED) for w in set(words)}
-        name = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        last, earlier = histories.before(name, ends, 0)
-        rows = np.zeros(int(sent.sum()), histories.FIRST)
-        rows["p2"], rows["p1"], rows["w"], rows["c"] = earlier[sent] & 0xFFFFFFFF, last[sent] & 0xFFFFFFFF, name[sent], own[sent]
-        rows["doc"], rows["q"] = np.repeat(ids, sizes)[sent], 10.0 ** self.table[context, own][sent]
-        rows["flags"] = (flags + np.repeat(trains, sizes) * histories.TRAINS)[sent]
-        return rows
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the listed tokens, ascending, and their counts."""
-        keys = np.array([xxhash.xxh64_intdigest(w, histories.SEED) for w in self.listed], np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.array(list(self.listed.values()), np.int64)[order]
-
-    def share(self, count, classes):
-        """The share of a count in its class, as in `within`."""
-        return 10.0 ** self.within(count, classes)
-
-
-def _events(docs: DataFrame, spread) -> DataFrame:
-    """Packed rows of the tokens that `histories` scores."""
+def _scored(docs: DataFrame, model, weights) -> DataFrame:
+    """doc_id, sums per text over what the model knows at hand, and the tokens whose counts it lacks."""
+    fields = "n_tokens long, known long, base double, score double, keys array<long>, shapes array<tinyint>"
+    schema = docs.select("doc_id").schema.simpleString()[len("struct<") : -1].replace(":", " ", 1)
 
     def work(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, trains = np.asarray(batch.column("_id")), np.asarray(batch.column("_trains"))
-            for start, end in text_groups(texts):
-                rows = spread.value.events(texts[start:end], ids[start:end], trains[start:end])
-                if len(rows):
-                    yield histories.packed(rows, "p2", histories.SKIP_RARE)
+            for start, texts in _texts(batch):
+                n, known, base, score, ends, keys, shapes = model.value.score(texts, weights.value)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (keys, shapes)]
+                numbers = [pa.array(v) for v in (n.astype(np.int64), known, base, score)]
+                names = ["doc_id", "n_tokens", "known", "base", "score", "keys", "shapes"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *numbers, *lists], names=names)
 
-    return docs.select("text", "_id", "_trains").mapInArrow(work, "bucket int, rows binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"{schema}, {fields}")
 
 
 def score(docs: DataFrame, parts: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; fold `held` of `parts` teaches nothing."""
     held_out = fold("doc_id", parts) == held
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_id"), F.when(held_out, 0).otherwise(1).alias("_trains"))
-    docs = stored(numbered, "numbered")
-    spark = docs.sparkSession
-    training = docs.where("_trains = 1")
+    docs = docs.select("doc_id", "text")
+    context = docs.sparkSession.sparkContext
+    training = docs.where(~held_out)
     vocabulary = stored(_token_counts(training), "vocabulary")
-    top = vocabulary.orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()
-    frequent = {bytes(r["token"]): i for i, r in enumerate(top)}
-    listed = _common(vocabulary, LISTED)
-
-    def named(batches):
-        classes = Classes(frequent)
-        for batch in batches:
-            own = classes.of(batch.column("token").to_pylist())
-            n = np.bincount(own, np.asarray(batch.column("n")), CLASSES).astype(np.int64)
-            types = np.bincount(own, minlength=CLASSES)
-            yield pa.RecordBatch.from_pydict({"class": np.arange(CLASSES), "n": n, "types": types})
-
-    totals, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in vocabulary.mapInArrow(named, "class long, n long, types long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
-        totals[r["class"]], types[r["class"]] = r["n"], r["types"]
-
-    events = stored(_class_trigrams(training, frequent).repartition(TASKS, "context"), "trigrams")
-    model = Model(frequent, train(events), listed, totals, types)
-    spread = spark.sparkContext.broadcast(model)
-    fields = "n_tokens long, _known long, _base double, _score double"
-    rows = add_columns(docs, fields, lambda texts: spread.value.score(texts), ["doc_id", "_id"])
-
-    # Tokens that are not on the list: their counts by a join, their shares as in `Model.base` and `Model.within`.
-    found = histories.scored(_events(docs, spread), lambda: spread.value.counts(), lambda *x: spread.value.share(*x))
-    found = found.join(vocabulary.select(F.xxhash64("token").alias("key"), "n"), "key", "left")
-    count, rare = F.coalesce("n", F.lit(0)) + SMOOTH, F.col("seen").isNotNull()
-    base = F.log10(count / (model.n + SMOOTH * (model.v + 1)))
-    spans = F.element_at(F.array(*[F.lit(float(t + SMOOTH * (k + 1))) for t, k in zip(totals, types)]), F.col("class") + 1)
-    inside = F.when(rare & (F.col("class") >= FREQUENT), F.log10(F.col("seen") + F.col("rest") * count / spans)).otherwise(0.0)
-    sums = found.groupBy(F.col("doc").alias("_id")).agg(
-        F.sum((rare & F.col("n").isNotNull()).cast("long")).alias("_more_known"),
-        F.sum(F.when(rare, base).otherwise(0.0)).alias("_more_base"),
-        F.sum(F.col("score") + inside).alias("_more_score"),
+    whole = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    listed = _common(vocabulary.where(F.col("n") >= LEAST), LISTED)
+    model = Model(listed, *_groups(vocabulary, listed), whole["n"] or 0, whole["v"])
+    spread = context.broadcast(model)
+    weights = context.broadcast(train(training, spread))
+    rows = stored(_scored(docs, spread, weights).withColumn("_id", F.monotonically_increasing_id()), "scored")
+
+    # Tokens that are not on the list: their counts by a join, then their shares of all tokens and of their group.
+    rare = rows.select("_id", F.explode(F.arrays_zip("keys", "shapes")).alias("r")).select("_id", F.col("r.keys").alias("key"), F.col("r.shapes").alias("shape"))
+    found = rare.join(vocabulary.select(F.xxhash64("token").alias("key"), "n"), "key", "left")
+    count = F.coalesce("n", F.lit(0)) + SMOOTH
+    size = F.element_at(F.array(*[F.lit(float(s)) for s in model.group_size()]), F.col("shape") + 1)
+    sums = found.groupBy("_id").agg(
+        F.count("n").alias("_known"),
+        F.sum(F.log10(count / (model.n + SMOOTH * (model.v + 1)))).alias("_base"),
+        F.sum(F.log10(count / size)).alias("_score"),
     )
-    whole = rows.join(sums, "_id", "left")
-    added = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero)))
-    return whole.select(
+    added = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    return rows.drop("keys", "shapes").join(sums, "_id", "left").select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
-        added("_known", "_more_known", 0).alias("n_known"),
+        added("known", "_known", 0).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        added("_base", "_more_base", 0.0).alias("base_score"),
-        added("_score", "_more_score", 0.0).alias("score"),
-    )
+        added("base", "_base", 0.0).alias("base_score"),
+        added("score", "_score", 0.0).alias("score"),
+    )

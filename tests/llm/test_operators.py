@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harvestline.llm import histories, language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
+from harvestline.llm import language, mixing, neighbours, packing, quality, sampling, secrets, simhash, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,23 +43,90 @@ def test_language(odd, odd_rows, monkeypatch):
     assert all(r["score"] < 0 for r in got)
 
 
+def language_model(rows):
+    counts = Counter(w for _, t, *_ in rows for w in language.tokens(t or ""))
+    listed = {w: n for w, n in counts.items() if n > 1}
+    totals, types = np.zeros(language.SHAPES, np.int64), np.zeros(language.SHAPES, np.int64)
+    for w, n in counts.items():
+        if w not in listed:
+            totals[language.shape(w)] += n
+            types[language.shape(w)] += 1
+    return language.Model(listed, totals, types, sum(counts.values()), len(counts)), counts
+
+
 def test_language_probabilities_add_up(odd_rows):
-    counts = Counter(w for _, t, *_ in odd_rows for w in language.tokens(t or ""))
-    frequent = {w: i for i, (w, _) in enumerate(counts.most_common(language.FREQUENT))}
-    classes = language.Classes(frequent)
-    names = list(counts)
-    own = classes.of(names)
-    totals, types = np.zeros(language.CLASSES, np.int64), np.bincount(own, minlength=language.CLASSES)
-    np.add.at(totals, own, list(counts.values()))
-    weights = np.random.default_rng(0).normal(size=(len(language.USED), language.CLASSES))
-    model = language.Model(frequent, weights, {}, totals, types)
-    for context in (0, 77, language.START * language.WIDTH + language.START):
-        p = 10.0 ** model.table[context]
-        known = (p[own] * 10.0 ** model.within([counts[w] for w in names], own)).sum()
-        shapes = np.arange(language.FREQUENT, language.CLASSES)
-        unknown = (p[shapes] * 10.0 ** model.within(0, shapes)).sum()  # one place for what was never seen, in each class
-        empty = p[: language.FREQUENT][types[: language.FREQUENT] == 0].sum()
-        assert abs(known + unknown + empty - 1) < 1e-5
+    model, counts = language_model(odd_rows)
+    weights = np.random.default_rng(0).normal(size=(language.ROWS, language.WIDTH)).astype(np.float32)
+    _, _, names = model.read(["some words before"])
+    for history in ([0, 0], names[:2], names[1:3]):
+        # Each outcome after the same two tokens.
+        every = np.arange(model.listed + language.SHAPES)
+        before = np.tile(np.array([*history, 0], np.uint64), len(every))
+        kinds = language.histories(before, np.arange(3, len(before) + 1, 3))[:, 2::3]
+        of, node, choice = model.tree.decisions(every)
+        p = language.choices(model.tree.start, weights, node, language.weight_rows(kinds[:, of], node))
+        total = np.exp(np.bincount(of, np.log(p[np.arange(len(of)), choice].astype(float))))
+        assert abs(total.sum() - 1) < 1e-4
+    size = model.group_size()
+    for group in range(language.SHAPES):  # the tokens of a group and one place for what was never seen
+        inside = [n for w, n in counts.items() if w not in model.outcome and language.shape(w) == group]
+        assert abs(sum(n + 0.1 for n in inside) + 0.1 - size[group]) < 1e-9
+
+
+@pytest.mark.parametrize("outcomes", [64, 65, 79, 80, 1000])
+def test_language_tree_reaches_every_outcome_once(outcomes):
+    tree = language.Tree(np.arange(outcomes) + 0.5)
+    paths = {tuple(zip(tree.node[a:b], tree.choice[a:b])) for a, b in zip(tree.first, tree.first[1:])}
+    assert len(paths) == outcomes and all(paths)
+    assert np.allclose(np.exp(tree.start).sum(axis=1), 1, atol=1e-5)
+    at, node, choice = tree.decisions(np.array([3, 3, outcomes - 1]))
+    assert [list(zip(node[at == i], choice[at == i])) for i in (0, 2)] == [list(zip(tree.node[a:b], tree.choice[a:b])) for a, b in (tree.first[3:5], tree.first[-2:])]
+
+
+def dense_step(model, weights, squares, texts):
+    """A gradient step with one number at a time."""
+    slope, met = np.zeros(weights.shape), np.zeros(len(weights))
+    for _, node, choice, rows in model.steps(texts):
+        for k in range(len(node)):
+            scores = model.tree.start[node[k]] + sum(weights[r] for r in rows[:, k])
+            p = [math.exp(s) for s in scores]
+            for r in rows[:, k]:
+                met[r] += 1
+                for c in range(language.WIDTH):
+                    slope[r, c] += (c == choice[k]) - p[c] / sum(p)
+    squares = squares + (slope**2).sum(axis=1)
+    return weights + language.RATE * slope / np.sqrt(squares)[:, None], squares, met
+
+
+def test_language_gradient_step_against_brute_force(odd_rows):
+    model, _ = language_model(odd_rows)
+    texts = ["the cat sat on the mat .", "the cat sat", ""]
+    learner = language.Learner(model.tree.start, np.zeros((language.ROWS, language.WIDTH), np.float32))
+    weights, squares, total = np.zeros((language.ROWS, language.WIDTH)), np.ones(language.ROWS), np.zeros(language.ROWS)
+    for _ in range(2):
+        weights, squares, met = dense_step(model, weights, squares, texts)
+        total += met
+        for _, node, choice, rows in model.steps(texts):
+            learner.step(node, choice, rows)
+    assert np.allclose(learner.weights, weights, atol=1e-4)
+    moved = np.concatenate([np.frombuffer(b.column("rows")[0].as_py(), language.MOVED) for b in learner.moved()])
+    assert moved["row"].tolist() == np.flatnonzero(total).tolist() and moved["n"].tolist() == total[total > 0].tolist()
+    assert np.allclose(moved["moved"], (weights * total[:, None])[total > 0], atol=1e-3)
+
+
+def test_language_weights_are_the_mean_movement_of_the_tasks(spark, odd_rows):
+    model, _ = language_model(odd_rows)
+    halves = [["the cat sat on the mat ."] * 3, ["a dog sat on the rug ."] * 5]
+    docs = spark.createDataFrame([(t,) for half in halves for t in half], "text string").repartitionByRange(2, "text")
+    got = language.train(docs, spark.sparkContext.broadcast(model), 1)
+    moved, met = np.zeros((language.ROWS, language.WIDTH)), np.zeros((language.ROWS, 1))
+    for half in halves:
+        learner = language.Learner(model.tree.start, np.zeros((language.ROWS, language.WIDTH), np.float32))
+        for _, node, choice, rows in model.steps(half):
+            learner.step(node, choice, rows)
+        moved += learner.weights * learner.met[:, None]
+        met[:, 0] += learner.met
+    assert np.allclose(got, moved / np.maximum(met, 1), atol=1e-5)
 
 
 def test_language_training_helps(spark):
@@ -69,66 +136,14 @@ def test_language_training_helps(spark):
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
 
 
-def brute_language(rows, held, table, frequent):
-    """The score of each row with a count for every history and outcome."""
-    shape = lambda w: frequent[w] if w in frequent else language.shape(w)
-    texts = [[w.encode() for w in [*WORD.findall(lowered(t)), " "]] for _, t, *_ in rows]
-    n, share, kinds = Counter(), Counter(), defaultdict(set)
-    for ws, out in zip(texts, held):
-        for k, w in enumerate(ws):
-            if not out:
-                p1, p2 = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None)
-                share[w] += 1
-                share[shape(w), ""] += 1
-                kinds[shape(w)].add(w)
-                for h in (("skip", p2), ("last", p1), ("both", p2, p1)):
-                    n.update([h, (h, shape(w)), (h, shape(w), w)])
-    rare = lambda w: w is not None and w not in frequent
-    number = lambda w: language.START if w is None else shape(w)
-    scores = []
-    for ws in texts:
-        total = 0.0
-        for k, w in enumerate(ws):
-            p1, p2, c = (ws[k - 1] if k else None), (ws[k - 2] if k > 1 else None), shape(w)
-            q = 10.0 ** float(table[number(p2) * language.WIDTH + number(p1), c])
-            p = (share[w] + 0.1) / (share[c, ""] + 0.1 * (len(kinds[c]) + 1))
-            steps = [(("skip", p2), histories.SKIP, rare(p2)), (("last", p1), histories.LAST, rare(p1)), (("both", p2, p1), histories.BOTH, rare(p1) or rare(p2))]
-            for h, m, exact in steps:
-                q = (n[h, c] + m * q) / (n[h] + m) if exact else q
-                p = (n[h, c, w] + m * p) / (n[h, c] + m)
-            total += math.log10(q) + (math.log10(p) if c >= language.FREQUENT else 0.0)
-        scores.append(total)
-    return scores
-
-
-@pytest.mark.parametrize("listed", [20, 1 << 16])
-def test_language_histories_against_counts(odd, odd_rows, monkeypatch, listed):
-    monkeypatch.setattr(language, "LISTED", listed)
-    made, train = [], language.train
-    monkeypatch.setattr(language, "train", lambda events: made.append(train(events)) or made[-1])
-    got = collected(language.score(odd))
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, *_ in odd_rows]
-    counts = Counter(w for (_, t, *_), out in zip(odd_rows, held) if not out for w in language.tokens(t or ""))
-    frequent = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.FREQUENT])}
-    none = np.zeros(language.CLASSES, np.int64)
-    table = language.Model(frequent, made[0], {}, none, none).table
-    want = brute_language(odd_rows, held, table, frequent)
-    key = lambda i: -1 if i is None else i
-    mine = sorted((key(r["doc_id"]), r["score"]) for r in got)
-    theirs = sorted((key(r[0]), s) for r, s in zip(odd_rows, want))
-    assert [i for i, _ in mine] == [i for i, _ in theirs]
-    assert [s for _, s in mine] == pytest.approx([s for _, s in theirs], rel=1e-5)
-
-
-def test_language_choice_in_a_class_sees_the_words_before(spark):
-    """Two held-out texts with the same tokens and classes, told apart by the order of words that are not frequent."""
+def test_language_choice_sees_the_words_before(spark):
+    """Two held-out texts with the same tokens, told apart by their order."""
     one, two = "zzab", "zzcd"
-    common = " ".join(f"c{i}" for i in range(language.FREQUENT + 6)) + " "
+    common = " ".join(f"c{i}" for i in range(70)) + " "
     rows = [(i, common * 3 + "qxleft " + one + " qxright " + two) for i in range(1, 60)]
     held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     rows += [(held[0], f"qxleft {one} qxright {two}"), (held[1], f"qxleft {two} qxright {one}")]
     score = {r["doc_id"]: r["score"] for r in collected(language.score(spark.createDataFrame(rows, "doc_id long, text string")))}
-    assert language.shape(one.encode()) == language.shape(two.encode()) and language.shape(b"qxleft") == language.shape(b"qxright")
     assert score[held[0]] > score[held[1]] + 1
 
 
