@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,14 +38,14 @@ LISTED = 1 << 16
 LEAST = 5
 ROW_BITS = 18
 ROWS = 1 << ROW_BITS
-BLOCK_ROWS = 1 << 12
+BLOCK_ROWS = 1 << 10
 PASSES = 1
 STEP = 4096
 RATE = 1.0
 SMOOTH = 0.1
 SEED = 42  # as in Spark's xxhash64
-TINY = 1e-30  # no choice has less
-_FLUSH = 200_000
+TINY = np.float32(1e-30)  # no choice has less
+_FLUSH, _NAMES = 200_000, 400_000  # tokens that a task counts, or keeps numbered, at a time
 END = b" "  # cannot be a word
 NEVER = np.float32(-1e4)  # start of a choice that stands for nothing
 MOST = np.float32(80)  # of the score of a choice, whose exponent must fit
@@ -59,6 +60,20 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """`tokens` of many texts, one after the other: ends of the texts, each token's place in the list of distinct tokens, that list."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    full = np.asarray(pc.binary_length(lists.values)) > 0  # white space at either side of a text leaves empty words
+    sizes = np.diff(np.append(0, np.cumsum(full))[np.asarray(lists.offsets)])
+    words = lists.values.dictionary_encode()
+    ends = np.cumsum(sizes + 1)
+    at = np.full(ends[-1], len(words.dictionary), np.int64)
+    inside = np.ones(len(at), bool)
+    inside[ends - 1] = False
+    at[inside] = np.asarray(words.indices)[full]
+    return ends, at, [*words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), END]
+
+
 def shape(token: bytes) -> int:
     """The spelling group of a token: its first two bytes and its last one."""
     last = token[-1:]
@@ -190,25 +205,30 @@ class Names(dict):
     """Tokens numbered as they come, with the outcome and the name (64 bit hash) of each number."""
 
     def __init__(self, outcome: dict[bytes, int]):
-        self.listed, self.outcomes, self.hashes = outcome, [], []
+        self.listed = outcome
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[tuple[int, int]] = []
+        self.outcomes, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def __missing__(self, token: bytes) -> int:
         at = self.listed.get(token)
-        self.outcomes.append(len(self.listed) + shape(token) if at is None else at)
-        self.hashes.append(xxhash.xxh64_intdigest(token, SEED))
+        self.new.append((len(self.listed) + shape(token) if at is None else at, xxhash.xxh64_intdigest(token, SEED)))
         self[token] = number = len(self)
         return number
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > _FLUSH:
-            self.__init__(self.listed)
-            self.clear()
-            self.arrays = None
-        known = len(self)
+        if len(self) > _NAMES:
+            self.forget()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self) > known or known == 0:
-            self.arrays = np.array(self.outcomes, np.int64), np.array(self.hashes, np.uint64)
-        return self.arrays[0][at], self.arrays[1][at]
+        if self.new:
+            outcomes, hashes = zip(*self.new)
+            self.outcomes = np.append(self.outcomes, np.array(outcomes, np.int64))
+            self.hashes = np.append(self.hashes, np.array(hashes, np.uint64))
+            self.new = []
+        return self.outcomes[at], self.hashes[at]
 
 
 class Model:
@@ -232,13 +252,11 @@ class Model:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ends of the texts; outcome and name (64 bit hash) of each of their tokens."""
-        words, ends = [], []
-        for t in texts:
-            words += tokens(t)
-            ends.append(len(words))
+        ends, at, words = coded(texts)
         if self.names is None:  # made in the task
             self.names = Names(self.outcome)
-        return np.array(ends), *self.names.of(words)
+        outcomes, names = self.names.of(words)
+        return ends, outcomes[at], names[at]
 
     def steps(self, texts: list[str]):
         """Decisions of the texts in groups of `STEP` tokens: position of the token, class, choice, weight rows."""
@@ -256,11 +274,11 @@ class Model:
         for at in range(0, len(outcomes), STEP):
             of, node, choice = self.tree.decisions(outcomes[at : at + STEP])
             p = choices(self.tree.start, weights, node, weight_rows(history[:, at : at + STEP][:, of], node))
-            chosen = np.log10(p.ravel()[np.arange(len(of)) * WIDTH + choice].astype(float) + TINY)
-            score[at : at + STEP] = np.bincount(of, chosen, min(STEP, len(outcomes) - at))
+            chosen = np.log(p.ravel()[np.arange(len(of)) * WIDTH + choice] + TINY)
+            score[at : at + STEP] = np.bincount(of, chosen, min(STEP, len(outcomes) - at)) / np.log(10)
         rare = outcomes >= self.listed
         first = np.append(0, ends[:-1])
-        base = np.where(rare, 0.0, self.base(self.counts[outcomes]))
+        base = np.append(self.base(self.counts[: self.listed]), np.zeros(SHAPES))[outcomes]
         add = lambda values: np.add.reduceat(values, first)
         rest = np.append(0, np.cumsum(add(rare.astype(np.int64))))
         return ends - first, add((~rare).astype(np.int64)), add(base), add(score), rest, names[rare].view(np.int64), (outcomes[rare] - self.listed).astype(np.int8)
@@ -277,8 +295,9 @@ def _token_counts(docs: DataFrame) -> DataFrame:
             counts.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text or ""))
+            for _, texts in _texts(batch):
+                _, at, words = coded(texts)
+                counts.update({w: n for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()) if n})
                 if len(counts) > _FLUSH:
                     yield from out()
         if counts:
@@ -330,7 +349,6 @@ def train(docs: DataFrame, model, passes: int = PASSES) -> np.ndarray:
     """Weights after gradient steps over all texts of `docs`; `model` is a broadcast `Model`."""
     context = docs.sparkSession.sparkContext
     weights = np.zeros((ROWS, WIDTH), np.float32)
-    blocks = ROWS // BLOCK_ROWS
     for _ in range(passes):
         spread = context.broadcast(weights)
 
@@ -359,7 +377,7 @@ def train(docs: DataFrame, model, passes: int = PASSES) -> np.ndarray:
 
         moved = docs.select("text").mapInArrow(work, "block int, rows binary")
         weights = weights.copy()
-        for r in moved.repartition(blocks, F.col("block")).mapInArrow(merged, "block int, rows binary").collect():
+        for r in moved.repartition(F.col("block")).mapInArrow(merged, "block int, rows binary").collect():
             weights[r["block"] * BLOCK_ROWS :][:BLOCK_ROWS] += np.frombuffer(r["rows"], np.float32).reshape(-1, WIDTH)
         spread.destroy()
     return weights

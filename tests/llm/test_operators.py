@@ -43,6 +43,13 @@ def test_language(odd, odd_rows, monkeypatch):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_language_tokens_of_many_texts(odd_rows):
+    texts = [t or "" for _, t, *_ in odd_rows] + ["", "  ", " A\tb\x0bc\x0cd\r\ne\x1cF\u00a0g \u00c4 ", "\x85x\u2003Y"]
+    ends, at, words = language.coded(texts)
+    assert [[words[i] for i in at[a:b]] for a, b in zip([0, *ends], ends)] == [language.tokens(t) for t in texts]
+    assert [w.decode() for w in language.tokens(texts[-2])[:-1]] == WORD.findall(lowered(texts[-2]))
+
+
 def language_model(rows):
     counts = Counter(w for _, t, *_ in rows for w in language.tokens(t or ""))
     listed = {w: n for w, n in counts.items() if n > 1}
