@@ -510,6 +510,22 @@ def test_mixing_plan_stays_in_the_engine(odd):
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 7, 1000, 100_000_000_000, 2147483647 * 2147483629, 2147483629 * 50])
+def test_permutation_of_any_number_of_blocks(spark, blocks):
+    first = max(0, blocks - 1000)
+    rows = spark.range(first, blocks).select(F.col("id"), F.lit(blocks).cast("long").alias("blocks"), F.explode(F.array(*map(F.lit, range(3)))).alias("source_no"))
+    rows = rows.withColumn("_pass", F.lit(1).cast("long"))
+    made = rows.select("id", "source_no", F.pmod(F.xxhash64(F.lit(9), "source_no", "_pass"), F.lit(1 << 20)).alias("salt"), mixing._permuted(F.col("id"), F.col("blocks"), 9).alias("to"))
+    for source in range(3):
+        got = {r["id"]: (r["to"], r["salt"]) for r in made.where(F.col("source_no") == source).collect()}
+        assert len({to for to, _ in got.values()}) == len(got) == blocks - first
+        usable = lambda at: next(p for k in range(3) if blocks % (p := mixing._PRIMES[(at + k) % 3]))
+        for i, (to, salt) in got.items():
+            turned = (i * usable(salt % 3) + salt) % blocks
+            turned = blocks - 1 - turned // 2 if turned % 2 else turned // 2
+            assert to == (turned * usable(0) + salt * 7) % blocks
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 def test_substrings(odd, odd_rows):
     data = [(i, (t or "").encode()) for i, t, *_ in odd_rows]
