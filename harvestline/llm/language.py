@@ -40,6 +40,7 @@ ROW_BITS = 18
 ROWS = 1 << ROW_BITS
 BLOCK_ROWS = 1 << 10
 PASSES = 1
+TASK_TOKENS = 3_000_000  # a learning task takes about so many tokens or more, so that what tasks hand on stays a share of the input
 STEP = 4096
 RATE = 1.0
 SMOOTH = 0.1
@@ -411,7 +412,7 @@ def score(docs: DataFrame, parts: int = 10, held: int = 0) -> DataFrame:
     listed = _common(vocabulary.where(F.col("n") >= LEAST), LISTED)
     model = Model(listed, *_groups(vocabulary, listed), whole["n"] or 0, whole["v"])
     spread = context.broadcast(model)
-    weights = context.broadcast(train(training, spread))
+    weights = context.broadcast(train(training.coalesce(1 + model.n // TASK_TOKENS), spread))
     rows = stored(_scored(docs, spread, weights).withColumn("_id", F.monotonically_increasing_id()), "scored")
 
     # Tokens that are not on the list: their counts by a join, then their shares of all tokens and of their group.
