@@ -210,3 +210,14 @@ def test_split_descends_until_few_rows_are_ranked(spark, strata, monkeypatch):
     monkeypatch.setattr(splitting, "_beside", lambda rows, edges, strata, digits: steps.append(digits) or beside(rows, edges, strata, digits))
     assert sorted(split(df, "key", strata, prefix_digits=1, most=1).collect()) == want
     assert steps[:4] == [0, 1, 2, 3] and steps[-1] <= 5
+
+
+def test_split_counts_few_prefixes_at_first(spark, monkeypatch):
+    from harvestline.operators import splitting
+
+    df = spark.range(20_000).selectExpr("cast(id as string) AS key", "cast(id % 2 as string) AS g")
+    kept, store = {}, splitting.stored
+    monkeypatch.setattr(splitting, "stored", lambda rows, name: kept.setdefault(name, store(rows, name)))
+    sizes = {r["split"]: r["n"] for r in split_sizes(split(df, "key", ["g"])).collect()}
+    # Far fewer counts than rows, so that tasks shuffle counts and not rows.
+    assert sizes == {"train": 16_000, "test": 4_000} and kept["split-prefixes"].count() <= 2 * 4096
