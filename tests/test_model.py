@@ -1,7 +1,8 @@
 import random
+import threading
 
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from harvestline import fixed_values as fv
@@ -99,6 +100,24 @@ def test_search_sample_is_bounded_for_copies(spark):
     assert md.search_sample(same, 3, 42, 600).count() <= 600
 
 
+def test_all_fits_of_the_search_run_side_by_side(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i}", [float(i % 7)], float(i)) for i in range(60)], "row_key string, v array<double>, yield double")
+    together = threading.Barrier(24)  # 3 folds, 8 shapes
+
+    class Fitted:
+        def evaluateEachIteration(self, held, loss):
+            return [1.0] * 100
+
+    def fit(self, df):
+        if "_fold" in df.columns:
+            together.wait(60)
+        return Fitted()
+
+    monkeypatch.setattr(md.GBTRegressor, "fit", fit)
+    _, ranked, searched = md.search(rows.select("row_key", array_to_vector("v").alias("features"), "yield"), key="row_key")
+    assert len(ranked) == 16 and searched == 60
+
+
 def test_record_names_the_search_rows(trained):
     record = trained.metadata.first()
     assert record["evaluation"]["grid_search_rows"] == trained.model.search_rows == record["training_data"]["n_train"]
