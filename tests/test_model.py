@@ -118,6 +118,34 @@ def test_all_fits_of_the_search_run_side_by_side(spark, monkeypatch):
     assert len(ranked) == 16 and searched == 60
 
 
+def test_each_fit_of_the_search_has_its_rows_in_one_partition(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i}", [float(i % 7), float(i % 11)], float(i % 7 * 3 + i % 5)) for i in range(300)], "row_key string, v array<double>, yield double")
+    matrix = rows.select("row_key", array_to_vector("v").alias("features"), "yield")
+    fit, parts = md.GBTRegressor.fit, []
+
+    def counted(self, df):
+        if "_fold" in df.columns:
+            parts.append(df.rdd.getNumPartitions())
+        return fit(self, df)
+
+    monkeypatch.setattr(md.GBTRegressor, "fit", counted)
+    grid = {**GRID, "maxIter": [2], "maxDepth": [1, 2]}
+    _, ranked, _ = md.search(matrix, grid, 2, key="row_key")
+    assert parts == [1] * 4
+
+    # Without a draw of rows the scores are those of a fit over several partitions.
+    sample = md.search_sample(matrix.withColumnRenamed("row_key", "_key"), 2, fv.SEED, md.SEARCH_ROWS)
+    for settings, found in ranked:
+        expected = 0.0
+        for fold in range(2):
+            held, taught = sample.where(F.col("_fold") == fold), sample.where(F.col("_fold") != fold)
+            assert taught.rdd.getNumPartitions() > 1
+            trees = md.GBTRegressor(featuresCol="features", labelCol="yield", seed=fv.SEED, **settings)
+            error = fit(trees, taught).evaluateEachIteration(held, "squared")[-1]
+            expected += (1 - error / held.agg(F.var_pop("yield")).first()[0]) / 2
+        assert found == pytest.approx(expected)
+
+
 def test_record_names_the_search_rows(trained):
     record = trained.metadata.first()
     assert record["evaluation"]["grid_search_rows"] == trained.model.search_rows == record["training_data"]["n_train"]
