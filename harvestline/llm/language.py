@@ -22,6 +22,8 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from collections.abc import Collection, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +84,30 @@ def shape(token: bytes) -> int:
     return (zlib.crc32(token[:2]) % (SHAPES // 4)) * 4 + kind
 
 
+@cache
+def _shape_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of `shape`: by the only byte of a token, by its first two, and by its last one."""
+    one = [shape(bytes([a])) & ~3 for a in range(256)]
+    two = [shape(bytes([a, b])) & ~3 for a in range(256) for b in range(256)]
+    return np.array(one), np.array(two), np.array([shape(bytes([a])) & 3 for a in range(256)])
+
+
+def shapes(tokens: Sequence[bytes]) -> np.ndarray:
+    """`shape` of many tokens."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    text = np.frombuffer(b"".join(tokens) + b"\0\0", np.uint8).astype(np.int64)
+    end = np.cumsum(size)
+    first = end - size
+    one, two, kind = _shape_tables()
+    group = np.where(size > 1, two[text[first] << 8 | text[first + 1]], one[text[first]])
+    return np.where(size > 0, group + kind[text[end - 1]], shape(b""))
+
+
+def hashes(tokens: Collection[bytes]) -> np.ndarray:
+    """64 bit hashes, as Spark's xxhash64 gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in tokens), np.uint64, len(tokens))
+
+
 class Tree:
     """Nested classes over outcomes with counts: `first[i]` to `first[i + 1]` are the decisions (`node`, `choice`) of outcome i."""
 
@@ -203,32 +229,27 @@ class Learner:
 
 
 class Names(dict):
-    """Tokens numbered as they come, with the outcome and the name (64 bit hash) of each number."""
+    """Tokens numbered as they come, after the listed ones, with the outcome and the name (64 bit hash) of each number."""
 
     def __init__(self, outcome: dict[bytes, int]):
-        self.listed = outcome
+        self.listed, self.known = outcome, hashes(outcome)
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[tuple[int, int]] = []
-        self.outcomes, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def __missing__(self, token: bytes) -> int:
-        at = self.listed.get(token)
-        self.new.append((len(self.listed) + shape(token) if at is None else at, xxhash.xxh64_intdigest(token, SEED)))
-        self[token] = number = len(self)
-        return number
+        self.update(self.listed)
+        self.outcomes, self.hashes = np.arange(len(self.listed)), self.known
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Outcome and name of distinct tokens."""
         if len(self) > _NAMES:
             self.forget()
+        new = [w for w in words if w not in self]
+        if new:
+            self.outcomes = np.append(self.outcomes, len(self.listed) + shapes(new))
+            self.hashes = np.append(self.hashes, hashes(new))
+            self.update(zip(new, range(len(self), len(self) + len(new))))
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            outcomes, hashes = zip(*self.new)
-            self.outcomes = np.append(self.outcomes, np.array(outcomes, np.int64))
-            self.hashes = np.append(self.hashes, np.array(hashes, np.uint64))
-            self.new = []
         return self.outcomes[at], self.hashes[at]
 
 
@@ -328,7 +349,8 @@ def _groups(vocabulary: DataFrame, listed: dict[bytes, int]) -> tuple[np.ndarray
     def work(batches):
         for batch in batches:
             words, n = batch.column("token").to_pylist(), np.asarray(batch.column("n"))
-            own = np.array([SHAPES if w in spread.value else shape(w) for w in words], np.int64)
+            listed = np.fromiter((w in spread.value for w in words), bool, len(words))
+            own = np.where(listed, SHAPES, shapes(words))
             kinds = np.bincount(own, minlength=SHAPES + 1)[:SHAPES]
             sums = np.bincount(own, n, SHAPES + 1)[:SHAPES].astype(np.int64)
             yield pa.RecordBatch.from_pydict({"shape": np.arange(SHAPES), "n": sums, "types": kinds})

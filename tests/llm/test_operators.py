@@ -50,6 +50,20 @@ def test_language_tokens_of_many_texts(odd_rows):
     assert [w.decode() for w in language.tokens(texts[-2])[:-1]] == WORD.findall(lowered(texts[-2]))
 
 
+def test_language_names_tokens_together(monkeypatch):
+    """Tokens that are new are numbered in one go, also after those before them were forgotten."""
+    monkeypatch.setattr(language, "_NAMES", 6)
+    listed = {b"the": 0, b" ": 1}
+    words = [b"the", b"", b"x", b"Ab,", b"\xc3\xa4", b"a!", b"ab?", b"\xff", b"(b)", b" "]
+    names = language.Names(listed)
+    for part in (words[:4], words[2:], words[::-1], []):
+        outcomes, hashes = names.of(part)
+        assert outcomes.tolist() == [listed.get(w, len(listed) + language.shape(w)) for w in part]
+        assert hashes.tolist() == [xxhash.xxh64_intdigest(w, 42) for w in part]
+    every = [bytes([i, j]) for i in range(256) for j in range(0, 256, 5)] + [bytes([i]) for i in range(256)] + [b""]
+    assert language.shapes(every).tolist() == [language.shape(w) for w in every] and not len(language.shapes([]))
+
+
 def language_model(rows):
     counts = Counter(w for _, t, *_ in rows for w in language.tokens(t or ""))
     listed = {w: n for w, n in counts.items() if n > 1}
