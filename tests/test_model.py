@@ -146,6 +146,34 @@ def test_each_fit_of_the_search_has_its_rows_in_one_partition(spark, monkeypatch
         assert found == pytest.approx(expected)
 
 
+def test_search_reads_every_row(spark, monkeypatch):
+    n = 12_000
+    rows = spark.range(n, numPartitions=6).select(F.concat(F.lit("k"), "id").alias("row_key"), F.array(F.col("id").cast("double")).alias("v"), F.rand(1).alias("yield"))
+    taught, held, parts = [], [], []
+
+    class Fitted:
+        def evaluateEachIteration(self, df, loss):
+            held.append({r["_key"] for r in df.select("_key").collect()})
+            return [1.0] * 3
+
+    def fit(self, df):
+        if "_fold" in df.columns:
+            taught.append({r["_key"] for r in df.select("_key").collect()})
+            parts.append(df.rdd.getNumPartitions())
+        return Fitted()
+
+    monkeypatch.setattr(md.GBTRegressor, "fit", fit)
+    monkeypatch.setattr(md, "FIT_PART_ROWS", 5000)
+    monkeypatch.setattr(md, "HELD_ROWS", n)  # one fit at a time
+    _, ranked, searched = md.search(rows.select("row_key", array_to_vector("v").alias("features"), "yield"), GRID, 3, key="row_key")
+    assert searched == n and len(ranked) == 2 and len(taught) == len(held) == 6
+    for t, h in zip(taught, held):
+        assert len(t) + len(h) == n and not t & h
+    # Each shape has every row held out once, in one of three folds of much the same size.
+    assert sorted(len(h) for h in held)[0] > n / 4 and all(sum(k in h for h in held) == 2 for k in ("k0", "k77", "k11999"))
+    assert set(parts) <= {2, 3} and max(parts) > 1
+
+
 def test_record_names_the_search_rows(trained):
     record = trained.metadata.first()
     assert record["evaluation"]["grid_search_rows"] == trained.model.search_rows == record["training_data"]["n_train"]
