@@ -518,6 +518,17 @@ def test_mixed_documents_hold_what_the_mix_takes(odd):
     assert words == +taken
 
 
+def test_no_task_unfolds_all_slots(spark):
+    rows = [(f"s{i}", i, n * 32, n * 32.0, n) for i, n in enumerate((1_000_000, 200_000, 3))]
+    sources = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, blocks long").coalesce(1)
+    slots = mixing.slots(sources).withColumn("task", F.spark_partition_id())
+    tasks = slots.groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == pytest.approx(1_200_003, abs=1000)
+    assert max(r["count"] for r in tasks) < 2 * mixing.SLOT_ROWS
+    twice = mixing.slots(sources).groupBy("source_no", F.floor("block").alias("block")).count().where("count > 1").groupBy("source_no").count()
+    assert sum(r["count"] for r in twice.collect()) < 1000  # a pass takes each block once
+
+
 def test_mixing_plan_stays_in_the_engine(odd):
     for df in (mixing.mix(odd), mixing.mixed_documents(odd.select("doc_id", "text", "source"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
